@@ -32,4 +32,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from lakeward.plans import (  # noqa: F401
         q_core,
+        q_suites,
     )
