@@ -49,7 +49,7 @@ def stack_checks(df: DataFrame, keys: list[str], checks: list[Column]) -> DataFr
     return df.select(*keys, F.explode(F.array(*checks)).alias("c")).select(*keys, "c.*")
 
 
-def raw_validation(
+def raw_check_stats(
     raw: DataFrame,
     *,
     scope: str = "batch",
@@ -103,75 +103,73 @@ def raw_validation(
         F.count_if(F.col("event_id").isNotNull() & (F.col("n") > 1)).alias("dup_groups"),
         *[F.sum(c).alias(c) for c in ["primary", "other", "req_missing", "batch_null", "user_null", "bad_country", "future", "late"]],
     )
+    return s
+
+
+def raw_validation(
+    raw: DataFrame,
+    *,
+    scope: str = "batch",
+    expected_rows: int = STANDARD_BATCH_ROWS,
+    valid_countries: list[str] = SEED_COUNTRY_CODES,
+    duplicate_event_ids: int = 2 * ANOMALY_PROFILE["duplicate_pairs"],
+    as_of_date: str = "2100-01-01",
+) -> DataFrame:
+    """Raw-load suite for every scope of ``raw`` (12 checks in batch scope,
+    11 in run scope, then the overall verdict), from one stats pass."""
+    s = raw_check_stats(
+        raw, scope=scope, expected_rows=expected_rows, valid_countries=valid_countries,
+        duplicate_event_ids=duplicate_event_ids, as_of_date=as_of_date,
+    )
     dup_groups_expected = duplicate_event_ids // 2
     rows = F.col("rows")
     checks = [
-        check("row_count", rows == expected_rows, expected_rows, rows),
-        check("partition_presence", F.col("primary") > 0, None, "primary"),
-        check("schema_required_fields", F.col("req_missing") == 0, 0, "req_missing"),
+        ("row_count", rows == expected_rows, expected_rows, rows),
+        ("partition_presence", F.col("primary") > 0, None, "primary"),
+        ("schema_required_fields", F.col("req_missing") == 0, 0, "req_missing"),
     ]
     if scope == "batch":
-        checks.append(check("batch_id_populated", F.col("batch_null") == 0, 0, F.col("batch_null")))
+        checks.append(("batch_id_populated", F.col("batch_null") == 0, 0, F.col("batch_null")))
     checks += [
-        check(
+        (
             "distinct_event_ids",
             F.col("distinct_ids") == expected_rows - dup_groups_expected,
             expected_rows - dup_groups_expected,
             F.col("distinct_ids"),
         ),
-        check("duplicate_rows", rows - F.col("distinct_ids") == dup_groups_expected, dup_groups_expected, rows - F.col("distinct_ids")),
-        check("duplicates", F.col("dup_groups") == 0, dup_groups_expected, F.col("dup_groups")),
-        check("null_user_ids", F.col("user_null") == 0, ANOMALY_PROFILE["null_user_ids"], F.col("user_null")),
-        check(
+        ("duplicate_rows", rows - F.col("distinct_ids") == dup_groups_expected, dup_groups_expected, rows - F.col("distinct_ids")),
+        ("duplicates", F.col("dup_groups") == 0, dup_groups_expected, F.col("dup_groups")),
+        ("null_user_ids", F.col("user_null") == 0, ANOMALY_PROFILE["null_user_ids"], F.col("user_null")),
+        (
             "invalid_country_codes",
             F.col("bad_country") == 0,
             ANOMALY_PROFILE["invalid_country_codes"],
             F.col("bad_country"),
         ),
-        check("future_timestamps", F.col("future") == 0, ANOMALY_PROFILE["future_timestamps"], F.col("future")),
-        check("partition_reconciliation", F.col("primary") + F.col("other") == rows, rows, F.col("primary") + F.col("other")),
-        check("late_arriving_events", F.col("late") == 0, ANOMALY_PROFILE["late_arriving_events"], F.col("late")),
+        ("future_timestamps", F.col("future") == 0, ANOMALY_PROFILE["future_timestamps"], F.col("future")),
+        ("partition_reconciliation", F.col("primary") + F.col("other") == rows, rows, F.col("primary") + F.col("other")),
+        ("late_arriving_events", F.col("late") == 0, ANOMALY_PROFILE["late_arriving_events"], F.col("late")),
     ]
-    long = stack_checks(s, ["scope"], checks)
-    verdict_from = long if scope != "batch" else long.filter(~F.col("check_name").isin(*ANOMALY_CHECKS))
-    overall = verdict_from.groupBy("scope").agg(
-        F.lit("overall").alias("check_name"),
-        F.when(F.bool_and(F.col("status") == "PASS"), "PASS").otherwise("FAIL").alias("status"),
-        F.lit(None).cast("bigint").alias("expected"),
-        F.lit(None).cast("bigint").alias("actual"),
-    )
-    return long.unionByName(overall)
-
-
-def acceptance_checks(raw_report: DataFrame) -> DataFrame:
-    """Exact-count acceptance of the five anomaly detections, plus the summary
-    (PASS iff all five pass), per scope."""
-    names = {
-        "duplicates": ("acceptance_duplicate_detection", ANOMALY_PROFILE["duplicate_pairs"]),
-        "null_user_ids": ("acceptance_null_user_detection", ANOMALY_PROFILE["null_user_ids"]),
-        "invalid_country_codes": ("acceptance_invalid_country_detection", ANOMALY_PROFILE["invalid_country_codes"]),
-        "future_timestamps": ("acceptance_future_timestamp_detection", ANOMALY_PROFILE["future_timestamps"]),
-        "late_arriving_events": ("acceptance_late_arrival_detection", ANOMALY_PROFILE["late_arriving_events"]),
-    }
-    src = raw_report.filter(F.col("check_name").isin(*names))
-    mapping = F.create_map(*[x for k, (n, _) in names.items() for x in (F.lit(k), F.lit(n))])
-    expect = F.create_map(*[x for k, (_, e) in names.items() for x in (F.lit(k), F.lit(e))])
-    actual = F.coalesce(F.col("actual"), F.lit(0))
-    exp = expect[F.col("check_name")].cast("bigint")
-    rows = src.select(
-        "scope",
-        mapping[F.col("check_name")].alias("check_name"),
-        F.when(actual == exp, "PASS").otherwise("FAIL").alias("status"),
-        exp.alias("expected"),
-        actual.cast("bigint").alias("actual"),
-    )
-    summary = rows.groupBy("scope").agg(
-        F.lit("acceptance_summary").alias("check_name"),
-        F.when(F.bool_and(F.col("status") == "PASS"), "PASS").otherwise("FAIL").alias("status"),
-        F.lit(None).cast("bigint").alias("expected"),
-        F.lit(None).cast("bigint").alias("actual"),
-    )
-    return rows.unionByName(summary)
+    counted = [c for c in checks if scope != "batch" or c[0] not in ANOMALY_CHECKS]
+    overall = reduce(lambda a, b: a & b, [c[1] for c in counted])
+    structs = [check(*c) for c in checks] + [check("overall", overall, None, None)]
+    return stack_checks(s, ["scope"], structs)
+
+
+def acceptance_checks(stats: DataFrame) -> DataFrame:
+    """Exact-count acceptance of the five anomaly detections plus the summary
+    (PASS iff all five pass), per scope, from :func:`raw_check_stats`."""
+    items = [
+        ("acceptance_duplicate_detection", "dup_groups", ANOMALY_PROFILE["duplicate_pairs"]),
+        ("acceptance_null_user_detection", "user_null", ANOMALY_PROFILE["null_user_ids"]),
+        ("acceptance_invalid_country_detection", "bad_country", ANOMALY_PROFILE["invalid_country_codes"]),
+        ("acceptance_future_timestamp_detection", "future", ANOMALY_PROFILE["future_timestamps"]),
+        ("acceptance_late_arrival_detection", "late", ANOMALY_PROFILE["late_arriving_events"]),
+    ]
+    checks = [(n, F.coalesce(F.col(c), F.lit(0)) == e, e, F.coalesce(F.col(c), F.lit(0))) for n, c, e in items]
+    summary = reduce(lambda x, y: x & y, [c[1] for c in checks])
+    structs = [check(*c) for c in checks] + [check("acceptance_summary", summary, None, None)]
+    return stack_checks(stats, ["scope"], structs)
 
 
 def _count_by(df: DataFrame, key: str, name: str, where: Column | None = None) -> DataFrame:
@@ -230,22 +228,22 @@ def warehouse_validation(
     batches = reduce(
         lambda a, b: a.join(b, "batch_id", "full_outer"), [raw_c, cls_c, acc_c, rej_c, fact_c, bad_pd, lineage]
     ).na.fill(0)
+    batch_checks = [
+        ("batch_nonempty", F.col("raw_rows") > 0, None, "raw_rows"),
+        ("raw_equals_classification", F.col("raw_rows") == F.col("classified_rows"), "raw_rows", "classified_rows"),
+        (
+            "accepted_plus_rejected_equals_raw",
+            F.col("accepted_rows") + F.col("rejected_rows") == F.col("raw_rows"),
+            "raw_rows",
+            F.col("accepted_rows") + F.col("rejected_rows"),
+        ),
+        ("accepted_equals_fact", F.col("fact_rows") == F.col("accepted_rows"), "accepted_rows", "fact_rows"),
+        ("processing_date_semantics", F.col("bad_processing_dates") == 0, 0, "bad_processing_dates"),
+        ("batch_lineage_semantics", F.col("lineage_missing") == 0, 0, "lineage_missing"),
+    ]
+    overall = reduce(lambda x, y: x & y, [c[1] for c in batch_checks])
     per_batch = stack_checks(
-        batches,
-        ["batch_id"],
-        [
-            check("batch_nonempty", F.col("raw_rows") > 0, None, "raw_rows"),
-            check("raw_equals_classification", F.col("raw_rows") == F.col("classified_rows"), "raw_rows", "classified_rows"),
-            check(
-                "accepted_plus_rejected_equals_raw",
-                F.col("accepted_rows") + F.col("rejected_rows") == F.col("raw_rows"),
-                "raw_rows",
-                F.col("accepted_rows") + F.col("rejected_rows"),
-            ),
-            check("accepted_equals_fact", F.col("fact_rows") == F.col("accepted_rows"), "accepted_rows", "fact_rows"),
-            check("processing_date_semantics", F.col("bad_processing_dates") == 0, 0, "bad_processing_dates"),
-            check("batch_lineage_semantics", F.col("lineage_missing") == 0, 0, "lineage_missing"),
-        ],
+        batches, ["batch_id"], [check(*c) for c in batch_checks] + [check("overall", overall, None, None)]
     )
     dup_ids = fact_ids.agg(F.count_if(F.col("fact_n") > 1).alias("v"))
     orphan_u = orphan_users(fact, dim_users).agg(F.count(F.lit(1)).alias("v"))
@@ -270,14 +268,7 @@ def warehouse_validation(
             one(mart_total, "mart_totals_reconcile", vs=fact_total),
         ],
     ).select(F.lit(None).cast("string").alias("batch_id"), "c.*")
-    checks = per_batch.unionByName(glob)
-    overall = per_batch.groupBy("batch_id").agg(
-        F.lit("overall").alias("check_name"),
-        F.when(F.bool_and(F.col("status") == "PASS"), "PASS").otherwise("FAIL").alias("status"),
-        F.lit(None).cast("bigint").alias("expected"),
-        F.lit(None).cast("bigint").alias("actual"),
-    )
-    return checks.unionByName(overall)
+    return per_batch.unionByName(glob)
 
 
 def orphan_users(fact: DataFrame, dim_users: DataFrame) -> DataFrame:

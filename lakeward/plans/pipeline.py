@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeward.operators import classify, publish, staging
+from lakeward.session import ensure_checkpoint_dir
 from lakeward.sources.adapters import raw_events_from_driver
 from lakeward.sources.tables import read_table
 
@@ -26,6 +27,9 @@ class Pipeline:
     sf_dir: str
     hot_event_ids: object = "auto"
     now: object = None
+    # Write the classification once (reliable checkpoint in the shared
+    # checkpoint dir) when several outputs read it.
+    materialize: bool = False
     _cache: dict = field(default_factory=dict)
 
     def _get(self, name, build):
@@ -43,10 +47,14 @@ class Pipeline:
 
     @property
     def classified(self) -> DataFrame:
-        return self._get(
-            "classified",
-            lambda: classify.classify_events(self.stg, now=self.now, hot_event_ids=self.hot_event_ids),
-        )
+        def build():
+            df = classify.classify_events(self.stg, now=self.now, hot_event_ids=self.hot_event_ids)
+            if self.materialize:
+                ensure_checkpoint_dir(self.spark)
+                df = df.checkpoint(eager=True)
+            return df
+
+        return self._get("classified", build)
 
     @property
     def accepted(self) -> DataFrame:

@@ -104,7 +104,7 @@ ACCEPT_SQL = """acc AS (
     ),
 )
 def q_acceptance_checks(spark, sf_dir):
-    return suites.acceptance_checks(suites.raw_validation(Pipeline(spark, sf_dir).raw))
+    return suites.acceptance_checks(suites.raw_check_stats(Pipeline(spark, sf_dir).raw))
 
 
 WAREHOUSE_CTES = [
@@ -168,7 +168,7 @@ WAREHOUSE_SELECT = (
 
 @query("warehouse_validation", with_core(WAREHOUSE_SELECT, *WAREHOUSE_CTES))
 def q_warehouse_validation(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = Pipeline(spark, sf_dir, materialize=True)
     return suites.warehouse_validation(
         p.raw, p.classified, p.accepted, p.rejected, p.fact, p.dim_users, dim_countries(spark), p.mart
     )
@@ -237,7 +237,7 @@ UNION ALL SELECT 'assert_source_anomaly_profile', batch_scope, metric, observed,
 
 @query("recon_violations", with_core(RECON_SELECT, *RECON_CTES))
 def q_recon_violations(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
+    p = Pipeline(spark, sf_dir, materialize=True)
     return suites.recon_violations(p.raw, p.classified, p.accepted, p.rejected, p.fact, p.mart)
 
 
