@@ -33,4 +33,5 @@ def load_all() -> None:
     from lakeward.plans import (  # noqa: F401
         q_core,
         q_suites,
+        q_ops,
     )

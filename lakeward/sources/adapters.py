@@ -79,3 +79,137 @@ def raw_events_from_driver(events: DataFrame) -> DataFrame:
         F.when(legacy, F.lit(None).cast("string")).otherwise(F.concat(F.lit("b-"), day, suffix)).alias("batch_id"),
         F.when(legacy, F.lit(None).cast("date")).otherwise(F.to_date(ts)).alias("processing_date"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Operational tables derived from TPC-H-shaped driver tables (FIXTURES.md §4).
+# ---------------------------------------------------------------------------
+APP_LABEL = ("application", "events-platform")
+# Service identities whose unlabelled jobs still count as the platform's.
+PLATFORM_IDENTITIES = [
+    "pipeline-runtime@example.iam",
+    "ci-integration@example.iam",
+    "ci-deployer@example.iam",
+]
+
+
+def pipeline_runs_from_orders(orders: DataFrame) -> DataFrame:
+    """orders -> pipeline_runs: one run per order."""
+    ok = F.col("o_orderkey")
+    started = (F.col("o_orderdate") + F.make_dt_interval(secs=(ok % 86400).cast("int"))).cast("timestamp_ntz")
+    status = (
+        F.when(F.col("o_orderstatus") == "F", "FAILED")
+        .when(F.col("o_orderstatus") == "O", "SUCCESS")
+        .otherwise("RUNNING")
+    )
+    loaded = F.floor("o_totalprice").cast("bigint")
+    rejected = F.expr("CAST(floor(o_totalprice) AS BIGINT) * (o_custkey % 40) div 100")
+    return orders.select(
+        F.concat(F.lit("run-"), ok.cast("string")).alias("pipeline_run_id"),
+        F.concat(F.lit("b-"), F.date_format("o_orderdate", "yyyyMMdd")).alias("batch_id"),
+        F.to_date("o_orderdate").alias("processing_date"),
+        started.alias("started_at"),
+        F.when(status == "RUNNING", F.lit(None).cast("timestamp_ntz"))
+        .otherwise(started + F.make_dt_interval(secs=(F.lit(300) + ok % 3300).cast("int")))
+        .alias("completed_at"),
+        status.alias("status"),
+        (F.lit(1) + ok % 2).cast("bigint").alias("attempt_number"),
+        loaded.alias("rows_loaded"),
+        (loaded - rejected).alias("rows_accepted"),
+        rejected.alias("rows_rejected"),
+        F.concat(F.lit("env-"), (F.col("o_custkey") % 3).cast("string")).alias("environment"),
+    )
+
+
+def deployments_from_orders(orders: DataFrame) -> DataFrame:
+    """orders -> deployments: every fifth order is a rollback."""
+    ok = F.col("o_orderkey")
+    rollback = ok % 5 == 0
+    st = F.col("o_orderstatus")
+    status = (
+        F.when(rollback & (st == "F"), "ROLLBACK_FAILED")
+        .when(rollback & (st == "O"), "ROLLED_BACK")
+        .when(st == "F", "FAILED")
+        .when(st == "O", "SUCCESS")
+        .otherwise("RUNNING")
+    )
+    started = (
+        F.col("o_orderdate") + F.expr("INTERVAL 6 HOURS") + F.make_dt_interval(secs=(ok % 3600).cast("int"))
+    ).cast("timestamp_ntz")
+    return orders.select(
+        F.concat(F.lit("dep-"), ok.cast("string")).alias("deployment_id"),
+        F.when(rollback, "rollback").otherwise("release").alias("deployment_type"),
+        status.alias("status"),
+        F.substring(F.md5(ok.cast("string")), 1, 12).alias("git_sha"),
+        started.alias("started_at"),
+        F.when(st == "P", F.lit(None).cast("timestamp_ntz"))
+        .otherwise(started + F.expr("INTERVAL 600 SECONDS"))
+        .alias("completed_at"),
+        (ok % 4).cast("bigint").alias("migration_count"),
+        F.concat(F.lit("env-"), (F.col("o_custkey") % 3).cast("string")).alias("environment"),
+    )
+
+
+def task_events_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> task_events: (order, line) = (run, task); R/A terminal, N started."""
+    return lineitem.select(
+        F.concat(F.lit("run-"), F.col("l_orderkey").cast("string")).alias("pipeline_run_id"),
+        F.concat(F.lit("task_"), F.col("l_linenumber").cast("string")).alias("task_id"),
+        F.lit(1).cast("bigint").alias("attempt"),
+        F.when(F.col("l_returnflag") == "R", "FAILED")
+        .when(F.col("l_returnflag") == "A", "SUCCESS")
+        .otherwise("STARTED")
+        .alias("event_type"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("event_time"),
+    )
+
+
+def quality_results_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> quality_results: line = check, returnflag = status, quantity = observed."""
+    return lineitem.select(
+        F.concat(F.lit("run-"), F.col("l_orderkey").cast("string")).alias("pipeline_run_id"),
+        F.concat(F.lit("check_"), F.col("l_linenumber").cast("string")).alias("check_name"),
+        F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "PASS").otherwise("WARN").alias(
+            "status"
+        ),
+        F.col("l_quantity").alias("observed_value"),
+        (F.col("l_shipdate") + F.make_dt_interval(hours=F.col("l_linenumber"))).cast("timestamp_ntz").alias(
+            "evaluated_at"
+        ),
+    )
+
+
+def job_history_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> warehouse job history with nested labels and error struct."""
+    ln = F.col("l_linenumber")
+    created = (
+        F.col("l_shipdate") + F.make_dt_interval(hours=ln, secs=(F.col("l_partkey") % 3600).cast("int"))
+    ).cast("timestamp_ntz")
+    label = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    labels = F.when(ln == 7, F.lit(None)).otherwise(
+        F.array(
+            label(APP_LABEL[0], F.when(F.col("l_linestatus") == "O", F.lit(APP_LABEL[1])).otherwise(F.lit("other"))),
+            label("component", F.col("l_returnflag")),
+        )
+    )
+    bytes_ = F.floor(F.col("l_extendedprice") * 100000).cast("bigint")
+    email = F.when(F.col("l_suppkey") % 4 == 0, F.lit(PLATFORM_IDENTITIES[0])).otherwise(
+        F.concat(F.lit("analyst-"), (F.col("l_suppkey") % 4).cast("string"), F.lit("@example.com"))
+    )
+    return lineitem.select(
+        created.alias("creation_time"),
+        F.concat(F.lit("job-"), F.col("l_orderkey").cast("string"), F.lit("-"), ln.cast("string")).alias("job_id"),
+        F.lit("QUERY").alias("job_type"),
+        email.alias("user_email"),
+        F.when(ln == 1, "SCRIPT").when(ln == 2, "INSERT").otherwise("SELECT").alias("statement_type"),
+        bytes_.alias("total_bytes_processed"),
+        bytes_.alias("total_bytes_billed"),
+        (F.col("l_quantity") * 100).cast("bigint").alias("total_slot_ms"),
+        labels.alias("labels"),
+        F.when(
+            (F.col("l_returnflag") == "R") & (ln % 2 == 0),
+            F.struct(
+                F.when(F.col("l_partkey") % 2 == 0, "invalidQuery").otherwise("rateLimitExceeded").alias("reason")
+            ),
+        ).alias("error_result"),
+    )
