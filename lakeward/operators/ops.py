@@ -1 +1,108 @@
-"""Operational lookups over the ops tables (runs, tasks, deployments)."""
+"""Operational lookups over the ops tables (runs, tasks, deployments, ledger).
+
+"Latest" lookups are ``max_by`` partial aggregations per group (no global
+sort); expected-vs-seen comparisons are explode + anti joins (no cross join).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+TERMINAL = ["SUCCESS", "FAILED", "SKIPPED", "UPSTREAM_FAILED"]
+
+
+def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Newest row per key group under a total order (``order`` then nothing
+    else: callers end ``order`` with a unique id)."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_l")).select(*keys, "_l.*")
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    return latest_by(runs, ["environment"], ["started_at", "pipeline_run_id"], ["pipeline_run_id", "status", "started_at"])
+
+
+def rollback_target(deployments: DataFrame, exclude_sha: str | None = None) -> DataFrame:
+    """Latest successful deployment per environment, optionally excluding a sha."""
+    d = deployments.filter(F.col("status") == "SUCCESS")
+    if exclude_sha is not None:
+        d = d.filter(F.col("git_sha") != exclude_sha)
+    return latest_by(d, ["environment"], ["completed_at", "deployment_id"], ["deployment_id", "git_sha", "completed_at"])
+
+
+def run_durations(runs: DataFrame, as_of) -> DataFrame:
+    end = F.coalesce(F.col("completed_at"), F.lit(as_of).cast("timestamp_ntz"))
+    return runs.select("pipeline_run_id", "status", F.timestamp_diff("SECOND", F.col("started_at"), end).alias("duration_s"))
+
+
+def run_outcomes(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def task_event_trace(task_events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Task events in deterministic diagnostic order (run, task, attempt, type)."""
+    return task_events.orderBy("pipeline_run_id", "task_id", "attempt", "event_type")
+
+
+def lookup_first(df: DataFrame, keys: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """First row per looked-up key: semi join to the key set, then one row per key."""
+    hit = df.join(keys.select(key).distinct(), key, "left_semi")
+    return latest_by(hit, [key], order, [c for c in df.columns if c != key])
+
+
+def telemetry_gaps(runs: DataFrame, task_events: DataFrame, expected_tasks: list[str]) -> DataFrame:
+    """Per terminal run: expected tasks without a terminal event, and started
+    tasks that never reached one."""
+    terminal = task_events.filter(F.col("event_type").isin(*TERMINAL)).select("pipeline_run_id", "task_id").distinct()
+    done = runs.filter(F.col("status").isin("SUCCESS", "FAILED")).select("pipeline_run_id")
+    expected = done.select("pipeline_run_id", F.explode(F.array(*[F.lit(t) for t in expected_tasks])).alias("task_id"))
+    missing = expected.join(terminal, ["pipeline_run_id", "task_id"], "left_anti").withColumn(
+        "gap_type", F.lit("missing_terminal")
+    )
+    started = task_events.filter(F.col("event_type") == "STARTED").select("pipeline_run_id", "task_id").distinct()
+    dangling = started.join(terminal, ["pipeline_run_id", "task_id"], "left_anti").withColumn(
+        "gap_type", F.lit("started_not_terminal")
+    )
+    return missing.unionByName(dangling)
+
+
+def upstream_failed_rows(runs: DataFrame, task_events: DataFrame, expected_tasks: list[str]) -> DataFrame:
+    """FAILED run -> one UPSTREAM_FAILED event per expected task with no terminal event."""
+    failed = runs.filter(F.col("status") == "FAILED")
+    gaps = telemetry_gaps(failed, task_events, expected_tasks).filter(F.col("gap_type") == "missing_terminal")
+    return gaps.select(
+        "pipeline_run_id", "task_id", F.lit(1).cast("bigint").alias("attempt"), F.lit("UPSTREAM_FAILED").alias("event_type")
+    )
+
+
+def task_timing(task_events: DataFrame, as_of) -> DataFrame:
+    """Per (run, task): exact / partial (no end: bounded by as_of) / none (no start)."""
+    g = task_events.groupBy("pipeline_run_id", "task_id").agg(
+        F.min(F.when(F.col("event_type") == "STARTED", F.col("event_time"))).alias("started_at"),
+        F.max(F.when(F.col("event_type").isin(*TERMINAL), F.col("event_time"))).alias("ended_at"),
+    )
+    now = F.lit(as_of).cast("timestamp_ntz")
+    no_start = F.col("started_at").isNull()
+    end = F.coalesce(F.col("ended_at"), now)
+    ms = F.greatest(F.lit(0).cast("bigint"), F.timestamp_diff("MILLISECOND", F.col("started_at"), end))
+    return g.select(
+        "pipeline_run_id",
+        "task_id",
+        F.when(no_start, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("started_at")).alias("started_at"),
+        F.when(no_start, F.lit(None).cast("timestamp_ntz")).otherwise(end).alias("ended_at"),
+        F.when(no_start, F.lit(None).cast("bigint")).otherwise(ms).alias("duration_ms"),
+        F.when(no_start, "none").when(F.col("ended_at").isNull(), "partial").otherwise("exact").alias("timing_confidence"),
+    )
+
+
+def backfill_calendar(loaded_dates: DataFrame, start: str, end: str, date_col: str = "event_date") -> DataFrame:
+    """Calendar days in [start, end] with no loaded data (anti join to the
+    distinct loaded dates)."""
+    if end < start:
+        raise ValueError("end date precedes start date")
+    spark = loaded_dates.sparkSession
+    cal = spark.range(1).select(
+        F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("missing_date")
+    )
+    have = loaded_dates.select(F.col(date_col).alias("missing_date")).distinct()
+    return cal.join(have, "missing_date", "left_anti")

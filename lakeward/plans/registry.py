@@ -34,4 +34,5 @@ def load_all() -> None:
         q_core,
         q_suites,
         q_ops,
+        q_ops2,
     )
