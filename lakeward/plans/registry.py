@@ -35,4 +35,5 @@ def load_all() -> None:
         q_suites,
         q_ops,
         q_ops2,
+        q_text,
     )
