@@ -36,4 +36,5 @@ def load_all() -> None:
         q_ops,
         q_ops2,
         q_text,
+        q_alerts,
     )
