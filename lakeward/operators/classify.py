@@ -49,12 +49,14 @@ def country_seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, True) for c in SEED_COUNTRY_CODES], COUNTRY_SEED_SCHEMA)
 
 
-def _window_ranks(df: DataFrame) -> DataFrame:
+def _window_ranks(df: DataFrame, prepartitioned: bool = False) -> DataFrame:
+    # hash(event_id) satisfies both windows' clustering: one exchange in total.
     w1 = Window.partitionBy(*WITHIN_KEYS).orderBy(*within_order())
     w2 = Window.partitionBy(*CANONICAL_KEYS).orderBy(*canonical_order())
+    if not prepartitioned:
+        df = df.repartition("event_id")
     return (
-        df.repartition("event_id")
-        .withColumn("within_batch_duplicate_rank", F.row_number().over(w1))
+        df.withColumn("within_batch_duplicate_rank", F.row_number().over(w1))
         .withColumn("duplicate_rank", F.row_number().over(w2))
     )
 
@@ -64,7 +66,9 @@ def _range_ranks(df: DataFrame) -> DataFrame:
     return range_row_number(df, CANONICAL_KEYS, canonical_order(), "duplicate_rank")
 
 
-def rank_duplicates(stg: DataFrame, hot_event_ids: DataFrame | None | str = "auto") -> DataFrame:
+def rank_duplicates(
+    stg: DataFrame, hot_event_ids: DataFrame | None | str = "auto", *, prepartitioned: bool = False
+) -> DataFrame:
     """Adds ``batch_scope``, ``within_batch_duplicate_rank`` and ``duplicate_rank``.
 
     ``hot_event_ids``: "auto" samples for event ids too big for one task;
@@ -73,7 +77,7 @@ def rank_duplicates(stg: DataFrame, hot_event_ids: DataFrame | None | str = "aut
     if isinstance(hot_event_ids, str):
         hot_event_ids = detect_hot_keys(scoped, CANONICAL_KEYS)
     normal, hot = split_hot(scoped, hot_event_ids, CANONICAL_KEYS)
-    ranked = _window_ranks(normal)
+    ranked = _window_ranks(normal, prepartitioned)
     if hot is not None:
         ranked = ranked.unionByName(_range_ranks(hot))
     return ranked
@@ -85,24 +89,25 @@ def classify_events(
     *,
     now=None,
     hot_event_ids: DataFrame | None | str = "auto",
+    prepartitioned: bool = False,
 ) -> DataFrame:
     """``stg_events`` -> ``int_event_classification`` (one row per physical row).
 
+    ``prepartitioned``: the input is already hash-partitioned by ``event_id``
+    (e.g. the raw rows were repartitioned before staging, so the staging
+    projection runs after the shuffle and the shuffle carries the narrower raw
+    rows); no further exchange is added for the windows.
+
     Precedence: missing_user_id > invalid_country_code > future_dated >
     duplicate_extra > accepted. Ranks are computed over every staged row, before
     reasons are assigned (a rejected rank-1 row still outranks its siblings)."""
     spark = stg.sparkSession
     if countries is None:
         countries = country_seed(spark)
-    # The active-country vocabulary is a bounded seed (ISO codes), so it is
-    # broadcast; dropDuplicates keeps the left join 1:1.
-    active = (
-        countries.filter(F.col("is_active"))
-        .select("country_code")
-        .dropDuplicates()
-        .withColumn("_valid_country", F.lit(True))
-    )
-    ranked = rank_duplicates(stg, hot_event_ids)
+    # The active-country vocabulary is a bounded seed (ISO codes, one row per
+    # code by its grain), so it is broadcast and the left join stays 1:1.
+    active = countries.filter(F.col("is_active")).select("country_code").withColumn("_valid_country", F.lit(True))
+    ranked = rank_duplicates(stg, hot_event_ids, prepartitioned=prepartitioned)
     joined = ranked.join(F.broadcast(active), "country_code", "left")
     is_valid = F.col("_valid_country").isNotNull()
     within_dup = F.col("within_batch_duplicate_rank") > 1

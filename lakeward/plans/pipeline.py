@@ -48,7 +48,12 @@ class Pipeline:
     @property
     def classified(self) -> DataFrame:
         def build():
-            df = classify.classify_events(self.stg, now=self.now, hot_event_ids=self.hot_event_ids)
+            # Shuffle the (narrower) raw rows by event_id, stage after the
+            # exchange; both dedup windows reuse that partitioning.
+            stg = staging.stage_events(self.raw.repartition("event_id"))
+            df = classify.classify_events(
+                stg, now=self.now, hot_event_ids=self.hot_event_ids, prepartitioned=True
+            )
             if self.materialize:
                 ensure_checkpoint_dir(self.spark)
                 df = df.checkpoint(eager=True)
