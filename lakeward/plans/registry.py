@@ -37,4 +37,5 @@ def load_all() -> None:
         q_ops2,
         q_text,
         q_alerts,
+        q_ingest,
     )
