@@ -38,4 +38,5 @@ def load_all() -> None:
         q_text,
         q_alerts,
         q_ingest,
+        q_lineage,
     )
