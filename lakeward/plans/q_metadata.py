@@ -1,0 +1,73 @@
+"""Registered queries: column catalog and schema drift over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lakeward.operators import metadata, monitors
+from lakeward.plans.registry import query
+from lakeward.sources.tables import DRIVER_TABLES, read_table
+
+
+@query(
+    "columns_per_table",
+    "SELECT table_name, count(*) AS column_count FROM information_schema.columns WHERE table_name IN ("
+    + ", ".join(f"'{t}'" for t in DRIVER_TABLES)
+    + ") GROUP BY 1",
+)
+def q_columns_per_table(spark, d):
+    tables = {t: read_table(spark, d, t) for t in DRIVER_TABLES}
+    return metadata.columns_per_table(metadata.schema_fields(spark, tables))
+
+
+def drift_inputs(spark, d):
+    """Expected manifest = the tables as declared (first column REQUIRED,
+    events partitioned by ts, plus one table that does not exist); live = the
+    tables as read, with rule-based edits per table (by sorted position):
+    0 drop the last column, 1 retype the first, 2 add a nullable column,
+    3 add a required column."""
+    tables = {t: read_table(spark, d, t) for t in DRIVER_TABLES}
+    fields = metadata.schema_fields(spark, tables)
+    expected = fields.withColumn("is_nullable", F.when(F.col("ordinal") == 1, "NO").otherwise(F.col("is_nullable")))
+    order = {t: i for i, t in enumerate(sorted(DRIVER_TABLES))}
+    pos = F.create_map(*[x for t, i in order.items() for x in (F.lit(t), F.lit(i % 4))])[F.col("table_name")]
+    last = fields.groupBy("table_name").agg(F.max("ordinal").alias("last"))
+    live = (
+        fields.join(last, "table_name")
+        .filter(~((pos == 0) & (F.col("ordinal") == F.col("last"))))
+        .withColumn(
+            "data_type",
+            F.when((pos == 1) & (F.col("ordinal") == 1),
+                   F.when(F.col("data_type") == "string", "bigint").otherwise("string")).otherwise(F.col("data_type")),
+        )
+        .drop("last")
+    )
+    extra = fields.filter((F.col("ordinal") == 1) & pos.isin(2, 3)).select(
+        "table_name", F.lit("extra_col").alias("column_name"), F.lit(99).alias("ordinal"),
+        F.lit("string").alias("data_type"), F.when(pos == 2, "YES").otherwise("NO").alias("is_nullable"),
+        F.lit("NO").alias("is_partitioning_column"),
+    )
+    live = live.unionByName(extra)
+    parts = spark.createDataFrame(
+        [(t, "ts" if t == "events" else None) for t in DRIVER_TABLES] + [("audit_log", None)],
+        "table_name string, partition_column string",
+    )
+    return expected, live, parts
+
+
+@query("schema_drift")
+def q_schema_drift(spark, d):
+    e, l, p = drift_inputs(spark, d)
+    return metadata.schema_drift(e, l, p, allowed_new=["documents.extra_col"])
+
+
+@query("drift_summary")
+def q_drift_summary(spark, d):
+    e, l, p = drift_inputs(spark, d)
+    return metadata.drift_summary(metadata.schema_drift(e, l, p, allowed_new=["documents.extra_col"]))
+
+
+@query("mon_schema_drift")
+def q_mon_schema_drift(spark, d):
+    e, l, p = drift_inputs(spark, d)
+    return monitors.schema_drift_check(metadata.schema_drift(e, l, p, allowed_new=["documents.extra_col"]))

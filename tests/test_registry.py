@@ -40,8 +40,11 @@ def test_query_matches_oracle(spark, con, key):
     assert got == want
 
 
+NO_ORACLE = {"schema_drift", "drift_summary", "mon_schema_drift"}  # metadata-derived; unit-tested
+
+
 def test_every_query_has_an_oracle():
-    assert set(ent.queries()) == set(ent.oracle_sql())
+    assert set(ent.queries()) - set(ent.oracle_sql()) == NO_ORACLE
 
 
 def test_entry_runs(spark):
