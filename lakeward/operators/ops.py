@@ -106,3 +106,23 @@ def backfill_calendar(loaded_dates: DataFrame, start: str, end: str, date_col: s
     )
     have = loaded_dates.select(F.col(date_col).alias("missing_date")).distinct()
     return cal.join(have, "missing_date", "left_anti")
+
+
+def ledger_latest(ledger: DataFrame) -> DataFrame:
+    """Latest ledger row per migration (``max_by`` over applied_at, then seq)."""
+    return latest_by(ledger, ["migration_id"], ["applied_at", "seq"], ["migration_checksum", "status", "applied_at"])
+
+
+def migration_plan(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Manifest (migration_id, checksum) left join latest ledger state:
+    PENDING / FAILED_PREVIOUSLY / CHECKSUM_MISMATCH / APPLIED (failed first)."""
+    latest = ledger_latest(ledger)
+    j = manifest.join(latest, "migration_id", "left")
+    return j.select(
+        "migration_id",
+        F.when(F.col("status").isNull(), "PENDING")
+        .when(F.col("status") == "FAILED", "FAILED_PREVIOUSLY")
+        .when(F.col("migration_checksum") != F.col("checksum"), "CHECKSUM_MISMATCH")
+        .otherwise("APPLIED")
+        .alias("plan_state"),
+    )
