@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as ent
 from lakeward.plans.pipeline import Pipeline
+from lakeward.plans.registry import ORACLES, QUERIES, load_all
 from lakeward.sources.tables import DRIVER_TABLES, table_path
 
 SF = "/root/testdata/sf0.001"
@@ -44,7 +45,8 @@ NO_ORACLE = {"schema_drift", "drift_summary", "mon_schema_drift"}  # metadata-de
 
 
 def test_every_query_has_an_oracle():
-    assert set(ent.queries()) - set(ent.oracle_sql()) == NO_ORACLE
+    load_all()
+    assert set(QUERIES) - set(ORACLES) == NO_ORACLE
 
 
 def test_entry_runs(spark):
