@@ -103,3 +103,27 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def components(links: DataFrame, name: str) -> DataFrame:
+    """``node, root``: the smallest node reachable over the links ``u, v`` (longs), for every linked node.
+
+    Rounds of least neighbour label plus one pointer jump, each written as a
+    table; only "did anything change" reaches the driver.
+    """
+    both = materialise(links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).distinct(), f"{name}-links")
+    label = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v"))
+    label = materialise(label.select("node", F.least("node", "v").alias("root")), f"{name}-0")
+    while True:
+        seen = label.select(F.col("node").alias("v"), "root")
+        near = both.join(seen, "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
+        step = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
+        step = materialise(step, f"{name}-step")
+        up = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
+        label = step.join(up, "new", "left").select(
+            "node", "old", F.least("new", F.coalesce("up", "new")).alias("root")
+        )
+        label = materialise(label, f"{name}-round")
+        if label.where("root <> old").isEmpty():
+            return label.select("node", "root")
+        label = label.select("node", "root")

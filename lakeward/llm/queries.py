@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import exact_dedup, mixing, quality
+from lakeward.llm import exact_dedup, html_main, mixing, packing, quality, secrets, simhash
 from lakeward.sources.tables import read_table
 
 WS_SQL = r"[\x20\x09-\x0D]+"
@@ -107,9 +107,42 @@ select doc_id, min(doc_id) over (partition by text_sha256) as keep_id,
 from n
 """
 
+
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id").drop("_key")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_main.extract(read_table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.group(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        *[count(kind) for kind in base],
+        F.sha2(secrets.spans_text(F.col("spans"), tuple(base)), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_pack": op2_pack,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_main_text": op5_main_text,
+    "op6_simhash": op6_simhash,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL}
