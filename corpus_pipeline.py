@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeward.llm import exact_dedup, mixing, quality
+from lakeward.llm import exact_dedup, mixing, packing, quality, simhash
 from lakeward.sources.tables import read_table
 
 
@@ -22,15 +22,27 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.deduplicate(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near fingerprints the document that names it stays."""
+    return simhash.deduplicate(docs)
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target asks for."""
     return mixing.mix(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place; a document taken twice is packed twice."""
+    return packing.pack(docs).withColumnRenamed("_id", "doc_id").drop("_key")
+
+
 STAGES = [
     ("quality", quality_rules),
     ("exact_dedup", exact_duplicates),
+    ("near_dedup", near_duplicates),
     ("mix", source_mix),
+    ("pack", packed),
 ]
 
 
