@@ -177,11 +177,24 @@ def main_text(page: str, weights: Weights) -> str:
 
 def fit(pages: DataFrame, most: int = LABELLED) -> Weights:
     """Weights from at most ``most`` labelled pages, chosen by hash so that reruns agree."""
-    labelled = pages.where(F.lower(col("html")).contains("<article")).select(col("html").alias("html"), row_key(pages).alias("_key"))
-    seen: Counter = Counter()
-    for row in labelled.orderBy("_key").limit(most).select("html").toLocalIterator():
-        seen += count_kinds(row["html"])
-    return Weights(seen)
+    labelled = pages.where(F.lower(col("html")).contains("<article")).select(row_key(pages).alias("_key"), col("html").alias("html"))
+    chosen = F.broadcast(labelled.select("_key").distinct().orderBy("_key").limit(most))
+
+    def count(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            for page in batch.column("html"):
+                seen += count_kinds(page.as_py())
+            rows = [(*k, n) for k, n in seen.items()]
+            names = ["what", "kind", "inside", "n"]
+            types = [pa.string(), pa.string(), pa.bool_(), pa.int64()]
+            arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    counted = labelled.join(chosen, "_key", "left_semi").dropDuplicates(["_key"])
+    counted = counted.mapInArrow(count, "what string, kind string, inside boolean, n bigint")
+    rows = counted.groupBy("what", "kind", "inside").agg(F.sum("n").alias("n")).collect()  # one row per kind of element
+    return Weights(Counter({(r["what"], r["kind"], r["inside"]): r["n"] for r in rows}))
 
 
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
