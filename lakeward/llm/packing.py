@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from lakeward.llm.common import col, materialise, row_key, text_of
 
 CAPACITY = 2048
-#: Chunks a worker remembers before it starts afresh; results do not depend on it.
-MEMO = 300_000
+#: Chunks a worker remembers; the others are tokenized anew. Results do not depend on it.
+MEMO = 800_000
+_TEXT_AT_ONCE = 1 << 23
 
 _PIECES = (
     "_id bigint, _key bigint, piece int, start bigint, length bigint, ids_crc32 bigint, _task bigint, _nth bigint"
@@ -44,7 +46,13 @@ def public_tokenizer_path() -> str:
 
 
 class ChunkTokenizer:
-    """Little-endian 32-bit ids of a text, chunk by chunk through a memo."""
+    """Ids of texts, chunk by chunk through a memo.
+
+    The tokenizer lower-cases, so texts without special-token marks are lower-cased
+    (ASCII only) first; a comma or full stop after a letter is a token run of its
+    own, so the word before it is looked up without it. Each distinct chunk of a
+    batch is looked up once.
+    """
 
     def __init__(self, path: str, memo: int = MEMO):
         import os
@@ -52,19 +60,59 @@ class ChunkTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), memo, {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        chunked = [t.split() for t in texts]
-        if len(self.memo) > self.most:
-            self.memo = {}
-        new = list({c for chunks in chunked for c in chunks if c not in self.memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            self.memo.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, found, strict=True))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in chunked]
+        self.tokenizer, self.most, self.memo = Tokenizer.from_file(path), memo, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.point = {c: np.array(self.tokenizer.encode(c).ids, "<u4").tobytes() for c in ".,"}
+
+    def _tokenize(self, chunks: list[str]) -> dict[str, bytes]:
+        """Chunks of letters only are one token run each and go many to a call, told apart by their word-end tokens."""
+        plain = [c for c in chunks if c.isalpha() and c.lower().isalpha()]
+        out = {}
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                raw = ids.tobytes()
+                out.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(part, [0, *ends], ends, strict=False))
+        other = [c for c in chunks if c not in out]
+        for at in range(0, len(other), 512):
+            part = other[at : at + 512]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            out.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, found, strict=True))
+        return out
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        memo = self.memo
+        found = list(map(memo.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        stems = {i: c[:-1] for i in new if (c := chunks[i])[-1] in ".," and c[-2:-1].isalpha() and "<|" not in c}
+        need = {stems.get(i, chunks[i]) for i in new}
+        learned = {c: ids for c in need if (ids := memo.get(c)) is not None}
+        fresh = self._tokenize([c for c in need if c not in learned])
+        learned.update(fresh)
+        if len(memo) < self.most:
+            memo.update(fresh)
+        for i in new:
+            c = chunks[i]
+            found[i] = learned[stems[i]] + self.point[c[-1]] if i in stems else learned[c]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` on end, and where each text's ids begin and end."""
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        found = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, at = np.cumsum(size) - size, coded.indices.to_numpy()
+        many = size[at]
+        ends = np.r_[0, np.cumsum(many)]
+        where = np.repeat(first[at] - ends[:-1], many) + np.arange(ends[-1])
+        return ids[where], ends[chunks.offsets.to_numpy()]
 
 
 _held: dict[str, ChunkTokenizer] = {}
@@ -76,17 +124,19 @@ def cut(path: str, capacity: int):
             _held[path] = ChunkTokenizer(path)
         tokenizer, task, seen = _held[path], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+            for own in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size // _TEXT_AT_ONCE)) + 1):
+                part = batch.slice(int(own[0]), len(own))
                 rows = []
-                texts = [t.encode() for t in part.column("text").to_pylist()]
+                ids, ends = tokenizer.encode(part.column("text"))
                 keys = zip(part.column("_id").to_pylist(), part.column("_key").to_pylist(), strict=True)
-                for (i, key), ids in zip(keys, tokenizer.encode(texts), strict=True):
-                    ids += b"\0\0\0\0"
-                    for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        n = len(own) // 4
-                        rows.append((i, key, piece, start, n, zlib.crc32(own), task, int(seen[n])))
+                for (i, key), begin, end in zip(keys, ends.tolist(), ends[1:].tolist(), strict=False):
+                    for piece, start in enumerate(range(0, end - begin + 1, capacity)):
+                        mine = ids[begin + start : min(begin + start + capacity, end)]
+                        crc, n = zlib.crc32(mine), len(mine)
+                        if n < capacity:  # the closing id
+                            crc, n = zlib.crc32(bytes(4), crc), n + 1
+                        rows.append((i, key, piece, start, n, crc, task, int(seen[n])))
                         seen[n] += 1
                 names = [x.split()[0] for x in _PIECES.split(", ")]
                 types = [pa.int32() if n == "piece" else pa.int64() for n in names]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -51,7 +52,9 @@ def test_chunks_tokenize_as_whole_texts_do():
     for _ in range(200):
         text = "".join(rng.choice(alphabet, 40)) + "<|endoftext|> x<|startoftext|>"
         want = whole.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(chunked.encode([text.encode()])[0], "<u4").tolist() == want
+        ids, ends = chunked.encode(pa.array(["", text, "A. a, é. '."]))
+        assert ids[ends[1] : ends[2]].tolist() == want and ends[1] == 0
+        assert ids[ends[2] :].tolist() == whole.encode("A. a, é. '.", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(6))
