@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import exact_dedup, html_main, mixing, packing, quality, secrets, simhash
+from lakeward.llm import exact_dedup, html_main, maxent_lm, mixing, packing, quality, secrets, simhash, toxicity
 from lakeward.sources.tables import read_table
 
 WS_SQL = r"[\x20\x09-\x0D]+"
@@ -124,6 +124,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return rows.withColumnRenamed("_id", "doc_id").drop("_key")
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(read_table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE]
@@ -143,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_main_text": op5_main_text,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op9_lm_score": op9_lm_score,
     "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL}

@@ -201,3 +201,77 @@ def test_main_text_of_another_layout(spark, learned):
     want = "Real title\nFirst <para> of the article & more words here.\nSecond paragraph with enough words to count.\nA quote of some words."
     assert html_main.main_text(PAGE, weights) == want
     assert html_main.main_text("", weights) == html_main.main_text("<nav><a>x</a></nav>", weights) == ""
+
+
+def lm_tokens(text):
+    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or "")) + [None]
+
+
+def test_lm_base_and_gain(spark):
+    import math
+    from collections import Counter
+
+    from lakeward.llm import maxent_lm
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = df.collect()
+    learned = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    n = Counter(t for r in learned for t in lm_tokens(r.text))
+    total = sum(n.values())
+    got = {r._id: r for r in maxent_lm.score(df, frequent=2000).collect()}
+    for r in rows:
+        tokens, g = lm_tokens(r.text), got[r.doc_id]
+        base = sum(math.log10((n[t] + 1) / (total + len(n) + 1)) for t in tokens)
+        assert g.base_score == pytest.approx(base, abs=1e-6) and g.score < 0
+        assert (g.n_tokens, g.n_known, g.train_tokens) == (len(tokens), sum(n[t] > 0 for t in tokens), total)
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
+    held = [g for g in got.values() if g.held_out]
+    assert sum(g.score for g in held) > sum(g.base_score for g in held)
+
+
+def test_lm_sums_to_one(spark):
+    """Over one history, the words of every class and its unknown word have probability one together."""
+    from lakeward.llm import maxent_lm as lm
+
+    words = spark.createDataFrame([(f"w{i}", i % 7 + 1) for i in range(200)], "word string, n long")
+    v = lm._vocabulary(words, 5, 300)
+    rng = np.random.default_rng(1)
+    z = lm._log_softmax(rng.normal(size=(64, lm.CLASSES)).astype(np.float32), np.array([[3, 9, 60]]))[0]
+    _, classes, log_n, known = v.look_up([f"w{i}" for i in range(200)])
+    assert known.all()
+    total = sum(np.exp(z[c]) * 10 ** (g - v.log_total[c]) for c, g in zip(classes, log_n, strict=True))
+    total += np.exp(z[0]) * 10 ** (np.log10(6) - v.log_total[0])
+    total += sum(np.exp(z[c]) / 10 ** v.log_total[c] for c in range(lm.CLASSES))
+    assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_learns_an_order(spark):
+    """Held-out texts in the learned word order score above the same words shuffled."""
+    from lakeward.llm import maxent_lm
+
+    rng = np.random.default_rng(5)
+    cycle = "red green blue one two three up down left right".split()
+
+    def text(k):
+        at = int(rng.integers(10))
+        return " ".join(cycle[(at + i) % 10] for i in range(40 + k % 5))
+
+    rows = [(i, text(i)) for i in range(600)]
+    mixed = [(10_000 + i, " ".join(rng.permutation(t.split()))) for i, t in rows if zlib.crc32(str(10_000 + i).encode()) % 7 == 2]
+    got = maxent_lm.score(spark.createDataFrame(rows + mixed, "doc_id long, text string")).collect()
+    right = [r.score / r.n_tokens for r in got if r.held_out and r._id < 10_000]
+    wrong = [r.score / r.n_tokens for r in got if r._id >= 10_000]
+    assert wrong and np.mean(right) > np.mean(wrong) + 0.3
+
+
+def test_toxicity_on_held_out_labels(spark):
+    from lakeward.llm import toxicity
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.classify(docs, labels).join(labels, toxicity.F.col("_id") == labels.doc_id).where("held_out").collect()
+    score, y = np.array([r.score for r in got]), np.array([r.toxic for r in got])
+    assert ((score >= 0) & (score <= 1)).all() and all(r.predicted == (r.score >= 0.5) for r in got)
+    wins = (score[y == 1][:, None] > score[y == 0]).mean() + 0.5 * (score[y == 1][:, None] == score[y == 0]).mean()
+    assert wins > 0.85 and (score[y == 0] >= 0.5).mean() < 0.03
+    print("auc", wins, "clean flagged", (score[y == 0] >= 0.5).mean(), "caught", (score[y == 1] >= 0.5).mean())
