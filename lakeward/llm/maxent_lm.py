@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from lakeward.llm.common import col, materialise, text_of
 
 FOLDS, HELD = 7, 2
-HEAD, CLASSES = 15, 32  # frequent words with a class each; all classes, the end token's first
-ROWS = 1 << 16
-FREQUENT = 400_000
+HEAD, CLASSES = 11, 24  # frequent words with a class each; all classes, the end token's first
+ROWS = 1 << 16  # at most this many, so that rows sort as 16-bit numbers
+FREQUENT = 250_000
 ROUNDS = 3
 RATE = 0.5
 BLOCKS = 64
-_STEP = 1 << 13  # tokens of one gradient step
-_TEXT_AT_ONCE = 1 << 23
+_STEP = 1 << 14  # tokens of one gradient step
+_TEXT_AT_ONCE = 1 << 22
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,10 +124,10 @@ def _history(token: np.ndarray, begin: np.ndarray, hashed: np.ndarray, rows: int
         back.append(h)
     one, two = back
     mixed = [one * np.uint64(3) + np.uint64(1), (one * np.uint64(0x9E3779B97F4A7C15) ^ two) * np.uint64(5), two * np.uint64(7) + np.uint64(2)]
-    out = np.empty((len(own), 3), np.int64)
+    out = np.empty((len(own), 3), np.uint16)
     for k, m in enumerate(mixed):
         m = m * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, k] = ((m ^ (m >> np.uint64(31))) % np.uint64(rows)).astype(np.int64)
+        out[:, k] = ((m ^ (m >> np.uint64(31))) % np.uint64(rows)).astype(np.uint16)
     return out
 
 
@@ -145,8 +145,9 @@ def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: n
     g[np.arange(len(g)), classes] -= 1
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-    touched, n = flat[order[first]], np.diff(np.r_[first, len(flat)])
+    ordered = flat[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    touched, n = ordered[first], np.diff(np.r_[first, len(flat)])
     total = np.add.reduceat(g[order // 3], first, axis=0)
     weights[touched] -= (RATE / n)[:, None].astype(np.float32) * total
     seen[touched] += n
