@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.llm import exact_dedup, html_main, maxent_lm, mixing, packing, quality, secrets, simhash, toxicity
+from lakeward.llm import exact_dedup, html_main, maxent_lm, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity
 from lakeward.sources.tables import read_table
 
 WS_SQL = r"[\x20\x09-\x0D]+"
@@ -129,6 +129,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("_id", "doc_id").drop("_key")
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(read_table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
 
@@ -153,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_main_text": op5_main_text,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_substrings": op8_substrings,
     "op9_lm_score": op9_lm_score,
     "op10_secrets": op10_secrets,
 }
