@@ -40,7 +40,7 @@ FILTER_BITS = 1 << 26
 _WIDE = LENGTH - GRAM + 1  # grams in a window
 _LONGEST = 256  # windows of one run; a longer run (periodic text) is cut
 _AT_ONCE = 1 << 18  # bytes hashed at once, unless one text is longer
-_RUNS_AT_ONCE = 1 << 17
+_RUNS_AT_ONCE = 1 << 14
 
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -59,13 +59,26 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_tables = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for the next call up to a few megabytes."""
+    global _tables
+    if len(_tables[0]) >= n:
+        return _tables
+    made = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+    if n <= 1 << 21:
+        _tables = made
+    return made
+
+
 class Hasher:
     """Rolling hashes of substrings, equal for equal bytes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.up = _powers(_BASE, n + 1)
-        down = _powers(pow(_BASE, -1, 1 << 64), n + 1)
+        self.up, down = _power_tables(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * down[:n], out=self.sums[1:])
 
@@ -136,44 +149,64 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int32))], ["bucket", "n"])
 
 
-def _gather(bits, hot):
-    """Runs whose bucket may hold another one: with their bytes, or as single windows where the bucket is hot."""
+def _gather(bits, hot, windows_only: bool):
+    """Runs whose bucket may hold another one, with their bytes; or the single windows of the hot buckets."""
 
     def run(batches):
         known, large = bits.value, hot.value
         for batch in batches:
-            ids, text_hash = batch.column("_id"), batch.column("_hash").to_numpy()
+            ids, text_hash, held = batch.column("_id"), batch.column("_hash").to_numpy(), []
             for rows, data, ends in _parts(batch):
                 bucket, start, windows, _ = runs(data, ends)
                 slot = bucket % np.uint64(FILTER_BITS)
                 keep = (known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                keep &= np.isin(bucket, large) == windows_only
                 bucket, start, windows = bucket[keep], start[keep], windows[keep]
                 if not len(bucket):
                     continue
-                is_hot = np.isin(bucket, large)
                 doc = np.searchsorted(ends, start, "right") - 1
                 pos = (text_hash[rows[doc]] << _ID_BITS) + start - ends[doc]
                 own = ids.take(pa.array(rows[doc]))
-                cold = np.flatnonzero(~is_hot)
-                size = windows[cold] + LENGTH - 1
-                body = data[_stretches(start[cold], size)]
-                offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
-                body = pa.Array.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
-                key = pa.array(bucket[cold].view(np.int64))
-                yield _batch(key, own.take(pa.array(cold)), pa.array(pos[cold]), body)
-                if is_hot.any():
-                    hasher, at = Hasher(data), np.flatnonzero(is_hot)
-                    each = _stretches(start[at], windows[at])
-                    key = pa.array(hasher.some(each, each + LENGTH).view(np.int64))
-                    of = np.repeat(at, windows[at])
-                    where = pa.array(pos[of] + each - start[of])
-                    yield _batch(key, own.take(pa.array(of)), where, pa.nulls(len(of), pa.binary()))
+                if windows_only:
+                    each, of = _stretches(start, windows), np.repeat(np.arange(len(start)), windows)
+                    key = Hasher(data).some(each, each + LENGTH)
+                    held.append((key, own.take(pa.array(of)), pos[of] + each - start[of]))
+                    continue
+                size = windows + LENGTH - 1
+                offsets = pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes())
+                body = pa.py_buffer(data[_stretches(start, size)].tobytes())
+                body = pa.Array.from_buffers(pa.binary(), len(start), [None, offsets, body])
+                arrays = [pa.array(bucket.view(np.int64)), own, pa.array(pos), body]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "_id", "pos", "body"])
+            if held:
+                key, pos = (np.concatenate([h[k] for h in held]) for k in (0, 2))
+                yield _earliest(key, pa.concat_arrays([h[1] for h in held]), pos)
 
     return run
 
 
-def _batch(*arrays):
-    return pa.RecordBatch.from_arrays(list(arrays), ["key", "_id", "pos", "body"])
+def _order(ids: pa.Array, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document order, and whether each but the first in it stands at the very place of the one before."""
+    number, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+    order = np.lexsort((pos, number, null))
+    a, b = order[:-1], order[1:]
+    return order, (pos[a] == pos[b]) & (number[a] == number[b]) & (null[a] == null[b])
+
+
+def _earliest(key: np.ndarray, ids: pa.Array, pos: np.ndarray) -> pa.RecordBatch:
+    """Of equal windows the earliest, with its key; the others as stretches without one: they go in any case."""
+    order, same = _order(ids, pos)
+    order = order[np.r_[True, ~same]]
+    _, at, of = np.unique(key[order], return_index=True, return_inverse=True)
+    later = at[of] != np.arange(len(order))
+    first, rest = order[~later], order[later]
+    number = ids.fill_null(0).to_numpy()[rest]
+    begin = np.flatnonzero(np.r_[True, (np.diff(pos[rest]) != 1) | (np.diff(number) != 0)]) if len(rest) else rest
+    n = np.diff(np.r_[begin, len(rest)]) + LENGTH - 1
+    keys = pa.concat_arrays([pa.array(key[first].view(np.int64)), pa.nulls(len(begin), pa.int64())])
+    rows = np.r_[first, rest[begin]]
+    size = np.r_[np.full(len(first), LENGTH), n].astype(np.int32)
+    return pa.RecordBatch.from_arrays([keys, ids.take(pa.array(rows)), pa.array(pos[rows]), pa.array(size)], ["key", "_id", "pos", "n"])
 
 
 def refine(first: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -231,11 +264,8 @@ def _settle_sorted(batches):
     def solve(table: pa.Table):
         ids = table.column("_id").combine_chunks()
         place = table.column("pos").to_numpy()
-        number, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
-        order = np.lexsort((place, number, null))
-        a, b = order[:-1], order[1:]  # a run that comes twice is a row that comes twice
-        order = order[np.r_[True, (place[a] != place[b]) | (number[a] != number[b]) | (null[a] != null[b])]]
-        table = table.take(pa.array(order)).combine_chunks()
+        order, same = _order(ids, place)  # a run that comes twice is a row that comes twice
+        table = table.take(pa.array(order[np.r_[True, ~same]])).combine_chunks()
         ids, place, body = (table.column(c).combine_chunks() for c in ("_id", "pos", "body"))
         place = place.to_numpy()
         row, offset, size = settle(table.column("key").to_numpy(), ids, place, body)
@@ -274,20 +304,23 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     runs_in = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     large = several.where(F.col("n") > max(hot, runs_in // MOST_HOT)).select("bucket").toArrow()  # below MOST_HOT rows
     large = np.sort(large.column("bucket").to_numpy().view(np.uint64))
-    found = texts.mapInArrow(_gather(sc.broadcast(bits), sc.broadcast(large)), "key bigint, _id bigint, pos bigint, body binary")
-    if not len(large):
-        return found.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_sorted, "_id bigint, pos bigint, n int")
-    found = materialise(found, "runs")
-    cold = found.where("body is not null").repartition("key").sortWithinPartitions("key")
+    bits, large = sc.broadcast(bits), sc.broadcast(large)
+    cold = texts.mapInArrow(_gather(bits, large, False), "key bigint, _id bigint, pos bigint, body binary")
+    cold = cold.repartition("key").sortWithinPartitions("key")
     settled = cold.mapInArrow(_settle_sorted, "_id bigint, pos bigint, n int")
-    single = found.where("body is null").select("key", "_id", "pos")
+    if not len(large.value):
+        return settled
+    windows = texts.mapInArrow(_gather(bits, large, True), "key bigint, _id bigint, pos bigint, n int")
+    windows = materialise(windows, "windows")
+    single = windows.where("key is not null").select("key", "_id", "pos")
     place = F.struct(F.col("_id").isNull().alias("no"), "_id", "pos")
     first = single.groupBy("key").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1")
     first = first.select(F.col("key").alias("_key"), F.col("f._id").alias("_f_id"), F.col("f.pos").alias("_f_pos"))
     later = single.join(first, F.col("key") == F.col("_key")).where(
         ~(F.col("_id").eqNullSafe(F.col("_f_id")) & (F.col("pos") == F.col("_f_pos")))
     )
-    return settled.union(later.select("_id", "pos", F.lit(LENGTH).alias("n")))
+    later = later.select("_id", "pos", F.lit(LENGTH).alias("n"))
+    return settled.union(later).union(windows.where("key is null").select("_id", "pos", "n"))
 
 
 def _text_hash():
