@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakeward.operators.ranking import detect_hot_keys, range_row_number, split_hot
 from lakeward.schemas import ACCEPTED, PUBLISHED_CLASSIFICATION_COLUMNS, SEED_COUNTRY_CODES
@@ -39,24 +38,20 @@ def canonical_order():
         F.col("raw_record_hash").desc(),
     ]
 
-COUNTRY_SEED_SCHEMA = T.StructType(
-    [T.StructField("country_code", T.StringType(), False), T.StructField("is_active", T.BooleanType(), False)]
-)
-
-
 def country_seed(spark: SparkSession) -> DataFrame:
     """The valid-country seed (10 rows, all active)."""
-    return spark.createDataFrame([(c, True) for c in SEED_COUNTRY_CODES], COUNTRY_SEED_SCHEMA)
+    # inline values, not createDataFrame: Spark then knows their size and broadcasts them on its own
+    codes = ", ".join(f"('{c}', true)" for c in SEED_COUNTRY_CODES)
+    return spark.sql(f"SELECT * FROM VALUES {codes} AS t(country_code, is_active)")
 
 
-def _window_ranks(df: DataFrame, prepartitioned: bool = False) -> DataFrame:
+def _window_ranks(df: DataFrame) -> DataFrame:
     # hash(event_id) satisfies both windows' clustering: one exchange in total.
     w1 = Window.partitionBy(*WITHIN_KEYS).orderBy(*within_order())
     w2 = Window.partitionBy(*CANONICAL_KEYS).orderBy(*canonical_order())
-    if not prepartitioned:
-        df = df.repartition("event_id")
     return (
-        df.withColumn("within_batch_duplicate_rank", F.row_number().over(w1))
+        df.repartition("event_id")
+        .withColumn("within_batch_duplicate_rank", F.row_number().over(w1))
         .withColumn("duplicate_rank", F.row_number().over(w2))
     )
 
@@ -66,18 +61,18 @@ def _range_ranks(df: DataFrame) -> DataFrame:
     return range_row_number(df, CANONICAL_KEYS, canonical_order(), "duplicate_rank")
 
 
-def rank_duplicates(
-    stg: DataFrame, hot_event_ids: DataFrame | None | str = "auto", *, prepartitioned: bool = False
-) -> DataFrame:
+def rank_duplicates(stg: DataFrame, hot_event_ids: DataFrame | None | str = "auto") -> DataFrame:
     """Adds ``batch_scope``, ``within_batch_duplicate_rank`` and ``duplicate_rank``.
 
-    ``hot_event_ids``: "auto" samples for event ids too big for one task;
-    a DataFrame of known hot ids; or None to skip the skew path."""
+    ``hot_event_ids``: "auto" samples the input for event ids too big for one
+    task; a DataFrame of known hot ids; or None to skip the skew path. ``stg``
+    must not be shuffled yet: hot rows part from the others before any exchange
+    and go straight to the range sort."""
     scoped = stg.withColumn("batch_scope", F.coalesce("batch_id", "pipeline_run_id"))
     if isinstance(hot_event_ids, str):
         hot_event_ids = detect_hot_keys(scoped, CANONICAL_KEYS)
     normal, hot = split_hot(scoped, hot_event_ids, CANONICAL_KEYS)
-    ranked = _window_ranks(normal, prepartitioned)
+    ranked = _window_ranks(normal)
     if hot is not None:
         ranked = ranked.unionByName(_range_ranks(hot))
     return ranked
@@ -89,26 +84,19 @@ def classify_events(
     *,
     now=None,
     hot_event_ids: DataFrame | None | str = "auto",
-    prepartitioned: bool = False,
 ) -> DataFrame:
     """``stg_events`` -> ``int_event_classification`` (one row per physical row).
 
-    ``prepartitioned``: the input is already hash-partitioned by ``event_id``
-    (e.g. the raw rows were repartitioned before staging, so the staging
-    projection runs after the shuffle and the shuffle carries the narrower raw
-    rows); no further exchange is added for the windows.
-
     Precedence: missing_user_id > invalid_country_code > future_dated >
     duplicate_extra > accepted. Ranks are computed over every staged row, before
     reasons are assigned (a rejected rank-1 row still outranks its siblings)."""
     spark = stg.sparkSession
     if countries is None:
         countries = country_seed(spark)
-    # The active-country vocabulary is a bounded seed (ISO codes, one row per
-    # code by its grain), so it is broadcast and the left join stays 1:1.
+    # One row per code by the seed's grain, so the left join stays 1:1.
     active = countries.filter(F.col("is_active")).select("country_code").withColumn("_valid_country", F.lit(True))
-    ranked = rank_duplicates(stg, hot_event_ids, prepartitioned=prepartitioned)
-    joined = ranked.join(F.broadcast(active), "country_code", "left")
+    ranked = rank_duplicates(stg, hot_event_ids)
+    joined = ranked.join(active, "country_code", "left")
     is_valid = F.col("_valid_country").isNotNull()
     within_dup = F.col("within_batch_duplicate_rank") > 1
     extra = F.col("duplicate_rank") > 1

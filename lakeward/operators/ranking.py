@@ -5,7 +5,7 @@ hold a large share of all rows (e.g. one event id replayed a billion times),
 that task is the whole job. Here groups are split in two:
 
 * normal groups go through the ordinary hash-partitioned window;
-* hot groups (found by a bounded sample, see :func:`detect_hot_keys`) are
+* hot groups (found by a sample of the scan, see :func:`detect_hot_keys`) are
   globally range-sorted, so a hot group is spread over many tasks, and the
   rank is rebuilt from the sort position plus per-(group, partition) offsets.
 
@@ -20,37 +20,23 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeward.session import ensure_checkpoint_dir
+
 
 def detect_hot_keys(
-    df: DataFrame,
-    keys: list[str],
-    *,
-    task_rows: int = 5_000_000,
-    fraction: float = 0.001,
-    max_keys: int = 10_000,
-    seed: int = 17,
+    df: DataFrame, keys: list[str], *, task_rows: int = 5_000_000, fraction: float = 0.001, seed: int = 17
 ) -> DataFrame | None:
-    """Keys whose estimated group size exceeds ``task_rows`` rows.
+    """Keys whose estimated group size exceeds ``task_rows`` rows, NULL keys included.
 
-    Bernoulli sample of the key columns only, partial-aggregated; at most
-    ``max_keys`` keys reach the driver (the broadcast built from them is
-    bounded by that). Returns ``None`` when nothing is hot."""
-    spark = df.sparkSession
+    A Bernoulli sample of the key columns, aggregated map-side first; take it on a
+    scan, not above a shuffle. Every key found is kept, as a small written frame
+    (their number is at most rows / ``task_rows`` times two); ``None`` if there
+    are none."""
+    ensure_checkpoint_dir(df.sparkSession)
     min_hits = max(2, int(task_rows * fraction * 0.5))
-    hot = (
-        df.select(*keys)
-        .sample(withReplacement=False, fraction=fraction, seed=seed)
-        .groupBy(*keys)
-        .count()
-        .filter(F.col("count") >= min_hits)
-        .orderBy(F.col("count").desc())
-        .limit(max_keys)
-        .drop("count")
-        .collect()
-    )
-    if not hot:
-        return None
-    return spark.createDataFrame(hot, schema=df.select(*keys).schema)
+    sampled = df.select(*keys).sample(withReplacement=False, fraction=fraction, seed=seed)
+    hot = sampled.groupBy(*keys).count().filter(F.col("count") >= min_hits).drop("count").checkpoint(eager=True)
+    return None if hot.isEmpty() else hot
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
@@ -64,6 +50,7 @@ def range_row_number(df: DataFrame, keys: list[str], order: list[Column], out: s
     ordered = df.orderBy(*key_cols, *order).withColumn("_mid", F.monotonically_increasing_id())
     # Reliable checkpoint: cuts the lineage so sort positions are fixed even if
     # an executor is lost between the statistics pass and the final pass.
+    ensure_checkpoint_dir(df.sparkSession)
     ordered = ordered.checkpoint(eager=True)
     ordered = ordered.withColumn("_pid", F.shiftright("_mid", 33))
     w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,9 +70,9 @@ def range_row_number(df: DataFrame, keys: list[str], order: list[Column], out: s
 
 
 def split_hot(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(normal rows, hot rows) by a broadcast semi/anti join with the bounded
-    hot-key list."""
+    """(normal rows, hot rows) by null-safe anti / semi joins with the hot keys.
+    No hint: Spark broadcasts the written key list if its real size allows."""
     if hot is None:
         return df, None
-    b = F.broadcast(hot)
-    return df.join(b, keys, "left_anti"), df.join(b, keys, "left_semi")
+    on = _null_safe_on(df, hot, keys)
+    return df.join(hot, on, "left_anti"), df.join(hot, on, "left_semi")

@@ -56,15 +56,13 @@ def raw_check_stats(
     expected_rows: int = STANDARD_BATCH_ROWS,
     valid_countries: list[str] = SEED_COUNTRY_CODES,
     duplicate_event_ids: int = 2 * ANOMALY_PROFILE["duplicate_pairs"],
-    as_of_date: str = "2100-01-01",
 ) -> DataFrame:
     """Raw-load suite for every scope of ``raw`` (12 checks in batch scope,
     11 in run scope, then the overall verdict).
 
     Scope is ``batch_id`` (batch mode) or ``pipeline_run_id`` (legacy run mode).
     The primary partition of a scope is its processing date (load date for
-    legacy rows); future-dated compares ``event_date`` with it, falling back to
-    ``as_of_date`` where a row carries no processing date."""
+    legacy rows); future-dated compares ``event_date`` with it."""
     key = "batch_id" if scope == "batch" else "pipeline_run_id"
     ref_date = F.coalesce(F.col("processing_date"), F.to_date("ingested_at"))
     required_missing = reduce(
@@ -92,7 +90,7 @@ def raw_check_stats(
         F.count_if(F.col("batch_id").isNull()).alias("batch_null"),
         F.count_if(F.col("user_id").isNull()).alias("user_null"),
         F.count_if(~F.col("country_code").isin(*valid_countries)).alias("bad_country"),
-        F.count_if(F.col("event_date") > F.coalesce("processing_date", F.lit(as_of_date).cast("date"))).alias(
+        F.count_if(F.col("event_date") > ref_date).alias(
             "future"
         ),
         F.count_if(F.col("event_date") < F.to_date("event_timestamp")).alias("late"),
@@ -113,13 +111,12 @@ def raw_validation(
     expected_rows: int = STANDARD_BATCH_ROWS,
     valid_countries: list[str] = SEED_COUNTRY_CODES,
     duplicate_event_ids: int = 2 * ANOMALY_PROFILE["duplicate_pairs"],
-    as_of_date: str = "2100-01-01",
 ) -> DataFrame:
     """Raw-load suite for every scope of ``raw`` (12 checks in batch scope,
     11 in run scope, then the overall verdict), from one stats pass."""
     s = raw_check_stats(
         raw, scope=scope, expected_rows=expected_rows, valid_countries=valid_countries,
-        duplicate_event_ids=duplicate_event_ids, as_of_date=as_of_date,
+        duplicate_event_ids=duplicate_event_ids,
     )
     dup_groups_expected = duplicate_event_ids // 2
     rows = F.col("rows")
@@ -190,7 +187,9 @@ def warehouse_validation(
     batch_dates: DataFrame | None = None,
 ) -> DataFrame:
     """Warehouse reconciliation: six batch-scoped checks for every batch and
-    four global checks (batch_id NULL rows), then the overall verdict per batch.
+    four global checks (batch_id NULL rows), then the overall verdict per batch
+    over all ten. ``batch_dates`` (batch_id, expected_date) names the batches that
+    must be there: one without rows fails ``batch_nonempty``.
 
     Per-batch counts are grouped aggregations joined on batch_id (one row per
     batch); fact rows per accepted id come from a pre-aggregated fact key count,
@@ -225,9 +224,9 @@ def warehouse_validation(
     lineage = classified.filter(has_batch).groupBy("batch_id").agg(
         F.count_if(F.col("event_id").isNull() | F.col("pipeline_run_id").isNull()).alias("lineage_missing")
     )
-    batches = reduce(
-        lambda a, b: a.join(b, "batch_id", "full_outer"), [raw_c, cls_c, acc_c, rej_c, fact_c, bad_pd, lineage]
-    ).na.fill(0)
+    named = batch_dates.select("batch_id").distinct()
+    counted = [raw_c, cls_c, acc_c, rej_c, fact_c, bad_pd, lineage]
+    batches = reduce(lambda a, b: a.join(b, "batch_id", "full_outer"), counted, named).na.fill(0)
     batch_checks = [
         ("batch_nonempty", F.col("raw_rows") > 0, None, "raw_rows"),
         ("raw_equals_classification", F.col("raw_rows") == F.col("classified_rows"), "raw_rows", "classified_rows"),
@@ -241,10 +240,6 @@ def warehouse_validation(
         ("processing_date_semantics", F.col("bad_processing_dates") == 0, 0, "bad_processing_dates"),
         ("batch_lineage_semantics", F.col("lineage_missing") == 0, 0, "lineage_missing"),
     ]
-    overall = reduce(lambda x, y: x & y, [c[1] for c in batch_checks])
-    per_batch = stack_checks(
-        batches, ["batch_id"], [check(*c) for c in batch_checks] + [check("overall", overall, None, None)]
-    )
     dup_ids = fact_ids.agg(F.count_if(F.col("fact_n") > 1).alias("v"))
     orphan_u = orphan_users(fact, dim_users).agg(F.count(F.lit(1)).alias("v"))
     orphan_c = orphan_countries(fact, dim_countries).agg(F.count(F.lit(1)).alias("v"))
@@ -268,6 +263,12 @@ def warehouse_validation(
             one(mart_total, "mart_totals_reconcile", vs=fact_total),
         ],
     ).select(F.lit(None).cast("string").alias("batch_id"), "c.*")
+    global_ok = glob.agg(F.lit(1).alias("k"), F.min(F.col("status") == "PASS").alias("global_ok"))  # one row
+    batches = batches.withColumn("k", F.lit(1)).join(global_ok, "k")
+    overall = reduce(lambda x, y: x & y, [c[1] for c in batch_checks]) & F.col("global_ok")
+    per_batch = stack_checks(
+        batches, ["batch_id"], [check(*c) for c in batch_checks] + [check("overall", overall, None, None)]
+    )
     return per_batch.unionByName(glob)
 
 
@@ -277,9 +278,8 @@ def orphan_users(fact: DataFrame, dim_users: DataFrame) -> DataFrame:
 
 
 def orphan_countries(fact: DataFrame, dim_countries: DataFrame) -> DataFrame:
-    """Fact rows whose country (NULL included) has no dim row. The country
-    dimension is a bounded seed, so the anti join broadcasts it."""
-    d = F.broadcast(dim_countries.select("country_code").withColumn("_hit", F.lit(True)))
+    """Fact rows whose country (NULL included) has no dim row."""
+    d = dim_countries.select("country_code").withColumn("_hit", F.lit(True))
     return fact.join(d, "country_code", "left").filter(F.col("_hit").isNull()).drop("_hit")
 
 

@@ -33,7 +33,7 @@ per_id AS (
     count_if(batch_id IS NULL) AS batch_null,
     count_if(user_id IS NULL) AS user_null,
     count_if(country_code NOT IN ('US','CA','GB','AU','DE','FR','BR','MX','IN','JP')) AS bad_country,
-    count_if(event_date > coalesce(processing_date, DATE '2100-01-01')) AS future,
+    count_if(event_date > coalesce(processing_date, CAST(ingested_at AS DATE))) AS future,
     count_if(event_date < CAST(event_timestamp AS DATE)) AS late
   FROM raw GROUP BY 1, 2
 ),
@@ -108,8 +108,11 @@ def q_acceptance_checks(spark, sf_dir):
 
 
 WAREHOUSE_CTES = [
-    """bdates AS (SELECT batch_id, max(processing_date) AS expected_date FROM raw WHERE batch_id IS NOT NULL GROUP BY 1)""",
-    """rc AS (SELECT batch_id, count(*) AS raw_rows FROM raw WHERE batch_id IS NOT NULL GROUP BY 1)""",
+    """bdates AS (SELECT 'b-' || strftime(ts, '%Y%m%d') || sfx AS batch_id, CAST(min(ts) AS DATE) AS expected_date
+             FROM events, (VALUES (''), ('-r'), ('-x')) v(sfx)
+             WHERE sfx != '-r' OR event_id % 250 = 2 GROUP BY 1)""",
+    """rc AS (SELECT b.batch_id, count(r.source_file) AS raw_rows
+             FROM bdates b LEFT JOIN raw r ON r.batch_id = b.batch_id GROUP BY 1)""",
     """cc AS (SELECT batch_id, count(*) AS classified_rows FROM classified WHERE batch_id IS NOT NULL GROUP BY 1)""",
     """ac AS (SELECT batch_id, count(*) AS accepted_rows FROM accepted WHERE batch_id IS NOT NULL GROUP BY 1)""",
     """jc AS (SELECT batch_id, count(*) AS rejected_rows FROM rejected WHERE batch_id IS NOT NULL GROUP BY 1)""",
@@ -147,7 +150,9 @@ WAREHOUSE_CTES = [
              (SELECT count(*) FROM fact f WHERE f.user_id IS NOT NULL AND f.user_id NOT IN (SELECT user_id FROM dims)) AS orphan_u,
              (SELECT count(*) FROM fact f WHERE f.country_code IS NULL OR f.country_code NOT IN
                  ('US','CA','GB','AU','DE','FR','BR','MX','IN','JP')) AS orphan_c,
-             (SELECT count(*) FROM fact) AS fact_total)""",
+             (SELECT count(*) FROM fact) AS fact_total,
+             (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM fact
+               GROUP BY event_date, event_name, country_code, platform)) AS mart_total)""",
 ]
 WAREHOUSE_SELECT = (
     "SELECT * FROM per_batch UNION ALL "
@@ -158,41 +163,71 @@ WAREHOUSE_SELECT = (
             ("fact_event_ids_unique", "dup_ids = 0", "0", "dup_ids"),
             ("fact_user_fk_resolves", "orphan_u = 0", "0", "orphan_u"),
             ("fact_country_fk_resolves", "orphan_c = 0", "0", "orphan_c"),
-            ("mart_totals_reconcile", "fact_total = fact_total", "fact_total", "fact_total"),
+            ("mart_totals_reconcile", "mart_total = fact_total", "fact_total", "mart_total"),
         ],
     )
-    + """ UNION ALL SELECT batch_id, 'overall', CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END,
-          NULL::BIGINT, NULL::BIGINT FROM per_batch GROUP BY batch_id"""
+    + """ UNION ALL SELECT batch_id, 'overall', CASE WHEN bool_and(status = 'PASS')
+            AND (SELECT dup_ids = 0 AND orphan_u = 0 AND orphan_c = 0 AND mart_total = fact_total FROM g)
+          THEN 'PASS' ELSE 'FAIL' END, NULL::BIGINT, NULL::BIGINT FROM per_batch GROUP BY batch_id"""
 )
 
 
 @query("warehouse_validation", with_core(WAREHOUSE_SELECT, *WAREHOUSE_CTES))
 def q_warehouse_validation(spark, sf_dir):
+    """Batches expected: one per day, its replay where there is one, and a third that never landed."""
     p = Pipeline(spark, sf_dir, materialize=True)
+    events = read_table(spark, sf_dir, "events")
+    kinds = F.array(F.lit(""), F.when(F.col("event_id") % 250 == 2, "-r"), F.lit("-x"))
+    expected = (
+        events.select("ts", F.explode(F.array_compact(kinds)).alias("sfx"))
+        .groupBy(F.concat(F.lit("b-"), F.date_format("ts", "yyyyMMdd"), "sfx").alias("batch_id"))
+        .agg(F.to_date(F.min("ts")).alias("expected_date"))
+    )
     return suites.warehouse_validation(
-        p.raw, p.classified, p.accepted, p.rejected, p.fact, p.dim_users, dim_countries(spark), p.mart
+        p.raw, p.classified, p.accepted, p.rejected, p.fact, p.dim_users, dim_countries(spark), p.mart, expected
     )
 
 
-ANOMALY_SQL = """SELECT coalesce(batch_id, pipeline_run_id) AS batch_scope,
-    count_if(is_within_batch_duplicate) AS duplicate_extra_count,
-    count_if(user_id IS NULL) AS null_user_count,
-    count_if(NOT is_valid_country) AS invalid_country_count,
-    count_if(is_future_dated) AS future_dated_count,
-    count_if(is_event_time_late_arriving) AS event_time_late_count,
-    count_if(is_backdated_event_date) AS backdated_event_date_count,
-    count_if(has_event_date_timestamp_mismatch) AS date_timestamp_mismatch_count,
-    count_if(processing_date IS NULL) AS missing_processing_date_count
-  FROM classified GROUP BY 1"""
+# Defects as rows (scope, metric), one per flagged row and kind; metrics and expected counts as a table.
+METRICS_CTE = """metrics(metric, expected, dated) AS (VALUES
+    ('duplicate_extra_count', 50, false), ('null_user_count', 500, false), ('invalid_country_count', 200, false),
+    ('date_timestamp_mismatch_count', 300, false), ('future_dated_count', 150, true),
+    ('event_time_late_count', 0, true), ('backdated_event_date_count', 300, true),
+    ('missing_processing_date_count', NULL, NULL))"""
+DEFECTS_CTE = """defects AS (
+    SELECT scope, unnest(list_filter([
+        if(duplicate_scope = 'within_batch', 'duplicate_extra_count', NULL),
+        if(user_id IS NULL, 'null_user_count', NULL),
+        if(coalesce(country_code, '') NOT IN (SELECT country_code FROM seed), 'invalid_country_count', NULL),
+        if(happened > seen, 'future_dated_count', NULL),
+        if(happened < seen, 'event_time_late_count', NULL),
+        if(event_date < seen, 'backdated_event_date_count', NULL),
+        if(event_date <> happened, 'date_timestamp_mismatch_count', NULL),
+        if(processing_date IS NULL, 'missing_processing_date_count', NULL)], lambda m: m IS NOT NULL)) AS metric
+    FROM (SELECT *, coalesce(batch_id, pipeline_run_id) AS scope, event_timestamp::DATE AS happened,
+                 coalesce(processing_date, ingested_at::DATE) AS seen FROM classified))"""
+OBSERVED_CTE = """observed AS (
+    SELECT s.scope, m.metric, m.expected, m.dated, count(d.metric) AS n
+    FROM (SELECT DISTINCT coalesce(batch_id, pipeline_run_id) AS scope FROM classified) s CROSS JOIN metrics m
+    LEFT JOIN defects d ON d.scope = s.scope AND d.metric = m.metric GROUP BY ALL)"""
+ANOMALY_METRICS = [
+    "duplicate_extra_count", "null_user_count", "invalid_country_count", "future_dated_count", "event_time_late_count",
+    "backdated_event_date_count", "date_timestamp_mismatch_count", "missing_processing_date_count",
+]
+ANOMALY_SQL = (
+    "SELECT scope AS batch_scope, "
+    + ", ".join(f"max(n) FILTER (metric = '{m}') AS {m}" for m in ANOMALY_METRICS)
+    + " FROM observed GROUP BY scope"
+)
 
 
-@query("anomaly_profile", with_core(ANOMALY_SQL))
+@query("anomaly_profile", with_core(ANOMALY_SQL, METRICS_CTE, DEFECTS_CTE, OBSERVED_CTE))
 def q_anomaly_profile(spark, sf_dir):
     return suites.anomaly_profile(Pipeline(spark, sf_dir).classified)
 
 
 RECON_CTES = [
-    "prof AS (" + ANOMALY_SQL + ")",
+    METRICS_CTE, DEFECTS_CTE, OBSERVED_CTE,
     """sc AS (
       SELECT coalesce(r.batch_scope, c.batch_scope, a.batch_scope, j.batch_scope, f.batch_scope) AS batch_scope,
         coalesce(raw_rows, 0) AS raw_rows, coalesce(classification_rows, 0) AS classification_rows,
@@ -216,23 +251,15 @@ UNION ALL SELECT 'assert_fact_rejected_reconciliation', batch_scope, 'accepted_p
 UNION ALL SELECT 'assert_raw_classification_reconciliation', batch_scope, 'classification_rows',
        classification_rows, raw_rows FROM sc WHERE raw_rows != classification_rows
 UNION ALL SELECT 'assert_mart_fact_reconciliation', NULL, 'mart_event_total', m, f
-  FROM (SELECT (SELECT count(*) FROM fact) AS f, (SELECT count(*) FROM fact) AS m) WHERE f != m
-UNION ALL SELECT 'assert_source_anomaly_profile', batch_scope, metric, observed, expected FROM (
-  SELECT batch_scope, missing_processing_date_count AS mp, unnest([
-    {'metric': 'duplicate_extra_count', 'observed': duplicate_extra_count, 'expected': 50, 't': false},
-    {'metric': 'null_user_count', 'observed': null_user_count, 'expected': 500, 't': false},
-    {'metric': 'invalid_country_count', 'observed': invalid_country_count, 'expected': 200, 't': false},
-    {'metric': 'date_timestamp_mismatch_count', 'observed': date_timestamp_mismatch_count, 'expected': 300, 't': false},
-    {'metric': 'future_dated_count', 'observed': future_dated_count, 'expected': 150, 't': true},
-    {'metric': 'event_time_late_count', 'observed': event_time_late_count, 'expected': 0, 't': true},
-    {'metric': 'backdated_event_date_count', 'observed': backdated_event_date_count, 'expected': 300, 't': true}
-  ], recursive := true)
-  FROM prof
-  WHERE duplicate_extra_count != 50 OR null_user_count != 500 OR invalid_country_count != 200
-     OR date_timestamp_mismatch_count != 300
-     OR (missing_processing_date_count = 0 AND (future_dated_count != 150 OR event_time_late_count != 0
-         OR backdated_event_date_count != 300))
-) x WHERE NOT t OR mp = 0"""
+  FROM (SELECT (SELECT count(*) FROM fact) AS f,
+               (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM fact
+                 GROUP BY event_date, event_name, country_code, platform)) AS m) WHERE f != m
+UNION ALL SELECT 'assert_source_anomaly_profile', o.scope, o.metric, o.n, o.expected
+  FROM observed o
+  JOIN (SELECT scope, sum(n) FILTER (metric = 'missing_processing_date_count') AS legacy FROM observed GROUP BY 1) l USING (scope)
+  JOIN (SELECT a.scope FROM observed a JOIN observed m ON m.scope = a.scope AND m.metric = 'missing_processing_date_count'
+        WHERE a.n <> a.expected AND (NOT a.dated OR m.n = 0) GROUP BY 1) off USING (scope)
+  WHERE o.expected IS NOT NULL AND (NOT o.dated OR legacy = 0)"""
 
 
 @query("recon_violations", with_core(RECON_SELECT, *RECON_CTES))

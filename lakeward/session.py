@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,23 +28,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a private scratch folder."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Only a local session
+    without one gets a private scratch folder; a cluster has to name its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lakeward-ckpt-")
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir() or shared
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A folder for intermediate tables next to the checkpoint dir (shared
-    storage on a cluster)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.rstrip("/"), "lakeward-tables", name)

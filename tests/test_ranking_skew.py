@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeward.operators.classify import classify_events, rank_duplicates
-from lakeward.operators.ranking import detect_hot_keys, range_row_number
+from lakeward.operators.ranking import detect_hot_keys, range_row_number, split_hot
 from lakeward.operators.staging import stage_events
 from lakeward.sources.adapters import raw_events_from_driver
 from lakeward.sources.tables import read_table
@@ -35,6 +35,25 @@ def test_detect_finds_the_hot_id(spark):
     assert [r.event_id for r in hot.collect()] == ["7"]
 
 
+def test_a_null_id_can_be_hot(spark):
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [("a", 99)], "event_id string, v int")
+    hot = detect_hot_keys(df, ["event_id"], task_rows=20, fraction=1.0)
+    normal, large = split_hot(df, hot, ["event_id"])
+    assert [r.event_id for r in hot.collect()] == [None] and large.count() == 50 and normal.count() == 1
+
+
+def test_hot_rows_part_before_any_exchange(spark):
+    """On the default arguments: the hot id's rows are filtered on the scan and never hashed by event id."""
+    stg = stage_events(skewed_raw(spark))
+    hot = spark.createDataFrame([("7",)], "event_id string")
+    normal, large = split_hot(stg, hot, ["event_id"])
+    for part in (normal, large):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(event_id" not in plan.split("BroadcastExchange")[0]
+    task_rows = normal.repartition(8, "event_id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert task_rows < large.count()
+
+
 def test_classification_same_with_and_without_skew_path(spark):
     stg = stage_events(skewed_raw(spark))
     hot = spark.createDataFrame([("7",)], "event_id string")
