@@ -34,12 +34,3 @@ def sunday_week(ts: str | Column) -> Column:
     """Start (Sunday 00:00) of the week holding ``ts``."""
     shifted = col_(ts) + F.expr("INTERVAL 1 DAY")
     return F.date_trunc("WEEK", shifted) - F.expr("INTERVAL 1 DAY")
-
-
-def whole_seconds_between(start: str | Column, end: str | Column) -> Column:
-    """Whole elapsed seconds (truncated) from start to end."""
-    return F.timestampdiff("SECOND", col_(start), col_(end))
-
-
-def safe_divide(num: Column, den: Column) -> Column:
-    return F.when(den == 0, F.lit(None)).otherwise(num / den)

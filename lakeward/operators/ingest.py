@@ -3,13 +3,13 @@ batch fingerprints, keyed upserts, partition rewrites."""
 
 from __future__ import annotations
 
-import datetime as dt
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.schemas import EVENT_LINE, RAW_COLUMNS, REQUIRED_EVENT_FIELDS
+from lakeward.schemas import EVENT_LINE, RAW_COLUMNS, REQUIRED_EVENT_FIELDS, STANDARD_BATCH_ROWS
 
 
 class LoadError(RuntimeError):
@@ -17,12 +17,6 @@ class LoadError(RuntimeError):
 
 
 # ------------------------------------------------------------------ A1 / A12
-def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Newline-delimited JSON with the explicit 8-field schema; unknown fields
-    are dropped, malformed lines fail the load."""
-    return spark.read.schema(EVENT_LINE).option("mode", "FAILFAST").json(path)
-
-
 def required_field_violations(lines: DataFrame) -> DataFrame:
     """Rows missing a required field (JSON readers cannot enforce NOT NULL)."""
     cond = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in REQUIRED_EVENT_FIELDS])
@@ -50,10 +44,11 @@ def enrich(lines: DataFrame, *, ingested_at, source_file: str, pipeline_run_id:
 
 def append_raw(raw_rows: DataFrame, table_path: str) -> None:
     """Append to the raw table, partitioned by event_date, clustered by
-    (event_name, country_code) within each partition file."""
+    (event_name, country_code) within each partition file. A large day is split
+    over several tasks."""
     (
-        raw_rows.repartition("event_date")
-        .sortWithinPartitions("event_name", "country_code")
+        raw_rows.hint("rebalance", F.col("event_date"))
+        .sortWithinPartitions("event_date", "event_name", "country_code")
         .write.mode("append")
         .partitionBy("event_date")
         .parquet(table_path)
@@ -67,13 +62,13 @@ def batch_load_state(raw: DataFrame) -> DataFrame:
     )
 
 
-def batch_load_decision(expected: DataFrame, state: DataFrame) -> DataFrame:
+def batch_load_decision(expected: DataFrame, state: DataFrame, default_rows: int = STANDARD_BATCH_ROWS) -> DataFrame:
     """expected (batch_id, expected_rows) + load state -> load / skip /
     partial_error / conflicting_error. An expected count of 0 or NULL falls
-    back to the default expected count of the batch (falsy zero)."""
+    back to ``default_rows``."""
     j = expected.join(state, "batch_id", "left")
     n = F.coalesce(F.col("row_count"), F.lit(0))
-    e = F.col("expected_rows")
+    e = F.coalesce(F.nullif(F.col("expected_rows"), F.lit(0)), F.lit(default_rows)).cast("bigint")
     return j.select(
         "batch_id",
         e.alias("expected_rows"),
@@ -84,12 +79,15 @@ def batch_load_decision(expected: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def raise_on_decision(decisions: DataFrame) -> None:
-    """Driver-side gate: raise if any batch is in an error state (bounded:
-    only the error rows, capped, reach the driver)."""
-    bad = decisions.filter(F.col("decision").endswith("_error")).limit(20).collect()
-    if bad:
-        raise LoadError(f"batches in error state: {[(r.batch_id, r.decision) for r in bad]}")
+def raise_on_decision(decisions: DataFrame, report_path: str | None = None) -> None:
+    """Raise if any batch is in an error state. The message has their number per
+    state; all of them are written to ``report_path`` if given."""
+    bad = decisions.filter(F.col("decision").endswith("_error"))
+    counts = {r["decision"]: r["count"] for r in bad.groupBy("decision").count().collect()}  # two states at most
+    if counts:
+        if report_path:
+            bad.write.mode("append").parquet(report_path)
+        raise LoadError(f"batches in error state: {counts}" + (f", listed in {report_path}" if report_path else ""))
 
 
 # ----------------------------------------------------------------------- A10
@@ -136,47 +134,62 @@ def keyed_upsert(
 
 
 # ------------------------------------------------------------------- H1 write
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there; every other trouble with it raises."""
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def _check_same_columns(target: DataFrame, source: DataFrame, partition_col: str) -> None:
+    kinds = [{n: t for n, t in df.dtypes if n != partition_col} for df in (target, source)]
+    if kinds[0] != kinds[1] or partition_col not in source.columns:
+        raise LoadError(f"columns of the source differ from the table's: {kinds[1]} against {kinds[0]}")
+
+
 def merge_into_partitioned_table(
     spark: SparkSession, table_path: str, source: DataFrame, key: str = "event_id", partition_col: str = "event_date"
 ) -> int:
     """Keyed upsert into a partitioned parquet table without a table format.
 
-    Rewrites only touched partitions (those holding source rows or rows whose
-    key now moves), staged in a sibling folder first so the target is never
-    read and overwritten by the same job; partitions left empty by moved keys
-    are deleted. Returns the number of partitions rewritten."""
-    schema = source.schema
-    try:
-        target = spark.read.schema(schema).parquet(table_path)
-        target.schema
-        exists = len(spark.read.parquet(table_path).inputFiles()) > 0
-    except Exception:  # noqa: BLE001 - no table yet
-        exists = False
-    if not exists:
-        source.write.mode("overwrite").partitionBy(partition_col).parquet(table_path)
-        return source.select(partition_col).distinct().count()
-    src_keys = source.select(key).distinct()
-    moved_from = target.join(src_keys, key, "left_semi").select(partition_col)
-    touched = source.select(partition_col).union(moved_from).distinct()
-    keep = target.join(F.broadcast(touched), partition_col, "left_semi").join(src_keys, key, "left_anti")
-    rewritten = keep.unionByName(source)
-    stage = table_path.rstrip("/") + f"__stage_{dt.datetime.now().strftime('%Y%m%d%H%M%S%f')}"
-    rewritten.write.mode("overwrite").partitionBy(partition_col).parquet(stage)
-    staged = spark.read.schema(schema).parquet(stage)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    staged.write.mode("overwrite").partitionBy(partition_col).parquet(table_path)
-    # partitions that were touched but have no rows left
-    touched_vals = [r[0] for r in touched.collect()]  # bounded by partitions touched
-    remaining = {r[0] for r in staged.select(partition_col).distinct().collect()}
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    for v in touched_vals:
-        if v not in remaining:
-            p = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/{partition_col}={v}")
-            p.getFileSystem(conf).delete(p, True)
-    sp = jvm.org.apache.hadoop.fs.Path(stage)
-    sp.getFileSystem(conf).delete(sp, True)
-    return len(touched_vals)
+    The source is written once, so it is the same for every step; the touched
+    partitions (with source rows, or rows whose key now moves) are known and their
+    new content is complete in a sibling folder before the table is changed. Then
+    they are overwritten, and those left empty are deleted. A run that dies half
+    way can be run again. Refuses a source with other columns or repeated keys.
+    Returns the number of partitions rewritten."""
+    stage = f"{table_path.rstrip('/')}__stage_{uuid.uuid4().hex}"
+    source.write.parquet(f"{stage}/source")
+    new = spark.read.schema(source.schema).parquet(f"{stage}/source")
+    if not new.groupBy(key).count().filter("count > 1").isEmpty():
+        raise LoadError(f"the source holds a {key} more than once")
+    if not table_exists(spark, table_path):
+        new.write.partitionBy(partition_col).parquet(table_path)
+        touched = [r[0] for r in new.select(partition_col).distinct().collect()]  # one per partition
+    else:
+        _check_same_columns(spark.read.parquet(table_path), new, partition_col)
+        target = spark.read.schema(new.schema).parquet(table_path)
+        keys = new.select(key)
+        moved_from = target.join(keys, key, "left_semi").select(partition_col)
+        dates = new.select(partition_col).union(moved_from).distinct()
+        touched = [r[0] for r in dates.collect()]  # one per partition
+        by_value = dates.select(F.col(partition_col).alias("_touched"))
+        keep = target.join(by_value, F.col(partition_col).eqNullSafe(F.col("_touched")), "left_semi").join(keys, key, "left_anti")
+        keep.unionByName(new).write.partitionBy(partition_col).parquet(f"{stage}/rows")
+        staged = spark.read.schema(new.schema).parquet(f"{stage}/rows")
+        left = {r[0] for r in staged.select(partition_col).distinct().collect()}  # one per partition
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(table_path)
+        for value in set(touched) - left:
+            name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
+            fs, p = _path(spark, f"{table_path.rstrip('/')}/{partition_col}={name}")
+            fs.delete(p, True)
+    fs, p = _path(spark, stage)
+    fs.delete(p, True)
+    return len(touched)
 
 
 def quarantine_batch(df: DataFrame, batch_id: str) -> DataFrame:

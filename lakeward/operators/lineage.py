@@ -1,78 +1,66 @@
 """Lineage graphs as edge tables: extraction from SQL text, transitive closure.
 
-The closure is iterative frontier expansion (semi-naive evaluation): each
-round joins only the newly found pairs with the edge table and anti-joins
-what is already known, so cycles terminate and no pair is produced twice.
-Lineage is cut every round with a reliable checkpoint.
+Reachability is iterative frontier expansion (semi-naive evaluation) from given
+start pairs; lineage is cut every round with a reliable checkpoint.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.session import ensure_checkpoint_dir
 
-REF_PATTERN = r"ref\(\s*'([^']+)'\s*\)"
-SOURCE_PATTERN = r"source\(\s*'([^']+)'\s*,\s*'([^']+)'\s*\)"
+# How model SQL names another model, and a source table (schema, table).
+REF_PATTERN = r"\bref\(\s*['\"]([^'\"]+)['\"]\s*\)"
+SOURCE_PATTERN = r"\bsource\(\s*['\"]([^'\"]+)['\"]\s*,\s*['\"]([^'\"]+)['\"]\s*\)"
 
 
 def edges_from_sql(models: DataFrame, name_col: str = "model", sql_col: str = "sql") -> DataFrame:
-    """(src, dst) edges from ``ref('x')`` and ``source('a','b')`` calls found in
-    model SQL text."""
-    refs = models.select(
-        F.explode(F.regexp_extract_all(F.col(sql_col), F.lit(REF_PATTERN), 1)).alias("src"), F.col(name_col).alias("dst")
-    )
-    srcs = models.select(
-        F.explode(F.regexp_extract_all(F.col(sql_col), F.lit(SOURCE_PATTERN), 2)).alias("src"), F.col(name_col).alias("dst")
+    """(src, dst) edges from the models and sources (as ``schema.table``) that model SQL names."""
+    sql = F.col(sql_col)
+    found = F.concat(
+        F.regexp_extract_all(sql, F.lit(REF_PATTERN), 1),
+        F.zip_with(
+            F.regexp_extract_all(sql, F.lit(SOURCE_PATTERN), 1),
+            F.regexp_extract_all(sql, F.lit(SOURCE_PATTERN), 2),
+            lambda schema, table: F.concat_ws(".", schema, table),
+        ),
     )
-    return refs.unionByName(srcs).distinct()
+    return models.select(F.explode(found).alias("src"), F.col(name_col).alias("dst")).distinct()
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All (src, dst) pairs with a directed path src -> ... -> dst."""
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e = edges.select("src", "dst").distinct().checkpoint()
-    pairs = e
-    frontier = e
-    for _ in range(max_rounds):
-        step = (
-            frontier.alias("f")
-            .join(e.alias("e"), F.col("f.dst") == F.col("e.src"))
-            .select(F.col("f.src").alias("src"), F.col("e.dst").alias("dst"))
-            .distinct()
-        )
-        new = step.join(pairs, ["src", "dst"], "left_anti").checkpoint()
-        if new.isEmpty():
-            return pairs
-        pairs = pairs.unionByName(new).checkpoint()
-        frontier = new
-    raise RuntimeError(f"closure did not converge in {max_rounds} rounds")
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(src, dst) pairs: what each ``start`` pair's far end leads to, the start pairs included.
 
-
-def reachable_counts(closure: DataFrame) -> DataFrame:
-    return closure.groupBy("src").agg(F.count(F.lit(1)).alias("reachable"))
+    Each round joins the pairs found last with the edges and keeps the new ones;
+    a round's pairs are written once. Ends when a round finds none, so cycles and
+    paths of any length are fine."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct().checkpoint()
+    found = [start.select("src", "dst").distinct().checkpoint()]
+    while True:
+        step = found[-1].join(e, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst")).distinct()
+        new = step.join(reduce(DataFrame.union, found), ["src", "dst"], "left_anti").checkpoint()
+        if new.isEmpty():
+            return reduce(DataFrame.union, found)
+        found.append(new)
 
 
-def upstream_of(closure: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Transitive upstream (dst in nodes -> src)."""
-    return closure.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+def transitive_closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) pairs with a directed path src -> ... -> dst."""
+    return reach(edges, edges)
 
 
-def required_reachable(closure: DataFrame, source: str, required: DataFrame) -> DataFrame:
-    """Required nodes NOT reachable from ``source`` (empty = closed)."""
-    reach = closure.filter(F.col("src") == source).select(F.col("dst").alias("node"))
-    return required.select("node").join(reach, "node", "left_anti")
+def reachable_counts(closure: DataFrame) -> DataFrame:
+    return closure.groupBy("src").agg(F.count(F.lit(1)).alias("reachable"))
 
 
-def consumer_impact(closure: DataFrame, changed: DataFrame, consumers: DataFrame) -> DataFrame:
-    """Consumers reading any node downstream of a changed node (or the node
-    itself): (changed, consumer, affected nodes sorted)."""
-    down = closure.join(changed.select(F.col("node").alias("src")), "src", "left_semi").unionByName(
-        changed.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    )
-    hit = down.join(consumers.select(F.col("node").alias("dst"), "consumer"), "dst")
-    return hit.groupBy(F.col("src").alias("changed"), "consumer").agg(
-        F.array_sort(F.collect_set("dst")).alias("affected_nodes")
-    )
+def consumer_impact(edges: DataFrame, changed: DataFrame, consumers: DataFrame) -> DataFrame:
+    """(changed, consumer, affected_node): consumers of a changed node or of
+    anything downstream of it. Only the changed nodes are followed."""
+    start = changed.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    hit = reach(edges, start).join(consumers.select(F.col("node").alias("dst"), "consumer"), "dst")
+    return hit.select(F.col("src").alias("changed"), "consumer", F.col("dst").alias("affected_node")).distinct()

@@ -114,14 +114,15 @@ def ledger_latest(ledger: DataFrame) -> DataFrame:
 
 
 def migration_plan(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Manifest (migration_id, checksum) left join latest ledger state:
-    PENDING / FAILED_PREVIOUSLY / CHECKSUM_MISMATCH / APPLIED (failed first)."""
-    latest = ledger_latest(ledger)
+    """Manifest (migration_id, checksum) left join latest ledger state: PENDING
+    (no ledger row) / FAILED_PREVIOUSLY (any state but APPLIED, a missing one
+    too) / CHECKSUM_MISMATCH / APPLIED."""
+    latest = ledger_latest(ledger).withColumn("_found", F.lit(True))
     j = manifest.join(latest, "migration_id", "left")
     return j.select(
         "migration_id",
-        F.when(F.col("status").isNull(), "PENDING")
-        .when(F.col("status") == "FAILED", "FAILED_PREVIOUSLY")
+        F.when(F.col("_found").isNull(), "PENDING")
+        .when(~F.col("status").eqNullSafe(F.lit("APPLIED")), "FAILED_PREVIOUSLY")
         .when(F.col("migration_checksum") != F.col("checksum"), "CHECKSUM_MISMATCH")
         .otherwise("APPLIED")
         .alias("plan_state"),

@@ -36,9 +36,16 @@ REDACTION_PATTERNS = [
 REDACTED = "[REDACTED]"
 
 
+# What ends a line (any of Unicode's line ends; a pair of CR LF is one).
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def text_lines(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
-    """One row per line of every text: (ids..., line_no 1-based, line)."""
-    return df.select(*id_cols, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")).select(
+    """One row per line of every text: (ids..., line_no 1-based, line). A line end
+    that closes the text starts no further line; an empty text has none."""
+    lines = F.split(F.col(text_col), LINE_END)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    return df.select(*id_cols, F.posexplode(lines).alias("pos", "line")).select(
         *id_cols, (F.col("pos") + 1).alias("line_no"), "line"
     )
 
@@ -54,7 +61,7 @@ def secret_scan(lines: DataFrame, id_cols: list[str]) -> DataFrame:
 def grant_scan(lines: DataFrame, id_cols: list[str]) -> DataFrame:
     """Non-comment lines granting a prohibited role, or creating/using a key."""
     line = F.col("line")
-    not_comment = ~F.ltrim(line).startswith("#")
+    not_comment = ~line.rlike(r"(?U)^\s*#")
     binds = line.contains("add-iam-policy-binding") | F.lower(line).contains("role")
     reasons = [F.when(line.contains(r) & binds, F.lit(f"grants prohibited {r}")) for r in PROHIBITED_ROLES]
     reasons.append(

@@ -119,15 +119,6 @@ def q_dim_users(spark, sf_dir):
     return Pipeline(spark, sf_dir).dim_users.drop("updated_at")
 
 
-@query(
-    "dim_countries",
-    """SELECT * FROM (VALUES ('US', true), ('CA', true), ('GB', true), ('AU', true), ('DE', true),
-        ('FR', true), ('BR', true), ('MX', true), ('IN', true), ('JP', true)) t(country_code, is_active)""",
-)
-def q_dim_countries(spark, sf_dir):
-    return publish.dim_countries(spark).drop("updated_at")
-
-
 @query("fct_events", with_core(f"SELECT {FACT_COLS} FROM fact"))
 def q_fct_events(spark, sf_dir):
     return Pipeline(spark, sf_dir).fact.drop("loaded_to_core_at", "updated_at")

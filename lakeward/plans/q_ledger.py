@@ -22,18 +22,18 @@ def ledger(spark, d):
         (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("p_partkey").cast("int"))).alias(
             "applied_at"
         ),
-        F.when(F.col("p_size") < 5, "FAILED").otherwise("APPLIED").alias("status"),
+        F.when(F.col("p_size") < 5, "FAILED").when(F.col("p_size") < 9, "RUNNING").when(F.col("p_size") < 40, "APPLIED").alias("status"),
     )
 
 
 O_LEDGER = """WITH ledger AS (
   SELECT p_brand AS migration_id, p_partkey AS seq, md5(p_type) AS migration_checksum,
          TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(p_partkey AS INTEGER)) AS applied_at,
-         CASE WHEN p_size < 5 THEN 'FAILED' ELSE 'APPLIED' END AS status
+         CASE WHEN p_size < 5 THEN 'FAILED' WHEN p_size < 9 THEN 'RUNNING' WHEN p_size < 40 THEN 'APPLIED' END AS status
   FROM part),
 latest AS (
   SELECT migration_id, arg_max(migration_checksum, (applied_at, seq)) AS migration_checksum,
-         arg_max(status, (applied_at, seq)) AS status, max(applied_at) AS applied_at
+         arg_max_null(status, (applied_at, seq)) AS status, max(applied_at) AS applied_at
   FROM ledger GROUP BY 1)
 """
 
@@ -54,7 +54,7 @@ def q_ledger_history(spark, d):
     + """, manifest AS (SELECT p_brand AS migration_id, md5(max(p_type)) AS checksum FROM part GROUP BY 1
                         UNION ALL SELECT 'Brand#99', md5('next'))
     SELECT m.migration_id,
-      CASE WHEN l.status IS NULL THEN 'PENDING' WHEN l.status = 'FAILED' THEN 'FAILED_PREVIOUSLY'
+      CASE WHEN l.applied_at IS NULL THEN 'PENDING' WHEN l.status IS DISTINCT FROM 'APPLIED' THEN 'FAILED_PREVIOUSLY'
            WHEN l.migration_checksum != m.checksum THEN 'CHECKSUM_MISMATCH' ELSE 'APPLIED' END AS plan_state
     FROM manifest m LEFT JOIN latest l USING (migration_id)""",
 )

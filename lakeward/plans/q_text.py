@@ -20,18 +20,45 @@ def corpus_lines(spark, d) -> DataFrame:
     pages = read_table(spark, d, "pages").select(
         F.lit("pages").alias("source"), F.col("page_id").alias("item_id"), F.col("html").alias("body")
     )
-    return text.text_lines(docs.unionByName(pages), ["source", "item_id"], "body")
+    return text.text_lines(planted(docs.unionByName(pages)), ["source", "item_id"], "body")
+
+
+# Lines added to an item by its id modulo 50, so that every rule meets its input.
+PLANTED = {
+    7: "\nBearer " + "a1" * 12,
+    9: "\r\t# roles/owner in a comment, me@gmail.com",
+    11: "\x0bgcloud add-iam-policy-binding p --role roles/owner\n",
+    13: "\u2028x --key-file k.json",
+    15: "\r\n-----BEGIN RSA PRIVATE KEY-----\nrole: roles/editor",
+}
+
+
+def planted(items: DataFrame) -> DataFrame:
+    extra = F.create_map(*[x for k, v in PLANTED.items() for x in (F.lit(k), F.lit(v))])[(F.col("item_id") % 50).cast("int")]
+    return items.withColumn("body", F.concat("body", F.coalesce(extra, F.lit(""))))
 
 
 def _sql_regex(p: str) -> str:
     return p.replace("'", "''")
 
 
-O_LINES = """lines AS (
-  SELECT source, item_id, pos AS line_no, line FROM (
-    SELECT source, item_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS pos FROM (
-      SELECT 'documents' AS source, doc_id AS item_id, string_split(text, chr(10)) AS parts FROM documents
-      UNION ALL SELECT 'pages', page_id, string_split(html, chr(10)) FROM pages)))"""
+def _chars(value: str) -> str:
+    return " || ".join(f"chr({ord(c)})" if ord(c) < 32 or ord(c) > 126 else f"'{c}'" for c in value)
+
+
+O_LINES = (
+    "extra(k, added) AS (VALUES "
+    + ", ".join(f"({k}, {_chars(v)})" for k, v in PLANTED.items())
+    + f"""),
+items AS (SELECT 'documents' AS source, doc_id AS item_id, text AS body FROM documents
+          UNION ALL SELECT 'pages', page_id, html FROM pages),
+parted AS (
+  SELECT source, item_id, regexp_split_to_array(body || coalesce(added, ''), '{text.LINE_END}') AS parts
+  FROM items LEFT JOIN extra ON k = item_id % 50),
+lines AS (
+  SELECT source, item_id, unnest(range(1, n + 1)) AS line_no, unnest(parts[:n]) AS line
+  FROM (SELECT *, len(parts) - (parts[-1] = '')::INT AS n FROM parted))"""
+)
 
 SECRET_SQL = (
     "WITH "
@@ -52,7 +79,7 @@ def q_secret_scan(spark, d):
 GRANT_SQL = (
     "WITH "
     + O_LINES
-    + ", nc AS (SELECT * FROM lines WHERE NOT starts_with(ltrim(line, ' '), '#'))\n"
+    + ", nc AS (SELECT * FROM lines WHERE NOT regexp_matches(line, '^\\s*#'))\n"
     + "\nUNION ALL ".join(
         f"""SELECT source, item_id, line_no, 'grants prohibited {r}' AS reason FROM nc
             WHERE contains(line, '{r}') AND (contains(line, 'add-iam-policy-binding') OR contains(lower(line), 'role'))"""

@@ -39,6 +39,5 @@ def load_all() -> None:
         q_alerts,
         q_ingest,
         q_lineage,
-        q_metadata,
         q_ledger,
     )

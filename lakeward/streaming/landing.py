@@ -1,11 +1,10 @@
 """Streaming landing: JSONL batches dropped under ``landing/`` are appended to
-the raw table exactly once per micro-batch.
+the raw table, each file once.
 
-``readStream`` with the explicit line schema -> ``foreachBatch``: enrich with
-load metadata, check the load state of the micro-batch's run id (a re-run of
-an epoch after a failure is skipped), append partitioned by event_date. The
-stream's checkpoint location records progress, so a restarted query resumes
-from the last committed epoch.
+``readStream`` with the explicit line schema -> ``foreachBatch``: check the lines,
+take the load decision per file, enrich with load metadata (the processing date
+is the one in the file's path, so late files keep their date), append
+partitioned by event_date.
 """
 
 from __future__ import annotations
@@ -15,7 +14,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeward.operators.ingest import append_raw
+from lakeward.operators.ingest import (
+    LoadError,
+    append_raw,
+    batch_load_decision,
+    raise_on_decision,
+    required_field_violations,
+    table_exists,
+)
 from lakeward.schemas import EVENT_LINE, RAW_COLUMNS
 
 
@@ -28,32 +34,67 @@ def landing_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
     )
 
 
-def _append_epoch(raw_table: str):
+def _ledger(spark: SparkSession, raw_table: str) -> DataFrame:
+    path = f"{raw_table.rstrip('/')}__landed"
+    kinds = "source_file string, batch_id string, expected_rows bigint, state string"
+    return spark.read.schema(kinds).parquet(path) if table_exists(spark, path) else spark.createDataFrame([], kinds)
+
+
+def _append_batch(raw_table: str):
+    """Append the files of a micro-batch that are not in the table yet.
+
+    A file is known by its batch id and path. A ledger beside the table has a
+    ``started`` row for each before the append and a ``done`` row after it: done
+    files are skipped whatever the epoch or checkpoint; for files started but not
+    done the table itself is counted, and the load decision says whether to load,
+    skip or stop."""
+
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        run_id = f"stream-{epoch_id}"
+        missing = required_field_violations(batch).count()
+        if missing:
+            raise LoadError(f"{missing} lines miss a required field")
+        log = _ledger(spark, raw_table)
+        files = batch.groupBy("source_file", "batch_id").agg(F.count(F.lit(1)).alias("expected_rows"))
+        files = files.join(log.filter("state = 'done'"), "source_file", "left_anti").cache()
         try:
-            already = spark.read.parquet(raw_table).filter(F.col("pipeline_run_id") == run_id).limit(1).count() > 0
-        except Exception:  # noqa: BLE001 - table not created yet
-            already = False
-        if already:
-            return  # idempotent replay of a committed epoch
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        out = batch.select(
-            *[f.name for f in EVENT_LINE.fields],
-            F.lit(now).cast("timestamp_ntz").alias("ingested_at"),
-            "source_file",
-            F.lit(run_id).alias("pipeline_run_id"),
-            "batch_id",
-            F.to_date(F.lit(now)).alias("processing_date"),
-        ).select(*RAW_COLUMNS)
-        append_raw(out, raw_table)
+            started = files.join(log.filter("state = 'started'"), "source_file", "left_semi")
+            load = files
+            if not started.isEmpty():
+                there = spark.read.parquet(raw_table) if table_exists(spark, raw_table) else batch.limit(0)
+                state = there.groupBy(F.col("source_file").alias("batch_id")).agg(F.count(F.lit(1)).alias("row_count"))
+                expected = files.select(F.col("source_file").alias("batch_id"), "expected_rows")
+                decided = batch_load_decision(expected, state)
+                raise_on_decision(decided)
+                load = files.join(
+                    decided.filter("decision = 'load'").select(F.col("batch_id").alias("source_file")), "source_file", "left_semi"
+                )
+            ledger_path = f"{raw_table.rstrip('/')}__landed"
+            files.withColumn("state", F.lit("started")).write.mode("append").parquet(ledger_path)
+            now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+            rows = batch.join(load.select("source_file"), "source_file", "left_semi")
+            day = F.coalesce(
+                F.try_to_date(F.nullif(F.regexp_extract("source_file", r"(?:processing_date|event_date)=([0-9-]+)", 1), F.lit(""))),
+                F.to_date(F.lit(now)),
+            )
+            out = rows.select(
+                *[f.name for f in EVENT_LINE.fields],
+                F.lit(now).cast("timestamp_ntz").alias("ingested_at"),
+                "source_file",
+                F.concat(F.lit("stream-"), F.substring(F.md5("source_file"), 1, 12)).alias("pipeline_run_id"),
+                "batch_id",
+                day.alias("processing_date"),
+            ).select(*RAW_COLUMNS)
+            append_raw(out, raw_table)
+            files.withColumn("state", F.lit("done")).write.mode("append").parquet(ledger_path)
+        finally:
+            files.unpersist()
 
     return run
 
 
 def start_landing(spark: SparkSession, landing_dir: str, raw_table: str, checkpoint: str, available_now: bool = True):
-    w = landing_stream(spark, landing_dir).writeStream.foreachBatch(_append_epoch(raw_table)).option(
+    w = landing_stream(spark, landing_dir).writeStream.foreachBatch(_append_batch(raw_table)).option(
         "checkpointLocation", checkpoint
     )
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
