@@ -38,7 +38,7 @@ HEAD, CLASSES = 11, 24  # frequent words with a class each; all classes, the end
 ROWS = 1 << 16  # at most this many, so that rows sort as 16-bit numbers
 FREQUENT = 250_000
 ROUNDS = 3
-RATE = 0.5
+RATE, SHRINK = 1.0, 10
 BLOCKS = 64
 _STEP = 1 << 14  # tokens of one gradient step
 _TEXT_AT_ONCE = 1 << 22
@@ -140,7 +140,8 @@ def _log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
-    """One gradient step, in place: each feature row moves by the mean gradient of the tokens that have it."""
+    """One gradient step, in place: each feature row moves by the mean gradient of the tokens that have it,
+    shrunk as if ``SHRINK`` more tokens with no gradient had it."""
     g = np.exp(_log_softmax(weights, rows))
     g[np.arange(len(g)), classes] -= 1
     flat = rows.ravel()
@@ -149,7 +150,7 @@ def _descend(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: n
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     touched, n = ordered[first], np.diff(np.r_[first, len(flat)])
     total = np.add.reduceat(g[order // 3], first, axis=0)
-    weights[touched] -= (RATE / n)[:, None].astype(np.float32) * total
+    weights[touched] -= (RATE / (n + SHRINK))[:, None].astype(np.float32) * total
     seen[touched] += n
 
 
