@@ -226,8 +226,10 @@ def score(docs: DataFrame, rows: int = ROWS, frequent: int = FREQUENT, rounds: i
     words = count_words(learned)
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     texts = learned.count()
-    vocabulary = sc.broadcast(_vocabulary(words, texts, frequent))
-    weights = np.zeros((rows, CLASSES), np.float32)
+    named = _vocabulary(words, texts, frequent)
+    vocabulary = sc.broadcast(named)
+    # the three features of a history start as the classes' shares of the corpus together
+    weights = np.tile((named.log_total * np.log(10) / 3).astype(np.float32), (rows, 1))
     for k in range(rounds):
         part = learned.where(F.pmod(F.xxhash64(col("doc_id"), col("text")), F.lit(rounds)) == k)
         weights = train_round(part, sc.broadcast(weights), vocabulary)
