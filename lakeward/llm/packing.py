@@ -49,8 +49,9 @@ class ChunkTokenizer:
     """Ids of texts, chunk by chunk through a memo.
 
     The tokenizer lower-cases, so texts without special-token marks are lower-cased
-    (ASCII only) first; a comma or full stop after a letter is a token run of its
-    own, so the word before it is looked up without it. Each distinct chunk of a
+    (ASCII only) first; a comma or full stop after a letter (one that is still a
+    letter in lower case) is a token run of its own, so the word before it is looked
+    up without it. Each distinct chunk of a
     batch is looked up once.
     """
 
@@ -89,7 +90,7 @@ class ChunkTokenizer:
         memo = self.memo
         found = list(map(memo.get, chunks))
         new = [i for i, ids in enumerate(found) if ids is None]
-        stems = {i: c[:-1] for i in new if (c := chunks[i])[-1] in ".," and c[-2:-1].isalpha() and "<|" not in c}
+        stems = {i: c[:-1] for i in new if (c := chunks[i])[-1] in ".," and c[-2:-1].lower()[-1:].isalpha() and "<|" not in c}
         need = {stems.get(i, chunks[i]) for i in new}
         learned = {c: ids for c in need if (ids := memo.get(c)) is not None}
         fresh = self._tokenize([c for c in need if c not in learned])

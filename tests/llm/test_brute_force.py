@@ -52,9 +52,9 @@ def test_chunks_tokenize_as_whole_texts_do():
     for _ in range(200):
         text = "".join(rng.choice(alphabet, 40)) + "<|endoftext|> x<|startoftext|>"
         want = whole.encode(text, add_special_tokens=False).ids
-        ids, ends = chunked.encode(pa.array(["", text, "A. a, é. '."]))
+        ids, ends = chunked.encode(pa.array(["", text, "A. a, é. İ. ﬁ, '."]))
         assert ids[ends[1] : ends[2]].tolist() == want and ends[1] == 0
-        assert ids[ends[2] :].tolist() == whole.encode("A. a, é. '.", add_special_tokens=False).ids
+        assert ids[ends[2] :].tolist() == whole.encode("A. a, é. İ. ﬁ, '.", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -273,5 +273,5 @@ def test_toxicity_on_held_out_labels(spark):
     score, y = np.array([r.score for r in got]), np.array([r.toxic for r in got])
     assert ((score >= 0) & (score <= 1)).all() and all(r.predicted == (r.score >= 0.5) for r in got)
     wins = (score[y == 1][:, None] > score[y == 0]).mean() + 0.5 * (score[y == 1][:, None] == score[y == 0]).mean()
-    assert wins > 0.85 and (score[y == 0] >= 0.5).mean() < 0.03
+    assert wins > 0.93 and (score[y == 0] >= 0.5).mean() < 0.03
     print("auc", wins, "clean flagged", (score[y == 0] >= 0.5).mean(), "caught", (score[y == 1] >= 0.5).mean())
