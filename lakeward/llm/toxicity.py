@@ -4,10 +4,11 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text,
 over the same ordinary base content, so that a window of plain text compresses
 alike with both and only what toxic text adds makes a difference. The toxic
 samples are the words of toxic texts that hold a character gram over-represented
-there. A document's windows are compressed with both; how much shorter the toxic
-side is (mean, high percentile, share and count of windows above a margin) is
-calibrated to a probability by logistic regression on labelled texts that the
-dictionaries did not see.
+there; the base and the ordinary samples leave such words out, which ordinary
+text may use now and then. A document's windows are compressed with both; how
+much shorter the toxic side is (mean, extremes, high percentile, share and count
+of windows above each margin) is calibrated to a probability by logistic
+regression on labelled texts that the dictionaries did not see.
 
 Fitting uses at most ``PER_CLASS`` labelled texts of each class, by hash of their
 id, and nothing but their texts and labels; scoring covers whole texts of any
@@ -34,7 +35,8 @@ from lakeward.llm.common import col, row_key, text_of
 
 PER_CLASS = (2000, 6000)  # ordinary texts are more varied
 FOLDS = 5
-WINDOW, STEP, LEVEL, MARGIN = 96, 48, 3, 4
+WINDOW, STEP, LEVEL = 64, 32, 12
+MARGINS = (1, 2, 3, 4, 6)  # bytes by which the toxic side is shorter
 BASE_BYTES, OWN_BYTES = 110_000, 2048
 GRAM, GRAMS = 5, 60
 SEED = 7
@@ -88,8 +90,11 @@ class Model:
 
 def features(text: str, ordinary, toxic) -> list[float]:
     gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text.lower().encode())], float)
-    high = gain >= MARGIN
-    return [gain.mean(), math.log1p(high.sum()), high.mean(), (gain >= 1.5 * MARGIN).mean(), float(np.percentile(gain, 90)), gain.max()]
+    out = [gain.mean(), gain.min(), float(np.percentile(gain, 90)), gain.max()]
+    for margin in MARGINS:
+        high = gain >= margin
+        out += [math.log1p(high.sum()), high.mean()]
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,9 +132,12 @@ def train(rows: list[tuple[str, int]]) -> Model | None:
         return n * math.log(p / q) if n >= 3 and p > 2 * q else 0.0
 
     marks = set(sorted(seen[1], key=lambda g: (-excess(g), g))[:GRAMS])
-    own = [f" {w}".encode() for t in toxic for w in t.split() if not marks.isdisjoint(_grams(w))]
-    plain = [f" {w}".encode() for t in ordinary for w in t.split() if len(w) >= GRAM]
-    base = [w for t in ordinary for w in windows(t.encode())[::2]]
+    words = {w for t in toxic + ordinary for w in t.split()}
+    marked = {w for w in words if not marks.isdisjoint(_grams(w))}
+    own = [f" {w}".encode() for t in toxic for w in t.split() if w in marked]
+    unmarked = [[w for w in t.split() if w not in marked] for t in ordinary]
+    plain = [f" {w}".encode() for t in unmarked for w in t if len(w) >= GRAM]
+    base = [w for t in unmarked for w in windows(" ".join(t).encode())[::2]]
     for samples in (own, plain, base):
         random.Random(SEED).shuffle(samples)
     shared = _content(base[:60_000], BASE_BYTES)
