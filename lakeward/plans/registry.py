@@ -40,4 +40,5 @@ def load_all() -> None:
         q_ingest,
         q_lineage,
         q_ledger,
+        q_records,
     )
