@@ -4,8 +4,8 @@ A line is normalised (lower case, single spaces, trimmed) and hashed. A host is
 the document's ``source``. A line is boilerplate on its host when more than
 ``max(MIN_DOCS, HOST_SHARE x documents of the host)`` distinct documents hold it;
 copies of one text are not distinct documents: each (host, line) counts the
-distinct smallest hashes among the *other* lines of its documents, which copies
-share. A document is depleted when boilerplate holds more than ``DEPLETED`` of
+distinct hashes of its documents' whole normalised texts (all lines, in order).
+A document is depleted when boilerplate holds more than ``DEPLETED`` of
 its words.
 
 Null texts count as empty (no words, so ``base_failed``); a null source is a
@@ -106,17 +106,11 @@ def normal_lines(text: Column) -> Column:
 
 def boilerplate(docs: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """``source, line`` (hash): the lines above their host's limit."""
-    lines = docs.select(col("source").alias("source"), F.array_distinct(normal_lines(text_of())).alias("l")).select(
-        "source",
-        F.transform("l", lambda x: F.struct(F.xxhash64(x).alias("line"), F.md5(x).alias("m"))).alias("l"),
+    lines = docs.select(col("source").alias("source"), normal_lines(text_of()).alias("l"))
+    each = lines.select(
+        "source", F.xxhash64("l").alias("text"), F.explode(F.transform(F.array_distinct("l"), lambda x: F.xxhash64(x))).alias("line")
     )
-    first = F.slice(F.sort_array(F.transform("l", lambda x: x["m"])), 1, 2)
-    each = lines.select("source", first.alias("first"), F.explode("l").alias("x")).select(
-        "source",
-        F.col("x.line").alias("line"),
-        F.xxhash64(F.when(F.col("x.m") == F.get("first", F.lit(0)), F.get("first", F.lit(1))).otherwise(F.get("first", F.lit(0)))).alias("other"),
-    )
-    held = each.groupBy("source", "line").agg(F.count_distinct("other").alias("n"))
+    held = each.groupBy("source", "line").agg(F.count_distinct("text").alias("n"))
     hosts = docs.groupBy(col("source").alias("_source")).agg(F.count(F.lit(1)).alias("docs"))
     limit = F.greatest(F.lit(float(min_docs)), F.col("docs") * F.lit(host_share))
     return (

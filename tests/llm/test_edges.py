@@ -131,6 +131,25 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert {r.doc_id for r in quality.filter_quality(df).collect()} == {i for i, (_, k) in got.items() if k}
 
 
+def test_boilerplate_counts_whole_texts(spark):
+    """Documents that share many lines and differ in one are distinct; copies, also in other blanks and case, are not."""
+    shared = [f"Shared line {k} with a few words" for k in range(16)]
+    rows = [(i, "\n".join([*shared[:4], f"own words of {i}", *shared[4:]]), "h") for i in range(60)]
+    rows += [(300 + i, "\n".join(shared) if i % 2 else "\n".join(f"  {x.upper()}\t" for x in shared), "h") for i in range(40)]
+    rows += [(400 + i, "copied line\nother copied line", "h") for i in range(40)]
+    rows += [(500 + i, f"{shared[0]}\n{shared[1]}\nown {i}", "small") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    texts = {}
+    for _, text, source in rows:
+        lines = tuple(" ".join(x.lower().split()) for x in text.split("\n"))
+        for x in lines:
+            texts.setdefault((source, x), set()).add(lines)
+    want = {k for k, v in texts.items() if len(v) > 20}
+    assert want == {("h", x.lower()) for x in shared}
+    hashed = {(r.source, r.h): r.x for r in spark.createDataFrame(list(texts), "source string, x string").select("source", "x", F.xxhash64("x").alias("h")).collect()}
+    assert {(r.source, hashed[r.source, r.line]) for r in quality.boilerplate(df).collect()} == want
+
+
 def test_pages_edges(spark):
     schema = "page_id long, url string, html string, text string, _key long"
     rows = [(1, None, None, "x", 1), (2, "u", "", "x", 1), (None, "v", "<p>a few words of text &amp more</p>", "x", 1), (3, "w", "<p" * 5000, "x", 1)]
