@@ -110,7 +110,7 @@ def runs(data: np.ndarray, ends: np.ndarray):
     inside = np.zeros(len(least) + 2 * (_WIDE - 1), np.uint64)
     inside[at + _WIDE - 1] = least[at]
     chosen = np.flatnonzero(_slide(inside, _WIDE, np.maximum)[: len(grams)] == grams)
-    again = (np.diff(chosen) < _WIDE) & (grams[chosen[1:]] == grams[chosen[:-1]])
+    again = (np.diff(chosen) <= _WIDE) & (grams[chosen[1:]] == grams[chosen[:-1]])
     if not len(at):
         return none.astype(np.uint64), none, none, none.astype(np.uint64)
     own = least[at]

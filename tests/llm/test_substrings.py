@@ -47,3 +47,13 @@ def test_passages_periods_and_copies(spark, hot):
     want = {k[0]: v for k, v in brute(rows).items()}
     got = {r._id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sd.remove_repeats(df, hot).collect()}
     assert got == want
+
+
+def test_every_period_in_a_document_of_its_own(spark):
+    rng = np.random.default_rng(69)
+    rows = [(1000 * times + period, "".join(rng.choice(list("abcdefgh \n"), period)) * times) for period in range(1, 141) for times in range(2, 7)]
+    rows.sort()
+    want = {k[0]: v for k, v in brute(rows).items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r._id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sd.remove_repeats(df).collect()}
+    assert got == want and all(want[1000 * times + 69][1] for times in range(3, 7))
