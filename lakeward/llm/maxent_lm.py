@@ -35,7 +35,7 @@ from lakeward.llm.common import col, materialise, text_of
 
 FOLDS, HELD = 7, 2
 HEAD, CLASSES = 11, 24  # frequent words with a class each; all classes, the end token's first
-ROWS = 1 << 16  # at most this many, so that rows sort as 16-bit numbers
+ROWS = 1 << 16  # up to this many, rows sort as 16-bit numbers
 FREQUENT = 250_000
 ROUNDS = 3
 RATE, SHRINK = 1.0, 10
@@ -124,10 +124,10 @@ def _history(token: np.ndarray, begin: np.ndarray, hashed: np.ndarray, rows: int
         back.append(h)
     one, two = back
     mixed = [one * np.uint64(3) + np.uint64(1), (one * np.uint64(0x9E3779B97F4A7C15) ^ two) * np.uint64(5), two * np.uint64(7) + np.uint64(2)]
-    out = np.empty((len(own), 3), np.uint16)
+    out = np.empty((len(own), 3), np.uint16 if rows <= 1 << 16 else np.uint32)
     for k, m in enumerate(mixed):
         m = m * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, k] = ((m ^ (m >> np.uint64(31))) % np.uint64(rows)).astype(np.uint16)
+        out[:, k] = ((m ^ (m >> np.uint64(31))) % np.uint64(rows)).astype(out.dtype)
     return out
 
 

@@ -245,6 +245,15 @@ def test_lm_sums_to_one(spark):
     assert total == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("rows", [1 << 10, 1 << 16, 1 << 18])
+def test_lm_histories_reach_every_row(rows):
+    from lakeward.llm import maxent_lm as lm
+
+    token = np.r_[np.arange(200_000), -1]
+    got = lm._history(token, np.array([0, len(token)]), np.arange(200_000, dtype=np.uint64) * np.uint64(2654435761), rows)
+    assert got.max() < rows and len(np.unique(got >> max(0, rows.bit_length() - 11))) == 1 << 10
+
+
 def test_lm_learns_an_order(spark):
     """Held-out texts in the learned word order score above the same words shuffled."""
     from lakeward.llm import maxent_lm
