@@ -44,13 +44,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 FURTHER = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s/:@]{1,256}:[^\s/@]{1,256}@"),
+    Rule("url_login", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s/:@]+:[^\s/@]+@"),
 )
 RULES = BASE + FURTHER
 

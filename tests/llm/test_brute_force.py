@@ -167,6 +167,16 @@ def test_secrets_of_each_further_kind(spark):
         assert (kind, 2, 2 + len(t)) in {(s.kind, s.start, s.end) for s in r.spans}
 
 
+def test_long_logins_and_whole_keys(spark):
+    key = "-----BEGIN EC PRIVATE KEY-----\nMHcCAQEE\nabc=\n-----END EC PRIVATE KEY-----"
+    login = f"https://{'u' * 300}:{'p' * 900}@"
+    texts = [("url_login", login, "host/"), ("private_key", key, "\nafter"), ("private_key", key[:40], ""), ("private_key", key[:30], "\n" + key)]
+    rows = [(i, f"é {t}{rest}") for i, (_, t, rest) in enumerate(texts)]
+    got = {r._id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = [[(s.start, s.end) for s in got[i] if s.kind == kind] for i, (kind, _, _) in enumerate(texts)]
+    assert own == [[(2, 2 + len(login))], [(2, 2 + len(key))], [(2, 32)], [(2, 32), (33, 33 + len(key))]]
+
+
 def article(page):
     """By the markup of these pages: what stands between the article's tags, block by block."""
     import html
