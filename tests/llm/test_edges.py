@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeward.llm import exact_dedup, html_main, maxent_lm, mixing, packing, quality, secrets, simhash, substring_dedup, toxicity
+from lakeward.llm import exact_dedup, html_main, maxent_lm, mixing, packing, phrases, prefix_trie, quality, rule_ensemble, secrets, simhash, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id long, _key string, _row int, size int, kept boolean, line string, n long, word string"
 LONG = " ".join(f"word{i % 997} again{i}" for i in range(60_000))
@@ -44,6 +44,7 @@ OPERATORS = {
     "lm": lambda d: maxent_lm.score(d),
     "substrings": lambda d: substring_dedup.remove_repeats(d),
     "toxicity": lambda d: toxicity.classify(d, labels(d.sparkSession, 10)),
+    "rules": lambda d: rule_ensemble.classify(d, labels(d.sparkSession, 10)),
 }
 
 
@@ -61,6 +62,16 @@ def test_pack_edges(docs, none):
     assert packing.pack(none).collect() == []
 
 
+def test_phrases_edges(docs, none):
+    got = {(r.lang, r.phrase): r.a for r in phrases.collocations(docs, threshold=3).collect()}
+    assert got[("und", " ".join(f"plain{i}" for i in range(5)))] == 6  # copies count each time, upper case included
+    assert phrases.ranked(phrases.collocations(none)).collect() == []
+
+
+def test_trie_edges(none):
+    assert prefix_trie.trie(none.selectExpr("doc_id as conv_id", "n as turn", "source as role", "text", "_id", "line as k1")).collect() == []
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, docs, none, name, stage):
     got = stage(spark, docs, "/nowhere")
