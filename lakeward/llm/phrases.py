@@ -7,12 +7,14 @@ in which its prefix and its suffix (one word shorter each) both reached the
 threshold, and for exactly one full cycle. No count is lost by starting late,
 since the cycle comes back to the shards that went by before.
 
-Which phrases have reached the threshold travels to the tasks as a hashed bitmap
-of bounded size. The bitmap only ever grows, so a phrase that two wrong hits let
-in early is also counted for one whole cycle: wrong hits cost time, never change
-a count. Beyond ``MOST_BITS`` the bitmap stays as large as it is and lets more
-phrases through, which are counted by the shuffle and dropped below the
-threshold. Counts meet in the shuffle under the phrase itself, not its hash.
+The scans count 64-bit hashes of phrases, so only numbers are shuffled; a hash's
+count is never below the count of any phrase it stands for. One last scan counts
+the phrases themselves whose hash reached the threshold, and these exact counts
+decide. Which hashes have reached it travels to the tasks as a bitmap of bounded
+size that only ever grows, so a phrase that a wrong hit lets in early is also
+counted for one whole cycle: wrong hits cost time, never change a count. Beyond
+``MOST_BITS`` the bitmap stays as large as it is and lets more phrases through,
+which the shuffle counts and drops below the threshold.
 
 Words are lower-cased (A-Z only) runs of anything but blank and tab within the
 pieces between ``.,;:!?`` and line ends. Null texts are empty, a null language is
@@ -24,19 +26,21 @@ columns of the input are not read.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeward.llm.common import col, materialise, text_of
 from lakeward.session import ensure_checkpoint_dir
 
 THRESHOLD = 100
-LONGEST = 5
+LONGEST = 5  # up to 15
 SHARDS = 4
 INSIDE_PERCENT = 100
 TOP = 2000
@@ -44,9 +48,13 @@ TOP = 2000
 CHUNK = 6 << 20
 #: One bit for so many words of the corpus; at most ``MOST_BITS`` (64 MB).
 WORDS_A_BIT, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
+#: Words of the corpus that one task of the last scan adds up, and phrases that it holds meanwhile.
+WORDS_A_TASK, HELD = 32_000_000, 250_000
+BATCH = 8 << 20
 UNKNOWN = "und"
 
-_COUNTS = "lang string, phrase string, size int, hash long, n long"
+#: The low bits of a counted hash hold the phrase's length.
+_SIZE = 15
 
 
 def _code(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -106,7 +114,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(len(bitmap) * 8 - 1)
+    at = (hashes >> np.uint64(4)) & np.uint64(len(bitmap) * 8 - 1)  # above the length
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -120,68 +128,142 @@ def _distinct(codes: np.ndarray, at: np.ndarray, size: int, hashes: np.ndarray)
     return at[first], n
 
 
-def _count(lang: str, words: pa.Array, signed: np.ndarray, reached: np.ndarray, before: np.ndarray | None, longest: int):
-    """Counts of one chunk: per length, the phrases that are in their cycle.
+def _hashed(lang: str, words: pa.Array, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, whether a word starts a piece, and the hash of every distinct word in its language."""
+    word = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+    own = pd.util.hash_array(np.array([f"language {lang}"], dtype=object), categorize=False)
+    return np.where(signed < 0, ~signed, signed), signed < 0, _mix(word, np.broadcast_to(own, word.shape))
+
+
+def _marked(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes & ~np.uint64(_SIZE)) | np.uint64(size)
+
+
+def _longer(at: np.ndarray, hashes: np.ndarray, size: int, codes: np.ndarray, starts: np.ndarray, word: np.ndarray):
+    """Of the phrases of ``size`` words at ``at``: which go on to the next one within the piece, and the longer phrases' places and hashes."""
+    follows = np.zeros(len(at), bool)
+    if len(at):
+        follows[:-1] = (at[1:] == at[:-1] + 1) & ~starts[at[1:] + size - 1]
+    i = np.flatnonzero(follows)
+    return i, at[i], _mix(hashes[i], word[codes[at[i] + size]])
 
-    ``reached``: phrases that had reached the threshold before this scan; ``before``:
-    the same one cycle ago (None within the first cycle). A phrase whose parts were
+
+def _count(chunk, reached: np.ndarray, before: np.ndarray | None, longest: int):
+    """``hash, n`` of one chunk: per length, the phrases that are in their cycle.
+
+    ``reached``: what had reached the threshold before this scan; ``before``: the
+    same one cycle ago (None within the first cycle). A phrase whose parts were
     both in ``before`` has had its cycle.
     """
-    codes = np.where(signed < 0, ~signed, signed)
-    starts = signed < 0
-    word = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
-    own = pd.util.hash_array(np.array([f"language {lang}"], dtype=object), categorize=False)
-    word = _mix(word, np.broadcast_to(own, word.shape))
-    at, hashes = np.arange(len(codes)), word[codes]
-    had = np.full(len(at), before is not None)  # counted one cycle ago already
-    for size in range(1, longest + 1):
-        if not had.all():
-            chosen, n = _distinct(codes, at[~had], size, hashes[~had])
-            at_hash = np.zeros(len(codes), np.uint64)
-            at_hash[at] = hashes
-            parts = [words.take(pa.array(codes[chosen + k])) for k in range(size)]
-            phrase = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " ")
-            yield phrase, size, at_hash[chosen].view(np.int64), n
-        if size == longest:
-            return
+    codes, starts, word = _hashed(*chunk)
+    words = _marked(word, 1)
+    if before is None:
+        n = np.bincount(codes, minlength=len(word))
+        yield words[n > 0], n[n > 0]
+    at = np.flatnonzero(_has(reached, words)[codes])
+    done = (np.zeros(len(word), bool) if before is None else _has(before, words))[codes[at]]
+    hashes = word[codes[at]]
+    for size in range(2, longest + 1):
         # longer phrases start where the phrases here and one word on have both reached the threshold
-        known = _has(reached, hashes)
-        at, hashes, had = at[known], hashes[known], had[known]
-        done = had if before is None else had & _has(before, hashes)
-        follows = np.zeros(len(at), bool)
-        if len(at):
-            follows[:-1] = (at[1:] == at[:-1] + 1) & ~starts[at[1:] + size - 1]
-        i = np.flatnonzero(follows)
-        had = done[i] & done[i + 1]
-        at, hashes = at[i], _mix(hashes[i], word[codes[at[i] + size]])
+        i, at, hashes = _longer(at, hashes, size - 1, codes, starts, word)
+        had, marked = done[i] & done[i + 1], _marked(hashes, size)
+        if not had.all():
+            yield np.unique(marked[~had], return_counts=True)
+        known = _has(reached, marked)
+        at, hashes, done, marked = at[known], hashes[known], had[known], marked[known]
+        if before is not None:
+            done &= _has(before, marked)
 
 
 def _scan(shard: DataFrame, reached, before, longest: int) -> DataFrame:
+    """``hash, n``: what one scan counts, a row per task and hash or fewer."""
+
     def run(batches):
         now, past = np.frombuffer(reached.value, np.uint8), before and np.frombuffer(before.value, np.uint8)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].values
-                signed = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-                for phrase, size, hashes, n in _count(lang, words, signed, now, past, longest):
-                    for k in range(0, len(n), 100_000):
-                        part = slice(k, k + 100_000)
-                        m = len(n[part])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([lang] * m, pa.string()), phrase.slice(k, m), pa.array(np.full(m, size, np.int32)),
-                             pa.array(hashes[part]), pa.array(n[part].astype(np.int64))],
-                            ["lang", "phrase", "size", "hash", "n"],
-                        )
-
-    return shard.select("lang", "words", "codes").mapInArrow(run, _COUNTS)
-
-
-def _newly_reached(counted: DataFrame, threshold: int, longest: int, bits: int) -> list:
-    """The bits of the phrases that reached the threshold in this scan, 64 to a row: at most ``bits / 64`` rows."""
-    new = counted.where((F.col("n") >= threshold) & (F.col("before") < threshold) & (F.col("size") < longest))
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+        for chunk in _chunks_of(batches):
+            for hashes, n in _count(chunk, now, past, longest):
+                for k in range(0, len(n), 200_000):
+                    part = slice(k, k + 200_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["hash", "n"])
+
+    return shard.select("lang", "words", "codes").mapInArrow(run, "hash long, n long")
+
+
+def _chunks_of(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
+            yield batch.column("lang")[i].as_py(), batch.column("words")[i].values, codes
+
+
+def _phrases(coded: DataFrame, found, longest: int, tasks: int) -> DataFrame:
+    """``lang, phrase, size, n``: the phrases themselves whose hash is in ``found``, counted over all chunks.
+
+    A task adds up its chunks before it sends anything on, ``HELD`` phrases at most.
+    """
+
+    def run(batches):
+        known, held = np.frombuffer(found.value, np.uint8), {}
+
+        def add(lang, size, phrase, n):
+            own = held.setdefault((lang, size), {})
+            for x, m in zip(phrase.to_pylist(), n.tolist(), strict=True):
+                own[x] = own.get(x, 0) + m
+
+        def out():
+            for (lang, size), own in held.items():
+                each = iter(own.items())
+                while some := list(islice(each, 50_000)):
+                    m = len(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * m, pa.string()), pa.array([x for x, _ in some], pa.string()), pa.array(np.full(m, size, np.int32)),
+                         pa.array([n for _, n in some], pa.int64())],
+                        ["lang", "phrase", "size", "n"],
+                    )
+            held.clear()
+
+        for lang, words, signed in _chunks_of(batches):
+            codes, starts, word = _hashed(lang, words, signed)
+            hit = _has(known, _marked(word, 1))
+            n = np.bincount(codes, minlength=len(word))
+            some = np.flatnonzero(hit & (n > 0))
+            add(lang, 1, words.take(pa.array(some)), n[some])
+            at = np.flatnonzero(hit[codes])
+            hashes = word[codes[at]]
+            for size in range(2, longest + 1):
+                _, at, hashes = _longer(at, hashes, size - 1, codes, starts, word)
+                hit = _has(known, _marked(hashes, size))
+                at, hashes = at[hit], hashes[hit]
+                one, n = _distinct(codes, at, size, hashes)
+                parts = [words.take(pa.array(codes[one + k])) for k in range(size)]
+                add(lang, size, pc.binary_join_element_wise(*parts, " "), n)
+            if sum(map(len, held.values())) > HELD:
+                yield from out()
+        yield from out()
+
+    rows = coded.select("lang", "words", "codes").repartition(tasks).mapInArrow(run, "lang string, phrase string, size int, n long")
+    return rows.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """While chunks are scanned, a batch on its way to Python holds a few chunks: a row is megabytes here."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _set_bits(bitmap: np.ndarray, hashes: DataFrame) -> bool:
+    """Set the bits of ``hash``; they come 64 to a row, so at most a bitmap's size reaches the driver. Whether there were any."""
+    place = F.shiftrightunsigned("hash", 4).bitwiseAND(F.lit(len(bitmap) * 8 - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    return new.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    rows = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    bitmap.view(np.uint64)[np.asarray(rows["word"])] |= np.asarray(rows["bits"]).view(np.uint64)
+    return rows.num_rows > 0
 
 
 def frequent(coded: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
@@ -189,35 +271,35 @@ def frequent(coded: DataFrame, threshold: int = THRESHOLD, longest: int = LONGES
     spark = coded.sparkSession
     total = coded.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (total // WORDS_A_BIT).bit_length()))
-    bitmap, past = np.zeros(bits // 8, np.uint8), []
+    reached, past = np.zeros(bits // 8, np.uint8), []
     running, found, last_new, scan = None, [], 0, 0
-    while scan <= last_new + shards - 1 or scan < shards:
-        past.append(spark.sparkContext.broadcast(bitmap.tobytes()))
+    while scan < last_new + shards:
+        past.append(spark.sparkContext.broadcast(reached.tobytes()))
         earlier = past[scan - shards] if scan >= shards else None
-        counted = _scan(coded.where(F.col("shard") == scan % shards), past[scan], earlier, longest).select(
-            "*", F.lit(0).cast("long").alias("before"), F.lit(scan).alias("since")
-        )
+        counted = _scan(coded.where(F.col("shard") == scan % shards), past[scan], earlier, longest)
+        counted = counted.select("hash", "n", F.lit(0).cast("long").alias("before"), F.lit(scan).alias("since"))
         if running is not None:
-            counted = counted.union(running.select("lang", "phrase", "size", "hash", "n", F.col("n").alias("before"), "since"))
-        counted = counted.groupBy("lang", "phrase").agg(
-            F.first("size").alias("size"), F.first("hash").alias("hash"), F.sum("n").alias("n"), F.sum("before").alias("before"), F.min("since").alias("since")
-        )
+            counted = counted.union(running.select("hash", "n", F.col("n").alias("before"), "since"))
+        counted = counted.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.min("since").alias("since"))
         counted = materialise(counted, f"phrases-scan-{scan}")
-        # a phrase first met in scan k began in k at the latest, so its cycle is over after k + shards - 1
+        # what was first met in scan k began in k at the latest, so its cycle is over after k + shards - 1
         over = F.col("since") <= scan - shards + 1
-        found.append(counted.where(over & (F.col("n") >= threshold)).select("lang", "phrase", "size", "n"))
+        often = F.col("n") >= threshold
+        found.append(counted.where(over & often).select("hash"))
         running = counted.where(~over)
-        if new := _newly_reached(counted, threshold, longest, bits):
+        if _set_bits(reached, counted.where(often & (F.col("before") < threshold) & (F.col("hash").bitwiseAND(F.lit(_SIZE)) < longest))):
             last_new = scan + 1
-            words = bitmap.view(np.uint64)
-            words[[r["word"] for r in new]] |= np.array([r["bits"] for r in new], np.int64).view(np.uint64)
         if earlier is not None:
             earlier.unpersist()
         scan += 1
-    out = running.where(F.col("n") >= threshold).select("lang", "phrase", "size", "n")
+    hashes = running.where(F.col("n") >= threshold).select("hash")
     for f in found:
-        out = out.union(f)
-    return materialise(out, "phrases-frequent")
+        hashes = hashes.union(f)
+    bitmap = np.zeros(bits // 8, np.uint8)
+    _set_bits(bitmap, hashes)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // WORDS_A_TASK))
+    exact = _phrases(coded, spark.sparkContext.broadcast(bitmap.tobytes()), longest, tasks)
+    return materialise(exact.where(F.col("n") >= threshold), "phrases-frequent")
 
 
 def collocations(
@@ -227,7 +309,8 @@ def collocations(
     """``lang, phrase, a, l, r, n, score``: scored phrases of two words or more that no longer phrase takes in."""
     coded = chunks(docs, shards, chunk)
     sizes = coded.groupBy("lang").agg(F.sum("n").alias("n"))
-    known = frequent(coded, threshold, longest, shards)
+    with _small_batches(docs.sparkSession):
+        known = frequent(coded, threshold, longest, shards)
     phrases = known.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"))
     w = F.split("phrase", " ")
 

@@ -64,7 +64,7 @@ def test_pack_edges(docs, none):
 
 def test_phrases_edges(docs, none):
     got = {(r.lang, r.phrase): r.a for r in phrases.collocations(docs, threshold=3).collect()}
-    assert got[("und", " ".join(f"plain{i}" for i in range(5)))] == 6  # copies count each time, upper case included
+    assert got[("und", " ".join(f"plain{i}" for i in range(5)))] == 7  # copies count each time, upper case included
     assert phrases.ranked(phrases.collocations(none)).collect() == []
 
 

@@ -70,6 +70,7 @@ def test_a_full_bitmap_changes_no_count(spark, monkeypatch):
     rows = corpus()
     monkeypatch.setattr(phrases, "LEAST_BITS", 64)
     monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    monkeypatch.setattr(phrases, "HELD", 10)
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     got = phrases.collocations(docs, threshold=4, shards=3, chunk=500)
     assert {tuple(r) for r in got.select("lang", "phrase", "a", "l", "r", "n", "score").collect()} == plain_phrases(rows, 4)
