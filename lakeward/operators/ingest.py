@@ -8,9 +8,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lakeward.operators.contracts import RAW_CONTRACT, enforced
 from lakeward.schemas import EVENT_LINE, RAW_COLUMNS, REQUIRED_EVENT_FIELDS, STANDARD_BATCH_ROWS
 
+EVENT_FIELDS = [f.name for f in EVENT_LINE.fields]
+#: How lines write times: to the microsecond (Spark's own default stops at milliseconds).
+LINE_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 class LoadError(RuntimeError):
     """A batch cannot be loaded as requested."""
@@ -23,22 +29,108 @@ def required_field_violations(lines: DataFrame) -> DataFrame:
     return lines.filter(cond)
 
 
+def scan_event_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
+    """JSON lines -> the declared event fields beside the other columns, and why a line is no event.
+
+    ``reject_reason`` is NULL for a good line, else ``malformed_json`` (no JSON object, or a field of another type) or
+    ``missing_<field>`` for the first required field that is absent or null; ``reject_line`` keeps such a line's text.
+    Unknown fields are dropped and blank lines are no lines. One projection, so it works on a stream as on a table."""
+    bad = "_corrupt_record"
+    parsed = F.from_json(
+        F.col(text_col), T.StructType([*EVENT_LINE.fields, T.StructField(bad, T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad},
+    )
+    rest = [c for c in lines.columns if c != text_col]
+    rows = lines.where(F.trim(text_col) != "").select(*rest, F.col(text_col).alias("_line"), parsed.alias("_p"))
+    malformed = F.col("_p").isNull() | F.col(f"_p.{bad}").isNotNull()
+    reason = F.when(malformed, F.lit("malformed_json"))
+    for c in REQUIRED_EVENT_FIELDS:
+        reason = reason.when(F.col(f"_p.{c}").isNull(), F.lit(f"missing_{c}"))
+    return rows.select(
+        *rest, *[F.col(f"_p.{f}").alias(f) for f in EVENT_FIELDS], reason.alias("reject_reason"), F.when(reason.isNotNull(), F.col("_line")).alias("reject_line")
+    )
+
+
+def split_scan(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects) of a scan."""
+    good = scanned.where("reject_reason is null").drop("reject_reason", "reject_line")
+    return good, scanned.where("reject_reason is not null").drop(*EVENT_FIELDS)
+
+
 def write_event_lines(df: DataFrame, path: str) -> None:
     """JSONL sink: one object per line; refuses to overwrite a landed batch."""
-    df.select(*[f.name for f in EVENT_LINE.fields]).write.mode("errorifexists").json(path)
+    df.select(*EVENT_FIELDS).write.mode("errorifexists").options(**LINE_OPTIONS).json(path)
+
+
+# ------------------------------------------------------------------ A6 / A10
+def line_digests(lines: DataFrame, *by: str) -> DataFrame:
+    """Order-insensitive digest of text lines (``value``) per group: rows, XOR and exact sum of their hashes."""
+    h = F.xxhash64(F.col("value"))
+    return lines.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum")
+    )
+
+
+def landing_outcomes(delivered: DataFrame, ledger: DataFrame, key: str = "path") -> DataFrame:
+    """Digests of what is delivered against what the ledger has under the same key: ``new``, ``reused`` (the same
+    content) or ``conflict``, and how the manifest's identity matches (``row_count_mismatch``, ``digest_mismatch``)."""
+    d, m = delivered.alias("d"), ledger.alias("l")
+    there = F.col(f"l.{key}").isNotNull()
+    rows = F.col("d.row_count") == F.col("l.row_count")
+    same = rows & (F.col("d.hash_xor") == F.col("l.hash_xor")) & (F.col("d.hash_sum") == F.col("l.hash_sum"))
+    return d.join(m, F.col(f"d.{key}") == F.col(f"l.{key}"), "left").select(
+        F.col(f"d.{key}").alias(key),
+        F.col("d.row_count").alias("row_count"),
+        F.when(~there, "new").when(same, "reused").otherwise("conflict").alias("outcome"),
+        F.when(~there, "no_manifest").when(same, "match").when(~rows, "row_count_mismatch").otherwise("digest_mismatch").alias("manifest_state"),
+    )
+
+
+def land_once(rows: DataFrame, path: str, ledger_path: str) -> str:
+    """Land a batch's event lines under ``path``, once: ``landed``, or ``reused`` if the same content is there.
+
+    Other content under the same path is a conflict and raises; nothing is ever overwritten. The lines are written
+    beside the path and renamed when complete; the ledger entry comes last. A batch whose writer died before its
+    entry is recognised by the digest of the files themselves."""
+    spark = rows.sparkSession
+    draft = f"{path.rstrip('/')}__draft_{uuid.uuid4().hex}"
+    kinds = "path string, row_count bigint, hash_xor bigint, hash_sum string"
+    try:
+        write_event_lines(rows, draft)
+        digest = line_digests(spark.read.text(draft)).select(F.lit(path).alias("path"), "row_count", "hash_xor", "hash_sum")
+        new = digest.first()
+        known = None
+        if table_exists(spark, ledger_path):
+            known = spark.read.schema(kinds).parquet(ledger_path).where(F.col("path") == path).first()
+        entered = known is not None
+        if known is None and table_exists(spark, path):
+            known = line_digests(spark.read.text(path)).select(F.lit(path).alias("path"), "row_count", "hash_xor", "hash_sum").first()
+        if known is not None and tuple(known) != tuple(new):
+            raise LoadError(f"{path} has other content: {known['row_count']} rows there, {new['row_count']} delivered")
+        if known is None:
+            fs, target = hadoop_path(spark, path)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(hadoop_path(spark, draft)[1], target):
+                raise LoadError(f"{path} could not be landed")
+        if not entered:
+            spark.createDataFrame([tuple(new)], kinds).write.mode("append").parquet(ledger_path)
+        return "landed" if known is None else "reused"
+    finally:
+        fs, p = hadoop_path(spark, draft)
+        fs.delete(p, True)
 
 
 # ------------------------------------------------------------------------ A2
-def enrich(lines: DataFrame, *, ingested_at, source_file: str, pipeline_run_id: str, batch_id: str | None,
-           processing_date) -> DataFrame:
-    """Add the load metadata (one constant ingested_at per load)."""
+def enrich(lines: DataFrame, *, ingested_at, source_file, pipeline_run_id, batch_id, processing_date) -> DataFrame:
+    """Add the load metadata (one constant ``ingested_at`` per load); each may be a constant or a column."""
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
     return lines.select(
-        *[f.name for f in EVENT_LINE.fields],
-        F.lit(ingested_at).cast("timestamp_ntz").alias("ingested_at"),
-        F.lit(source_file).alias("source_file"),
-        F.lit(pipeline_run_id).alias("pipeline_run_id"),
-        F.lit(batch_id).cast("string").alias("batch_id"),
-        F.lit(processing_date).cast("date").alias("processing_date"),
+        *EVENT_FIELDS,
+        as_column(ingested_at).cast("timestamp_ntz").alias("ingested_at"),
+        as_column(source_file).alias("source_file"),
+        as_column(pipeline_run_id).alias("pipeline_run_id"),
+        as_column(batch_id).cast("string").alias("batch_id"),
+        as_column(processing_date).cast("date").alias("processing_date"),
     ).select(*RAW_COLUMNS)
 
 
@@ -47,7 +139,8 @@ def append_raw(raw_rows: DataFrame, table_path: str) -> None:
     (event_name, country_code) within each partition file. A large day is split
     over several tasks."""
     (
-        raw_rows.hint("rebalance", F.col("event_date"))
+        enforced(raw_rows, RAW_CONTRACT)
+        .hint("rebalance", F.col("event_date"))
         .sortWithinPartitions("event_date", "event_name", "country_code")
         .write.mode("append")
         .partitionBy("event_date")
@@ -134,14 +227,15 @@ def keyed_upsert(
 
 
 # ------------------------------------------------------------------- H1 write
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The file system of a path and the path as it wants it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether the folder is there; every other trouble with it raises."""
-    fs, p = _path(spark, path)
+    fs, p = hadoop_path(spark, path)
     return fs.exists(p)
 
 
@@ -160,11 +254,21 @@ def merge_into_partitioned_table(
     partitions (with source rows, or rows whose key now moves) are known and their
     new content is complete in a sibling folder before the table is changed. Then
     they are overwritten, and those left empty are deleted. A run that dies half
-    way can be run again. Refuses a source with other columns or repeated keys.
+    way can be run again. Refuses a source with other columns, NULL or repeated keys.
     Returns the number of partitions rewritten."""
     stage = f"{table_path.rstrip('/')}__stage_{uuid.uuid4().hex}"
+    try:
+        return _merge_staged(spark, table_path, source, key, partition_col, stage)
+    finally:
+        fs, p = hadoop_path(spark, stage)
+        fs.delete(p, True)
+
+
+def _merge_staged(spark: SparkSession, table_path: str, source: DataFrame, key: str, partition_col: str, stage: str) -> int:
     source.write.parquet(f"{stage}/source")
     new = spark.read.schema(source.schema).parquet(f"{stage}/source")
+    if not new.where(F.col(key).isNull()).isEmpty():
+        raise LoadError(f"the source holds rows without {key}")
     if not new.groupBy(key).count().filter("count > 1").isEmpty():
         raise LoadError(f"the source holds a {key} more than once")
     if not table_exists(spark, table_path):
@@ -185,10 +289,8 @@ def merge_into_partitioned_table(
         staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(table_path)
         for value in set(touched) - left:
             name = "__HIVE_DEFAULT_PARTITION__" if value is None else value
-            fs, p = _path(spark, f"{table_path.rstrip('/')}/{partition_col}={name}")
+            fs, p = hadoop_path(spark, f"{table_path.rstrip('/')}/{partition_col}={name}")
             fs.delete(p, True)
-    fs, p = _path(spark, stage)
-    fs.delete(p, True)
     return len(touched)
 
 

@@ -90,23 +90,6 @@ def q_fct_lookback(spark, d):
     return publish.lookback_source(fact, target.agg(F.max("ingested_at")).first()[0])
 
 
-@query(
-    "fct_merge",
-    with_core(
-        "SELECT * FROM tgt WHERE event_id NOT IN (SELECT event_id FROM src) UNION ALL SELECT * FROM src",
-        LOOKBACK_CTE,
-    ),
-)
-def q_fct_merge(spark, d):
-    """Fact after an incremental run: the target built from earlier loads,
-    merged by event_id with the lookback source."""
-    p = Pipeline(spark, d)
-    fact = p.fact.drop("loaded_to_core_at", "updated_at")
-    target = fact.filter(F.col("ingested_at") < F.lit(SPLIT_AT).cast("timestamp_ntz"))
-    source = publish.lookback_source(fact, publish.max_ingested_at(target))
-    return publish.merge_by_key(target, source, "event_id")
-
-
 @query(
     "fct_backfill",
     with_core(f"SELECT {FACT_COLS} FROM fact WHERE event_date >= DATE '2024-01-10' AND event_date <= DATE '2024-01-12'"),

@@ -41,4 +41,5 @@ def load_all() -> None:
         q_lineage,
         q_ledger,
         q_records,
+        q_tables,
     )

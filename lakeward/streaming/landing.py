@@ -1,10 +1,11 @@
 """Streaming landing: JSONL batches dropped under ``landing/`` are appended to
 the raw table, each file once.
 
-``readStream`` with the explicit line schema -> ``foreachBatch``: check the lines,
-take the load decision per file, enrich with load metadata (the processing date
-is the one in the file's path, so late files keep their date), append
-partitioned by event_date.
+``readStream`` of text lines, parsed against the line schema -> ``foreachBatch``:
+lines that are no events go to a reject table beside the raw one, a load decision
+is taken per file, load metadata is added (the processing date is the one in the
+file's path, so late files keep their date), and events are appended partitioned
+by event_date. A bad line never stops the lines around it.
 """
 
 from __future__ import annotations
@@ -15,23 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeward.operators.ingest import (
-    LoadError,
     append_raw,
     batch_load_decision,
+    enrich,
     raise_on_decision,
-    required_field_violations,
+    scan_event_lines,
+    split_scan,
     table_exists,
 )
-from lakeward.schemas import EVENT_LINE, RAW_COLUMNS
 
 
 def landing_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
     """Streaming JSONL scan; batch id comes from the ``batch_id=`` path segment."""
-    lines = spark.readStream.schema(EVENT_LINE).option("mode", "FAILFAST").json(landing_dir)
+    lines = spark.readStream.schema("value string").text(landing_dir)
     path = F.input_file_name()
-    return lines.withColumn("source_file", path).withColumn(
-        "batch_id", F.nullif(F.regexp_extract(path, r"batch_id=([^/]+)", 1), F.lit(""))
-    )
+    lines = lines.select("value", path.alias("source_file"), F.nullif(F.regexp_extract(path, r"batch_id=([^/]+)", 1), F.lit("")).alias("batch_id"))
+    return scan_event_lines(lines)
 
 
 def _ledger(spark: SparkSession, raw_table: str) -> DataFrame:
@@ -51,9 +51,12 @@ def _append_batch(raw_table: str):
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        missing = required_field_violations(batch).count()
-        if missing:
-            raise LoadError(f"{missing} lines miss a required field")
+        batch, rejects = split_scan(batch)
+        if not rejects.isEmpty():
+            # by file and replaced whole, so a batch that is run again writes the same rejects over itself
+            rejects.withColumn("file", F.md5("source_file")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+                "file"
+            ).parquet(f"{raw_table.rstrip('/')}__rejects")
         log = _ledger(spark, raw_table)
         files = batch.groupBy("source_file", "batch_id").agg(F.count(F.lit(1)).alias("expected_rows"))
         files = files.join(log.filter("state = 'done'"), "source_file", "left_anti").cache()
@@ -77,14 +80,10 @@ def _append_batch(raw_table: str):
                 F.try_to_date(F.nullif(F.regexp_extract("source_file", r"(?:processing_date|event_date)=([0-9-]+)", 1), F.lit(""))),
                 F.to_date(F.lit(now)),
             )
-            out = rows.select(
-                *[f.name for f in EVENT_LINE.fields],
-                F.lit(now).cast("timestamp_ntz").alias("ingested_at"),
-                "source_file",
-                F.concat(F.lit("stream-"), F.substring(F.md5("source_file"), 1, 12)).alias("pipeline_run_id"),
-                "batch_id",
-                day.alias("processing_date"),
-            ).select(*RAW_COLUMNS)
+            out = enrich(
+                rows, ingested_at=now, source_file=F.col("source_file"), batch_id=F.col("batch_id"), processing_date=day,
+                pipeline_run_id=F.concat(F.lit("stream-"), F.substring(F.md5("source_file"), 1, 12)),
+            )
             append_raw(out, raw_table)
             files.withColumn("state", F.lit("done")).write.mode("append").parquet(ledger_path)
         finally:
