@@ -64,14 +64,33 @@ def sustained_below(fractions: DataFrame, threshold: float = 0.5, windows: int =
     )
 
 
-def incidents(points: DataFrame, threshold: float, gap_seconds: int = 1800) -> DataFrame:
-    """Sessions of breach points per series: open on a breach, close
-    ``gap_seconds`` after the last one."""
+def breach_buckets(points: DataFrame, threshold: float, gap_seconds: int = 1800) -> DataFrame:
+    """Per series and bucket of the gap's width: first and last breach, their number and peak. Points of one bucket are
+    less than the gap apart, so they share an incident whatever lies around them; a row per task and bucket is shuffled."""
     return (
         points.filter(F.col("value") > threshold)
-        .groupBy("series", F.session_window("ts", f"{gap_seconds} seconds").alias("s"))
-        .agg(F.count(F.lit(1)).alias("breach_points"), F.max("value").alias("peak_value"))
-        .select("series", F.col("s.start").alias("opened_at"), F.col("s.end").alias("closed_at"), "breach_points", "peak_value")
+        .groupBy("series", F.window("ts", f"{gap_seconds} seconds").alias("w"))
+        .agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("breach_points"), F.max("value").alias("peak_value"))
+        .select("series", F.col("w.start").alias("bucket"), "first_at", "last_at", "breach_points", "peak_value")
+    )
+
+
+def incidents(points: DataFrame, threshold: float, gap_seconds: int = 1800) -> DataFrame:
+    """Sessions of breach points per series: open on a breach, close ``gap_seconds`` after the last one.
+
+    Two levels: raw points meet in buckets, and only the buckets of a series are put in order. A bucket opens a new
+    incident if its first breach is more than a gap after the last breach of the bucket before it. So a series of any
+    number of points is at most one row per gap of time in one task."""
+    order = Window.partitionBy("series").orderBy("bucket")
+    gap = F.make_dt_interval(secs=F.lit(gap_seconds).cast("decimal(18,6)"))
+    before = F.lag("last_at").over(order)
+    opens = before.isNull() | (F.col("first_at") - before > gap)
+    numbered = breach_buckets(points, threshold, gap_seconds).withColumn("_opens", opens.cast("int"))
+    numbered = numbered.withColumn("_incident", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        numbered.groupBy("series", "_incident")
+        .agg(F.min("first_at").alias("opened_at"), (F.max("last_at") + gap).alias("closed_at"), F.sum("breach_points").alias("breach_points"), F.max("peak_value").alias("peak_value"))
+        .drop("_incident")
     )
 
 

@@ -67,7 +67,7 @@ def q_sustained(spark, d):
     "alert_incidents",
     """WITH b AS (SELECT event_type AS series, ts, value FROM events WHERE value > 60),
         l AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY series ORDER BY ts) IS NULL
-                   OR ts - lag(ts) OVER (PARTITION BY series ORDER BY ts) >= INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS brk
+                   OR ts - lag(ts) OVER (PARTITION BY series ORDER BY ts) > INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS brk
               FROM b),
         g AS (SELECT *, sum(brk) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM l)
         SELECT series, min(ts) AS opened_at, max(ts) + INTERVAL 1800 SECOND AS closed_at, count(*) AS breach_points,
