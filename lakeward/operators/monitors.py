@@ -9,25 +9,61 @@ id), so it is a partial aggregation rather than a sort.
 
 from __future__ import annotations
 
-import datetime as dt
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed thresholds of the monitor configuration.
+# Thresholds of the monitor configuration by section.
 THRESHOLDS = {
-    "grace_seconds": 7200,
+    "missing_run": {"grace_seconds": 7200},
     "freshness": {"warn_seconds": 93600, "fail_seconds": 180000},
     "volume": {"baseline_window_runs": 7, "warn_deviation": 0.50, "fail_deviation": 0.80, "min_baseline_rows": 1000},
     "rejection_rate": {"warn": 0.20, "fail": 0.35},
-    "window_hours": {"telemetry": 48, "reconciliation": 48, "deployment": 168},
+    "telemetry": {"window_hours": 48},
+    "reconciliation": {"window_hours": 48},
+    "deployment": {"window_hours": 168},
     "cost": {"window_hours": 24, "baseline_window_days": 7, "warn_ratio": 3.0, "fail_ratio": 10.0,
              "min_bytes_billed": 1073741824},
 }
 TERMINAL_TASK_EVENTS = ["SUCCESS", "FAILED", "SKIPPED", "UPSTREAM_FAILED"]
 STATUS_GAUGE = {"PASS": 0, "WARN": 1, "FAIL": 2, "NO_DATA": -1, "DISABLED": -2}
 RESULT_COLUMNS = ["check_name", "status", "severity", "observed_value", "threshold"]
+RESULT_SCHEMA = "check_name string, status string, severity string, observed_value double, threshold double, details string"
+# The gauges published beside a check's status, from its observed value.
+EXTRA_METRICS = {
+    "latest_run_state": "pipeline/run_duration_seconds",
+    "freshness": "pipeline/last_success_age_seconds",
+    "telemetry_completeness": "pipeline/telemetry_incomplete_count",
+    "reconciliation": "data/reconciliation_failure_count",
+    "volume_deviation": "data/volume_deviation_ratio",
+    "rejection_rate": "data/rejection_rate",
+    "deployment_failure": "deployment/latest_failed",
+}
+# A volume without a baseline is published as it is.
+VOLUME_WITHOUT_BASELINE = "data/raw_row_count"
+
+
+def thresholds(overrides: DataFrame | None = None) -> dict[str, dict[str, float]]:
+    """The thresholds, with rows (section, name, value) of ``overrides`` put in their place.
+
+    Unknown sections or names are refused, so a misspelt override cannot pass for one; of several rows the largest value
+    counts. At most one row per threshold reaches the driver."""
+    found = {k: dict(v) for k, v in THRESHOLDS.items()}
+    if overrides is None:
+        return found
+    known = [(s, n) for s, v in THRESHOLDS.items() for n in v]
+    names = overrides.sparkSession.createDataFrame(known, "section string, name string")
+    strange = overrides.join(names, ["section", "name"], "left_anti").select("section", "name").first()
+    if strange:
+        raise ValueError(f"no threshold {strange['section']}.{strange['name']}")
+    rows = overrides.join(names, ["section", "name"]).groupBy("section", "name").agg(F.max("value").alias("value"))
+    for r in rows.collect():
+        kind = type(THRESHOLDS[r["section"]][r["name"]])
+        found[r["section"]][r["name"]] = kind(r["value"])
+    return found
 
 
 def _ts(as_of) -> Column:
@@ -133,8 +169,9 @@ def telemetry_completeness(
     )
 
 
-def reconciliation(quality_results: DataFrame, as_of, window_hours: int = 48) -> DataFrame:
-    latest = quality_results.filter(F.col("evaluated_at") >= _since(as_of, hours=window_hours)).agg(
+def reconciliation(quality_results: DataFrame, as_of, window_hours: int = 48, recent: DataFrame | None = None) -> DataFrame:
+    """Failed checks of the run evaluated last. ``recent``: the results of the window, where a narrower scan has them."""
+    latest = (quality_results if recent is None else recent).filter(F.col("evaluated_at") >= _since(as_of, hours=window_hours)).agg(
         _latest(["evaluated_at", "pipeline_run_id"], ["pipeline_run_id"]).alias("l")
     ).select(F.col("l.pipeline_run_id").alias("pipeline_run_id"))
     failed = (
@@ -251,47 +288,63 @@ def cost_anomaly(
     )
 
 
-def schema_drift_check(findings: DataFrame) -> DataFrame:
-    """BREAKING -> FAIL, WARNING -> WARN, else PASS; observed = non-allowed count."""
-    a = findings.agg(
-        F.count_if(F.col("classification") == "BREAKING").alias("b"),
-        F.count_if(F.col("classification") == "WARNING").alias("w"),
-    )
-    return _result(
-        a, "schema_drift",
-        F.when(F.col("b") > 0, "FAIL").when(F.col("w") > 0, "WARN").otherwise("PASS"),
-        F.when(F.col("b") > 0, "CRITICAL").when(F.col("w") > 0, "WARNING").otherwise("INFO"),
-        F.col("b") + F.col("w"), F.lit(0.0),
-    )
+def _unknown(name: str, error: Exception) -> tuple:
+    text = str(error).strip().splitlines()[0][:300] if str(error).strip() else ""
+    return (name, "NO_DATA", "WARNING", None, None, json.dumps({"error_type": type(error).__name__, "error": text}))
+
 
+def monitor_all(checks: dict[str, callable], enabled: bool = True, results_path: str | None = None, as_of=None) -> DataFrame:
+    """One row per check, ``RESULT_SCHEMA``; evaluated here, one row a check reaches the driver.
 
-def monitor_all(checks: dict[str, callable], enabled: bool = True) -> DataFrame:
-    """Union of every check's one-row result. Disabled -> one DISABLED row per
-    check; a check whose plan cannot be built becomes NO_DATA instead of
-    failing the whole evaluation."""
+    All checks run as one plan. If that fails, in analysis or while running, each check is evaluated apart, and one
+    that fails becomes NO_DATA with its reason in ``details`` while the others keep their verdicts. Disabled checks are
+    not evaluated. With ``results_path`` the evaluations are appended there, with an id and ``as_of``."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    schema = "check_name string, status string, severity string, observed_value double, threshold double"
-    frames = []
+    built, rows = {}, {}
     for name, build in checks.items():
         if not enabled:
-            frames.append(spark.createDataFrame([(name, "DISABLED", "INFO", None, None)], schema))
+            rows[name] = (name, "DISABLED", "INFO", None, None, None)
             continue
         try:
-            df = build()
-            df.schema  # analysis errors surface here
-            frames.append(df)
-        except Exception:  # noqa: BLE001 - one broken check must not hide the rest
-            frames.append(spark.createDataFrame([(name, "NO_DATA", "WARNING", None, None)], schema))
-    return reduce(DataFrame.unionByName, frames)
-
-
-def monitor_metrics(results: DataFrame) -> DataFrame:
-    """Gauge points: status -> 0/1/2/-1/-2 per check."""
-    m = F.create_map(*[x for k, v in STATUS_GAUGE.items() for x in (F.lit(k), F.lit(v))])
-    return results.select(
+            built[name] = build().select(*RESULT_COLUMNS)
+        except Exception as e:  # noqa: BLE001 - one broken check must not hide the rest
+            rows[name] = _unknown(name, e)
+    try:
+        for r in reduce(DataFrame.unionByName, built.values()).collect() if built else []:
+            rows[r["check_name"]] = (*r, None)
+    except Exception:  # noqa: BLE001 - find the one that failed
+        for name, df in built.items():
+            try:
+                rows[name] = (*df.first(), None)
+            except Exception as e:  # noqa: BLE001
+                rows[name] = _unknown(name, e)
+    results = spark.createDataFrame([rows[n] for n in checks if n in rows], RESULT_SCHEMA)
+    if results_path:
+        now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else _ts(as_of)
+        results.select(
+            F.concat_ws("-", "check_name", F.lit(uuid.uuid4().hex[:12])).alias("evaluation_id"), "*", now.alias("evaluated_at")
+        ).write.mode("append").parquet(results_path)
+    return results
+
+
+def monitor_metrics(results: DataFrame, environment: str = "dev", mode: str = "normal") -> DataFrame:
+    """Gauge points: every check's status as a number, and the observed value of those checks that publish one.
+
+    All carry ``environment`` and ``mode``; status points name their check."""
+    status = F.create_map(*[x for k, v in STATUS_GAUGE.items() for x in (F.lit(k), F.lit(v))])
+    extra = F.create_map(*[x for k, v in EXTRA_METRICS.items() for x in (F.lit(k), F.lit(v))])
+    unbased = (F.col("check_name") == "volume_deviation") & (F.col("status") == "NO_DATA")
+    base = [F.lit("environment"), F.lit(environment), F.lit("mode"), F.lit(mode)]
+    own = F.struct(
         F.lit("monitor/check_status").alias("metric_type"),
-        F.create_map(F.lit("check_name"), F.col("check_name")).alias("labels"),
-        m[F.col("status")].cast("double").alias("value"),
+        F.create_map(*base, F.lit("check_name"), F.col("check_name")).alias("labels"),
+        status[F.col("status")].cast("double").alias("value"),
+    )
+    name = F.when(unbased, F.lit(VOLUME_WITHOUT_BASELINE)).otherwise(extra[F.col("check_name")])
+    more = F.when(
+        name.isNotNull() & F.col("observed_value").isNotNull(),
+        F.struct(name.alias("metric_type"), F.create_map(*base).alias("labels"), F.col("observed_value").alias("value")),
     )
+    return results.select(F.inline(F.array_compact(F.array(own, more))))

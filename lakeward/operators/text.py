@@ -43,11 +43,10 @@ LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 def text_lines(df: DataFrame, id_cols: list[str], text_col: str) -> DataFrame:
     """One row per line of every text: (ids..., line_no 1-based, line). A line end
     that closes the text starts no further line; an empty text has none."""
-    lines = F.split(F.col(text_col), LINE_END)
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    return df.select(*id_cols, F.posexplode(lines).alias("pos", "line")).select(
-        *id_cols, (F.col("pos") + 1).alias("line_no"), "line"
-    )
+    split = df.select(*id_cols, F.split(F.col(text_col), LINE_END).alias("_lines"))  # once, in a projection of its own
+    lines = split.select(*id_cols, F.size("_lines").alias("_n"), F.posexplode("_lines").alias("pos", "line"))
+    closing = (F.col("pos") == F.col("_n") - 1) & (F.col("line") == "")
+    return lines.where(~closing).select(*id_cols, (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def secret_scan(lines: DataFrame, id_cols: list[str]) -> DataFrame:

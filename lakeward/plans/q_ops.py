@@ -16,24 +16,24 @@ JOBS_AS_OF = dt.datetime(2001, 11, 5)
 EXPECTED_TASKS = ["task_1", "task_2", "task_3"]
 
 
-def runs(spark, d):
-    return ad.pipeline_runs_from_orders(read_table(spark, d, "orders"))
+def runs(spark, d, since=None):
+    return ad.pipeline_runs_from_orders(read_table(spark, d, "orders"), since)
 
 
-def deployments(spark, d):
-    return ad.deployments_from_orders(read_table(spark, d, "orders"))
+def deployments(spark, d, since=None):
+    return ad.deployments_from_orders(read_table(spark, d, "orders"), since)
 
 
 def task_events(spark, d):
     return ad.task_events_from_lineitem(read_table(spark, d, "lineitem"))
 
 
-def quality(spark, d):
-    return ad.quality_results_from_lineitem(read_table(spark, d, "lineitem"))
+def quality(spark, d, since=None):
+    return ad.quality_results_from_lineitem(read_table(spark, d, "lineitem"), since)
 
 
-def jobs(spark, d):
-    return ad.job_history_from_lineitem(read_table(spark, d, "lineitem"))
+def jobs(spark, d, since=None):
+    return ad.job_history_from_lineitem(read_table(spark, d, "lineitem"), since)
 
 
 # ----------------------------------------------------------------- oracle CTEs
@@ -206,22 +206,35 @@ FROM (SELECT coalesce(sum(CASE WHEN creation_time >= {JA} - INTERVAL 24 HOUR THE
       FROM jobs WHERE creation_time >= {JA} - INTERVAL 8 DAY AND is_app AND statement_type != 'SCRIPT')"""
 
 
-def _j(spark, d, which):
-    r = runs(spark, d)
+def _checks(spark, d, t=None):
+    """Every check as a function that builds its plan, each on a scan bounded by the window it looks at."""
+    t = t or monitors.thresholds()
+    ago = lambda as_of, **k: as_of - dt.timedelta(**k)
+    month = runs(spark, d, ago(RUNS_AS_OF, days=31))
+    deployed = deployments(spark, d, ago(RUNS_AS_OF, hours=t["deployment"]["window_hours"]))
+    v, c = t["volume"], t["cost"]
     return {
-        "latest_run_state": lambda: monitors.latest_run_state(r, RUNS_AS_OF),
-        "freshness": lambda: monitors.freshness(r, RUNS_AS_OF),
-        "missing_scheduled_run": lambda: monitors.missing_scheduled_run(r, RUNS_AS_OF),
+        "latest_run_state": lambda: monitors.latest_run_state(month, RUNS_AS_OF, t["telemetry"]["window_hours"]),
+        "freshness": lambda: monitors.freshness(month, RUNS_AS_OF, t["freshness"]["warn_seconds"], t["freshness"]["fail_seconds"]),
+        "missing_scheduled_run": lambda: monitors.missing_scheduled_run(month, RUNS_AS_OF, t["missing_run"]["grace_seconds"]),
         "telemetry_completeness": lambda: monitors.telemetry_completeness(
-            r, task_events(spark, d), RUNS_AS_OF, len(EXPECTED_TASKS)
+            month, task_events(spark, d), RUNS_AS_OF, len(EXPECTED_TASKS), t["telemetry"]["window_hours"]
         ),
-        "reconciliation": lambda: monitors.reconciliation(quality(spark, d), JOBS_AS_OF),
-        "volume_deviation": lambda: monitors.volume_deviation(r, RUNS_AS_OF),
-        "rejection_rate": lambda: monitors.rejection_rate(r, RUNS_AS_OF),
-        "deployment_failure": lambda: monitors.deployment_failure(deployments(spark, d), RUNS_AS_OF),
-        "rollback_failure": lambda: monitors.deployment_failure(deployments(spark, d), RUNS_AS_OF, rollback_only=True),
-        "cost_anomaly": lambda: monitors.cost_anomaly(jobs(spark, d), JOBS_AS_OF),
-    }[which]()
+        "reconciliation": lambda: monitors.reconciliation(
+            quality(spark, d), JOBS_AS_OF, t["reconciliation"]["window_hours"],
+            quality(spark, d, ago(JOBS_AS_OF, hours=t["reconciliation"]["window_hours"])),
+        ),
+        "volume_deviation": lambda: monitors.volume_deviation(
+            month, RUNS_AS_OF, v["baseline_window_runs"], v["warn_deviation"], v["fail_deviation"], v["min_baseline_rows"]
+        ),
+        "rejection_rate": lambda: monitors.rejection_rate(month, RUNS_AS_OF, t["rejection_rate"]["warn"], t["rejection_rate"]["fail"]),
+        "deployment_failure": lambda: monitors.deployment_failure(deployed, RUNS_AS_OF, t["deployment"]["window_hours"]),
+        "rollback_failure": lambda: monitors.deployment_failure(deployed, RUNS_AS_OF, t["deployment"]["window_hours"], rollback_only=True),
+        "cost_anomaly": lambda: monitors.cost_anomaly(
+            jobs(spark, d, ago(JOBS_AS_OF, days=c["baseline_window_days"] + 1)), JOBS_AS_OF, window_hours=c["window_hours"],
+            baseline_days=c["baseline_window_days"], warn=c["warn_ratio"], fail=c["fail_ratio"], min_bytes=c["min_bytes_billed"],
+        ),
+    }
 
 
 MON_SQL = {
@@ -238,7 +251,7 @@ MON_SQL = {
 }
 
 for _key, (_check, _sql) in MON_SQL.items():
-    query(_key, _sql)(lambda spark, d, _c=_check: _j(spark, d, _c))
+    query(_key, _sql)(lambda spark, d, _c=_check: _checks(spark, d)[_c]())
 
 MON_ALL_SQL = (
     w(O_RUNS, O_DEPLOY, O_TASKS, O_QUALITY, O_JOBS, O_RECENT)
@@ -251,24 +264,59 @@ MON_ALL_SQL = (
 )
 
 
-def _all_checks(spark, d):
-    names = [c for c, _ in MON_SQL.values()]
-    return {n: (lambda n=n: _j(spark, d, n)) for n in names}
+UNREADABLE = "SELECT 'unreadable_ledger' AS check_name, 'NO_DATA' AS status, 'WARNING' AS severity, NULL::DOUBLE AS observed_value, NULL::DOUBLE AS threshold"
 
 
 @query("monitor_all", MON_ALL_SQL)
 def q_monitor_all(spark, d):
-    return monitors.monitor_all(_all_checks(spark, d))
+    return monitors.monitor_all(_checks(spark, d)).select(*monitors.RESULT_COLUMNS)
+
+
+@query("monitor_isolation", MON_ALL_SQL + "\nUNION ALL\n" + UNREADABLE)
+def q_monitor_isolation(spark, d):
+    """All checks, and one whose rows cannot be read while it runs: it becomes NO_DATA, the others keep their verdicts."""
+    unreadable = runs(spark, d, RUNS_AS_OF - dt.timedelta(days=2)).select(
+        F.lit("unreadable_ledger").alias("check_name"), F.raise_error(F.lit("ledger row without a status")).cast("string").alias("status"),
+        F.lit("INFO").alias("severity"), F.lit(0.0).alias("observed_value"), F.lit(0.0).alias("threshold"),
+    ).limit(1)
+    return monitors.monitor_all(_checks(spark, d) | {"unreadable_ledger": lambda: unreadable}).select(*monitors.RESULT_COLUMNS)
+
+
+OVERRIDES = [("rejection_rate", "warn", 0.001), ("rejection_rate", "fail", 0.002), ("volume", "min_baseline_rows", 10.0**9), ("freshness", "fail_seconds", 1.0), ("freshness", "warn_seconds", 1.0)]
+
+
+def _overridden() -> str:
+    reject = MON_REJECT.replace("0.35", "0.002").replace("0.2 ", "0.001 ").replace("0.2)", "0.001)").replace("0.20", "0.001")
+    fresh = MON_FRESH.replace("180000", "1").replace("93600", "1")
+    volume = MON_VOLUME.replace("baseline < 1000", "baseline < 1000000000")
+    return w(O_RUNS, O_RECENT) + "\nUNION ALL\n".join(f"SELECT * FROM ({s})" for s in (fresh, volume, reject))
+
+
+@query("monitor_overrides", _overridden())
+def q_monitor_overrides(spark, d):
+    """Three checks under thresholds that a table overrides."""
+    t = monitors.thresholds(spark.createDataFrame(OVERRIDES, "section string, name string, value double"))
+    checks = _checks(spark, d, t)
+    names = ("freshness", "volume_deviation", "rejection_rate")
+    return monitors.monitor_all({n: checks[n] for n in names}).select(*monitors.RESULT_COLUMNS)
 
 
 @query(
     "monitor_metrics",
-    f"""SELECT 'monitor/check_status' AS metric_type, MAP {{'check_name': check_name}} AS labels,
+    f"""WITH results AS (SELECT * FROM ({MON_ALL_SQL}))
+        SELECT 'monitor/check_status' AS metric_type, MAP {{'environment': 'dev', 'mode': 'normal', 'check_name': check_name}} AS labels,
           CAST(CASE status WHEN 'PASS' THEN 0 WHEN 'WARN' THEN 1 WHEN 'FAIL' THEN 2 WHEN 'NO_DATA' THEN -1 ELSE -2 END AS DOUBLE) AS value
-        FROM ({MON_ALL_SQL})""",
+        FROM results
+        UNION ALL
+        SELECT CASE check_name WHEN 'latest_run_state' THEN 'pipeline/run_duration_seconds' WHEN 'freshness' THEN 'pipeline/last_success_age_seconds'
+            WHEN 'telemetry_completeness' THEN 'pipeline/telemetry_incomplete_count' WHEN 'reconciliation' THEN 'data/reconciliation_failure_count'
+            WHEN 'volume_deviation' THEN if(status = 'NO_DATA', 'data/raw_row_count', 'data/volume_deviation_ratio')
+            WHEN 'rejection_rate' THEN 'data/rejection_rate' WHEN 'deployment_failure' THEN 'deployment/latest_failed' END,
+          MAP {{'environment': 'dev', 'mode': 'normal'}}, observed_value
+        FROM results WHERE observed_value IS NOT NULL AND check_name NOT IN ('missing_scheduled_run', 'rollback_failure', 'cost_anomaly')""",
 )
 def q_monitor_metrics(spark, d):
-    return monitors.monitor_metrics(monitors.monitor_all(_all_checks(spark, d)))
+    return monitors.monitor_metrics(monitors.monitor_all(_checks(spark, d)))
 
 
 # --------------------------------------------------------------------- costs
