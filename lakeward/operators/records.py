@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lakeward.operators.text import redact
 
@@ -111,13 +112,14 @@ def log_contract(lines: DataFrame, line: str = "line") -> DataFrame:
     parsed = lines.withColumn("_v", v).withColumn("_keys", F.json_object_keys(F.when(v.isNotNull(), F.col(line))))
     v = F.col("_v")
     severity = F.upper(F.coalesce(_field(v, "severity"), F.lit("INFO")))
-    given = F.filter(
+    values = F.from_json(F.when(v.isNotNull(), F.col(line)), "map<string,string>")
+    given = F.filter(  # a field given as null counts as not given
         F.coalesce("_keys", F.array().cast("array<string>")),
-        lambda k: ~k.isin("severity", "event_type", "platform_event"),
+        lambda k: ~k.isin("severity", "event_type", "platform_event") & F.try_element_at("_values", k).isNotNull(),
     )
     wrong = [F.when(_field(v, f).isNotNull() & _whole(v, f).isNull(), F.lit(f)) for f in LOG_INT_FIELDS]
     parsed = parsed.withColumns(
-        {"_severity": severity, "_wrong": F.array_compact(F.array(*wrong)), "_ok": F.get_json_object(line, "$.event_type") != ""}
+        {"_severity": severity, "_values": values, "_wrong": F.array_compact(F.array(*wrong)), "_ok": F.get_json_object(line, "$.event_type") != ""}
     )
     violations = F.concat(
         F.when(F.col("_severity").isin(*SEVERITIES), F.array().cast("array<string>")).otherwise(
@@ -192,6 +194,11 @@ def capped_details(details: Column, limit: int = DETAILS_LENGTH) -> Column:
     return F.when(details != "{}", cut)
 
 
+def as_number(rows: DataFrame, name: str) -> Column:
+    """A numeric column as double; text is no number, whatever it says, and neither is a truth value."""
+    return (F.col(name) if isinstance(rows.schema[name].dataType, NumericType) else F.lit(None)).cast("double")
+
+
 def quality_results(checks: DataFrame) -> DataFrame:
     """One durable row per check of a suite (``batch_id, check_name, status, expected, actual``); the overall verdict is none."""
     category = F.create_map(*[F.lit(x) for pair in CHECK_CATEGORIES.items() for x in pair])
@@ -202,8 +209,8 @@ def quality_results(checks: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(category, F.col("check_name")), F.lit(DEFAULT_CATEGORY)).alias("check_category"),
         F.when(F.col("status") == "FAIL", "CRITICAL").otherwise("INFO").alias("severity"),
         "status",
-        F.col("actual").cast("string").try_cast("double").alias("observed_value"),
-        F.col("expected").cast("string").try_cast("double").alias("expected_value"),
+        as_number(checks, "actual").alias("observed_value"),
+        as_number(checks, "expected").alias("expected_value"),
         capped_details(details).alias("details_json"),
     )
 

@@ -169,10 +169,44 @@ def acceptance_checks(stats: DataFrame) -> DataFrame:
     return stack_checks(stats, ["scope"], structs)
 
 
-def _count_by(df: DataFrame, key: str, name: str, where: Column | None = None) -> DataFrame:
-    if where is not None:
-        df = df.filter(where)
-    return df.groupBy(F.col(key).alias("batch_id")).agg(F.count(F.lit(1)).alias(name))
+LAYER_COUNTS = ["raw_rows", "classified_rows", "accepted_rows", "rejected_rows", "fact_rows", "bad_processing_dates", "lineage_missing"]
+
+
+def layer_counts(scope, raw: DataFrame, classified: DataFrame, accepted: DataFrame, rejected: DataFrame, fact_ids: DataFrame,
+                 expected: DataFrame | None = None, profile: dict[str, Column] | None = None) -> DataFrame:
+    """One row per scope with the counts of every layer, from one grouped sum over all layers' rows.
+
+    ``scope`` is a column over a layer; rows where it is NULL are left out. ``fact_ids`` (event_id, fact_n) counts fact rows
+    per id; they are booked on the scope of the accepted row. ``expected`` (batch_id, expected_date) adds the scopes that
+    must be there and judges raw processing dates; ``profile`` adds counts over classified rows."""
+    names = [*LAYER_COUNTS, *(profile or {})]
+
+    def part(df: DataFrame, key: Column, **counts: Column) -> DataFrame:
+        return df.select(key.alias("scope"), *[counts.get(n, F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    one = F.lit(1)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    lineage = F.col("event_id").isNull() | F.col("pipeline_run_id").isNull()
+    parts = [
+        part(classified, scope, classified_rows=one, lineage_missing=flag(lineage), **{n: flag(c) for n, c in (profile or {}).items()}),
+        part(accepted, scope, accepted_rows=one),
+        part(rejected, scope, rejected_rows=one),
+        part(accepted.select("event_id", scope.alias("_scope")).join(fact_ids, "event_id"), F.col("_scope"), fact_rows=F.col("fact_n")),
+    ]
+    if expected is None:
+        parts.append(part(raw, scope, raw_rows=one))
+    else:  # a row per scope and date meets the expected dates
+        dated = raw.groupBy(scope.alias("_scope"), "processing_date").agg(F.count(one).alias("n"))
+        dated = dated.join(expected.select(F.col("batch_id").alias("_scope"), "expected_date"), "_scope", "left")
+        wrong = ~F.coalesce(F.col("processing_date") == F.col("expected_date"), F.lit(False))
+        parts.append(part(dated, F.col("_scope"), raw_rows=F.col("n"), bad_processing_dates=F.when(wrong, F.col("n")).otherwise(0)))
+        parts.append(part(expected, F.col("batch_id")))
+    rows = reduce(DataFrame.unionByName, parts).where(F.col("scope").isNotNull())
+    return rows.groupBy("scope").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def fact_ids_of(fact: DataFrame) -> DataFrame:
+    return fact.groupBy("event_id").agg(F.count(F.lit(1)).alias("fact_n"))
 
 
 def warehouse_validation(
@@ -191,42 +225,16 @@ def warehouse_validation(
     over all ten. ``batch_dates`` (batch_id, expected_date) names the batches that
     must be there: one without rows fails ``batch_nonempty``.
 
-    Per-batch counts are grouped aggregations joined on batch_id (one row per
-    batch); fact rows per accepted id come from a pre-aggregated fact key count,
-    so the fact is never joined row-by-row."""
+    Per-batch counts are one grouped sum over all layers; fact rows per accepted id come
+    from a pre-aggregated fact key count, so the fact is never joined row-by-row. The
+    global figures are one-row aggregates. A batch's expected date is one per batch, never
+    the row's own."""
     has_batch = F.col("batch_id").isNotNull()
     if batch_dates is None:
         batch_dates = raw.filter(has_batch).groupBy("batch_id").agg(F.max("processing_date").alias("expected_date"))
-    raw_c = _count_by(raw, "batch_id", "raw_rows", has_batch)
-    cls_c = _count_by(classified, "batch_id", "classified_rows", has_batch)
-    acc_c = _count_by(accepted, "batch_id", "accepted_rows", has_batch)
-    rej_c = _count_by(rejected, "batch_id", "rejected_rows", has_batch)
-    fact_ids = fact.groupBy("event_id").agg(F.count(F.lit(1)).alias("fact_n"))
-    fact_c = (
-        accepted.filter(has_batch)
-        .select("event_id", "batch_id")
-        .join(fact_ids, "event_id")
-        .groupBy("batch_id")
-        .agg(F.sum("fact_n").alias("fact_rows"))
-    )
-    bad_pd = (
-        raw.filter(has_batch)
-        .join(batch_dates, "batch_id", "left")
-        .groupBy("batch_id")
-        .agg(
-            F.count_if(
-                F.col("processing_date").isNull()
-                | F.col("expected_date").isNull()
-                | (F.col("processing_date") != F.col("expected_date"))
-            ).alias("bad_processing_dates")
-        )
-    )
-    lineage = classified.filter(has_batch).groupBy("batch_id").agg(
-        F.count_if(F.col("event_id").isNull() | F.col("pipeline_run_id").isNull()).alias("lineage_missing")
-    )
-    named = batch_dates.select("batch_id").distinct()
-    counted = [raw_c, cls_c, acc_c, rej_c, fact_c, bad_pd, lineage]
-    batches = reduce(lambda a, b: a.join(b, "batch_id", "full_outer"), counted, named).na.fill(0)
+    fact_ids = fact_ids_of(fact)
+    batch_dates = batch_dates.groupBy("batch_id").agg(F.max("expected_date").alias("expected_date"))
+    batches = layer_counts(F.col("batch_id"), raw, classified, accepted, rejected, fact_ids, batch_dates).withColumnRenamed("scope", "batch_id")
     batch_checks = [
         ("batch_nonempty", F.col("raw_rows") > 0, None, "raw_rows"),
         ("raw_equals_classification", F.col("raw_rows") == F.col("classified_rows"), "raw_rows", "classified_rows"),
@@ -240,36 +248,31 @@ def warehouse_validation(
         ("processing_date_semantics", F.col("bad_processing_dates") == 0, 0, "bad_processing_dates"),
         ("batch_lineage_semantics", F.col("lineage_missing") == 0, 0, "lineage_missing"),
     ]
-    dup_ids = fact_ids.agg(F.count_if(F.col("fact_n") > 1).alias("v"))
-    orphan_u = orphan_users(fact, dim_users).agg(F.count(F.lit(1)).alias("v"))
-    orphan_c = orphan_countries(fact, dim_countries).agg(F.count(F.lit(1)).alias("v"))
-    fact_total = fact.agg(F.count(F.lit(1)).alias("v"))
-    mart_total = mart.agg(F.coalesce(F.sum("event_count"), F.lit(0)).cast("bigint").alias("v"))
-
-    def one(df, name, expected=None, vs=None):
-        if vs is not None:
-            # two one-row aggregates, joined on a constant key
-            a = df.select(F.lit(1).alias("k"), F.col("v").alias("a"))
-            both = a.join(vs.select(F.lit(1).alias("k"), F.col("v").alias("e")), "k")
-            return both.select(check(name, F.col("a") == F.col("e"), F.col("e"), F.col("a")).alias("c"))
-        return df.select(check(name, F.col("v") == 0, 0, F.col("v")).alias("c"))
-
-    glob = reduce(
-        DataFrame.unionByName,
-        [
-            one(dup_ids, "fact_event_ids_unique"),
-            one(orphan_u, "fact_user_fk_resolves"),
-            one(orphan_c, "fact_country_fk_resolves"),
-            one(mart_total, "mart_totals_reconcile", vs=fact_total),
-        ],
-    ).select(F.lit(None).cast("string").alias("batch_id"), "c.*")
-    global_ok = glob.agg(F.lit(1).alias("k"), F.min(F.col("status") == "PASS").alias("global_ok"))  # one row
-    batches = batches.withColumn("k", F.lit(1)).join(global_ok, "k")
+    users = fact.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    countries = fact.groupBy("country_code").agg(F.count(F.lit(1)).alias("n"))
+    figures = [
+        fact_ids.agg(F.count_if(F.col("fact_n") > 1).alias("dup_ids"), F.coalesce(F.sum("fact_n"), F.lit(0)).alias("fact_total")),
+        orphan_users(users, dim_users).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_users")),
+        orphan_countries(countries, dim_countries).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphan_countries")),
+        mart.agg(F.coalesce(F.sum("event_count"), F.lit(0)).cast("bigint").alias("mart_total")),
+    ]
+    whole = reduce(lambda x, y: x.join(y, "k"), [f.withColumn("k", F.lit(1)) for f in figures])  # one row each
+    global_checks = [
+        ("fact_event_ids_unique", F.col("dup_ids") == 0, 0, "dup_ids"),
+        ("fact_user_fk_resolves", F.col("orphan_users") == 0, 0, "orphan_users"),
+        ("fact_country_fk_resolves", F.col("orphan_countries") == 0, 0, "orphan_countries"),
+        ("mart_totals_reconcile", F.col("mart_total") == F.col("fact_total"), "fact_total", "mart_total"),
+    ]
+    # the one row of global figures rides along with the batches, and with a row of no batch that reports them:
+    # the fact is evaluated once
+    global_ok = reduce(lambda x, y: x & y, [c[1] for c in global_checks])
+    none = raw.sparkSession.range(1).select(F.lit(None).cast("string").alias("batch_id"), *[F.lit(0).cast("bigint").alias(n) for n in LAYER_COUNTS])
+    batches = batches.unionByName(none).withColumn("k", F.lit(1)).join(whole.withColumn("global_ok", global_ok), "k")
     overall = reduce(lambda x, y: x & y, [c[1] for c in batch_checks]) & F.col("global_ok")
-    per_batch = stack_checks(
-        batches, ["batch_id"], [check(*c) for c in batch_checks] + [check("overall", overall, None, None)]
-    )
-    return per_batch.unionByName(glob)
+    own = [check(*c) for c in batch_checks] + [check("overall", overall, None, None)]
+    shared = [check(*c) for c in global_checks]
+    report = F.when(F.col("batch_id").isNotNull(), F.array(*own)).otherwise(F.array(*shared))
+    return batches.select("batch_id", F.explode(report).alias("c")).select("batch_id", "c.*")
 
 
 def orphan_users(fact: DataFrame, dim_users: DataFrame) -> DataFrame:
@@ -283,19 +286,24 @@ def orphan_countries(fact: DataFrame, dim_countries: DataFrame) -> DataFrame:
     return fact.join(d, "country_code", "left").filter(F.col("_hit").isNull()).drop("_hit")
 
 
+def anomaly_flags() -> dict[str, Column]:
+    """What a classified row adds to each count of the anomaly profile."""
+    return {
+        "duplicate_extra_count": F.col("is_within_batch_duplicate"),
+        "null_user_count": F.col("user_id").isNull(),
+        "invalid_country_count": ~F.col("is_valid_country"),
+        "future_dated_count": F.col("is_future_dated"),
+        "event_time_late_count": F.col("is_event_time_late_arriving"),
+        "backdated_event_date_count": F.col("is_backdated_event_date"),
+        "date_timestamp_mismatch_count": F.col("has_event_date_timestamp_mismatch"),
+        "missing_processing_date_count": F.col("processing_date").isNull(),
+    }
+
+
 def anomaly_profile(classified: DataFrame, scope_col: str = "batch_scope") -> DataFrame:
     """Seven flag counts and the missing-processing-date count per scope."""
     scoped = classified.withColumn(scope_col, F.coalesce("batch_id", "pipeline_run_id"))
-    return scoped.groupBy(scope_col).agg(
-        F.count_if("is_within_batch_duplicate").alias("duplicate_extra_count"),
-        F.count_if(F.col("user_id").isNull()).alias("null_user_count"),
-        F.count_if(~F.col("is_valid_country")).alias("invalid_country_count"),
-        F.count_if("is_future_dated").alias("future_dated_count"),
-        F.count_if("is_event_time_late_arriving").alias("event_time_late_count"),
-        F.count_if("is_backdated_event_date").alias("backdated_event_date_count"),
-        F.count_if("has_event_date_timestamp_mismatch").alias("date_timestamp_mismatch_count"),
-        F.count_if(F.col("processing_date").isNull()).alias("missing_processing_date_count"),
-    )
+    return scoped.groupBy(scope_col).agg(*[F.count_if(c).alias(n) for n, c in anomaly_flags().items()])
 
 
 def recon_violations(
@@ -313,50 +321,20 @@ def recon_violations(
 
     Evaluated for every batch scope (batch_id, else pipeline_run_id) at once."""
     scope = F.coalesce("batch_id", "pipeline_run_id")
-
-    def by_scope(df, name):
-        return df.groupBy(scope.alias("batch_scope")).agg(F.count(F.lit(1)).alias(name))
-
-    raw_c, cls_c = by_scope(raw, "raw_rows"), by_scope(classified, "classification_rows")
-    acc_c, rej_c = by_scope(accepted, "accepted_rows"), by_scope(rejected, "rejected_rows")
-    fact_ids = fact.groupBy("event_id").agg(F.count(F.lit(1)).alias("fact_n"))
-    fact_c = (
-        accepted.select("event_id", scope.alias("batch_scope"))
-        .join(fact_ids, "event_id")
-        .groupBy("batch_scope")
-        .agg(F.sum("fact_n").alias("fact_rows"))
-    )
-    counts = reduce(lambda a, b: a.join(b, "batch_scope", "full_outer"), [raw_c, cls_c, acc_c, rej_c, fact_c]).na.fill(0)
-
-    def viol(name, metric, observed, expected, cond):
-        return counts.filter(cond).select(
-            F.lit(name).alias("test_name"),
-            "batch_scope",
-            F.lit(metric).alias("metric"),
-            observed.cast("bigint").alias("observed"),
-            expected.cast("bigint").alias("expected"),
-        )
-
-    a, f, r, rj, c = (F.col(x) for x in ["accepted_rows", "fact_rows", "raw_rows", "rejected_rows", "classification_rows"])
-    parts = [
-        viol("assert_batch_fact_reconciliation", "fact_rows", f, a, a != f),
-        viol("assert_fact_rejected_reconciliation", "accepted_plus_rejected", a + rj, r, r != a + rj),
-        viol("assert_raw_classification_reconciliation", "classification_rows", c, r, r != c),
-    ]
-    fact_total = fact.agg(F.count(F.lit(1)).alias("fact_rows")).withColumn("k", F.lit(1))
-    mart_total = mart.agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("mart_total")).withColumn("k", F.lit(1))
-    parts.append(
-        fact_total.join(mart_total, "k")
-        .filter(F.col("fact_rows") != F.col("mart_total"))
-        .select(
-            F.lit("assert_mart_fact_reconciliation").alias("test_name"),
-            F.lit(None).cast("string").alias("batch_scope"),
-            F.lit("mart_event_total").alias("metric"),
-            F.col("mart_total").cast("bigint").alias("observed"),
-            F.col("fact_rows").cast("bigint").alias("expected"),
-        )
-    )
-    prof = anomaly_profile(classified)
+    fact_ids = fact_ids_of(fact)
+    counts = layer_counts(scope, raw, classified, accepted, rejected, fact_ids, profile=anomaly_flags())
+    missing_dates = F.col("missing_processing_date_count")
+
+    def viol(name: str, metric: str, observed: Column, expected, cond: Column) -> Column:
+        return F.when(
+            cond,
+            F.struct(
+                F.lit(name).alias("test_name"), F.lit(metric).alias("metric"), observed.cast("bigint").alias("observed"),
+                (expected if isinstance(expected, Column) else F.lit(expected)).cast("bigint").alias("expected"),
+            ),
+        )
+
+    a, f, r, rj, c = (F.col(x) for x in ["accepted_rows", "fact_rows", "raw_rows", "rejected_rows", "classified_rows"])
     exp = {
         "duplicate_extra_count": ANOMALY_PROFILE["duplicate_pairs"],
         "null_user_count": ANOMALY_PROFILE["null_user_ids"],
@@ -368,27 +346,31 @@ def recon_violations(
         "event_time_late_count": 0,
         "backdated_event_date_count": ANOMALY_PROFILE["late_arriving_events"],
     }
-    metrics = [
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("observed"), F.lit(e).alias("expected"), F.lit(False).alias("temporal"))
-        for m, e in exp.items()
-    ] + [
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("observed"), F.lit(e).alias("expected"), F.lit(True).alias("temporal"))
-        for m, e in temporal.items()
-    ]
     any_bad = reduce(lambda x, y: x | y, [F.col(m) != e for m, e in exp.items()]) | (
-        (F.col("missing_processing_date_count") == 0)
-        & reduce(lambda x, y: x | y, [F.col(m) != e for m, e in temporal.items()])
+        (missing_dates == 0) & reduce(lambda x, y: x | y, [F.col(m) != e for m, e in temporal.items()])
     )
+    there = c > 0  # the anomaly profile is that of classified rows
+    found = [
+        viol("assert_batch_fact_reconciliation", "fact_rows", f, a, a != f),
+        viol("assert_fact_rejected_reconciliation", "accepted_plus_rejected", a + rj, r, r != a + rj),
+        viol("assert_raw_classification_reconciliation", "classification_rows", c, r, r != c),
+        *[viol("assert_source_anomaly_profile", m, F.col(m), e, there & any_bad) for m, e in exp.items()],
+        *[viol("assert_source_anomaly_profile", m, F.col(m), e, there & any_bad & (missing_dates == 0)) for m, e in temporal.items()],
+    ]
+    by_scope = counts.select(F.col("scope").alias("batch_scope"), F.explode(F.array_compact(F.array(*found))).alias("v"))
+    columns = ["test_name", "batch_scope", "metric", "observed", "expected"]
+    parts = [by_scope.select("batch_scope", "v.*").select(*columns)]
+    fact_total = fact_ids.agg(F.coalesce(F.sum("fact_n"), F.lit(0)).alias("fact_rows")).withColumn("k", F.lit(1))
+    mart_total = mart.agg(F.coalesce(F.sum("event_count"), F.lit(0)).alias("mart_total")).withColumn("k", F.lit(1))
     parts.append(
-        prof.filter(any_bad)
-        .select("batch_scope", F.explode(F.array(*metrics)).alias("m"), "missing_processing_date_count")
-        .filter(~F.col("m.temporal") | (F.col("missing_processing_date_count") == 0))
+        fact_total.join(mart_total, "k")
+        .filter(F.col("fact_rows") != F.col("mart_total"))
         .select(
-            F.lit("assert_source_anomaly_profile").alias("test_name"),
-            "batch_scope",
-            "m.metric",
-            F.col("m.observed").cast("bigint").alias("observed"),
-            F.col("m.expected").cast("bigint").alias("expected"),
+            F.lit("assert_mart_fact_reconciliation").alias("test_name"),
+            F.lit(None).cast("string").alias("batch_scope"),
+            F.lit("mart_event_total").alias("metric"),
+            F.col("mart_total").cast("bigint").alias("observed"),
+            F.col("fact_rows").cast("bigint").alias("expected"),
         )
     )
     out = reduce(DataFrame.unionByName, parts)

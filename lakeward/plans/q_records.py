@@ -61,6 +61,7 @@ def log_lines(spark, d):
     line = F.concat(
         F.lit('{"platform_event":true,"event_type":"'), "event_type", F.lit('"'), severity.otherwise(',"severity":"WARNING"'),
         F.lit(',"duration_ms":'), duration, F.when(e % 11 == 0, ',"color":"red"').otherwise(""),
+        F.when(e % 19 == 0, ',"shade":null,"error_type":null').otherwise(""),
         F.when(e % 13 == 0, ',"error_message":"  it broke "').otherwise(""),
         F.when(e % 17 == 0, F.concat(F.lit(',"details":{"t":"'), F.repeat(F.lit("x"), F.lit(5000)), F.lit('"}')))
         .when(e % 17 == 1, ',"details":{"t":1}').otherwise(""),
