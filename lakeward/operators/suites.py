@@ -53,18 +53,26 @@ def raw_check_stats(
     raw: DataFrame,
     *,
     scope: str = "batch",
-    expected_rows: int = STANDARD_BATCH_ROWS,
     valid_countries: list[str] = SEED_COUNTRY_CODES,
-    duplicate_event_ids: int = 2 * ANOMALY_PROFILE["duplicate_pairs"],
+    dates: DataFrame | None = None,
+    as_of=None,
 ) -> DataFrame:
-    """Raw-load suite for every scope of ``raw`` (12 checks in batch scope,
-    11 in run scope, then the overall verdict).
+    """Counts behind the raw-load suite, one row per scope of ``raw``.
 
-    Scope is ``batch_id`` (batch mode) or ``pipeline_run_id`` (legacy run mode).
-    The primary partition of a scope is its processing date (load date for
-    legacy rows); future-dated compares ``event_date`` with it."""
+    Scope is ``batch_id`` (batch mode; rows of no batch are no part of it) or ``pipeline_run_id`` (legacy run mode).
+    Every scope has one reference date: the one ``dates`` (batch_id, expected_date; in run mode the id of the run)
+    expects of it, else the latest its rows name. It is the scope's primary partition; in batch mode an ``event_date``
+    after it is future-dated, in run mode one after ``as_of`` (today by default)."""
     key = "batch_id" if scope == "batch" else "pipeline_run_id"
-    ref_date = F.coalesce(F.col("processing_date"), F.to_date("ingested_at"))
+    raw = raw.where(F.col(key).isNotNull())
+    if dates is None:
+        named = F.coalesce(F.max("processing_date"), F.to_date(F.max("ingested_at")))
+        dates = raw.groupBy(key).agg(named.alias("expected_date")).withColumnRenamed(key, "batch_id")
+    dates = dates.groupBy(F.col("batch_id").alias("_scope")).agg(F.max("expected_date").alias("_ref"))
+    raw = raw.join(dates, F.col(key) == F.col("_scope"), "left")
+    primary = F.coalesce(F.col("event_date") == F.col("_ref"), F.lit(False))
+    today = F.current_date() if as_of is None else F.lit(as_of).cast("date")
+    future = F.col("event_date") > (F.col("_ref") if scope == "batch" else today)
     required_missing = reduce(
         lambda a, b: a | b,
         [
@@ -84,15 +92,13 @@ def raw_check_stats(
     # duplicate groups fall out of level 2 without a second pass over raw.
     per_id = raw.groupBy(F.col(key).alias("scope"), "event_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("event_date") == ref_date).alias("primary"),
-        F.count_if(F.col("event_date") != ref_date).alias("other"),
+        F.count_if(primary).alias("primary"),
+        F.count_if(~primary).alias("other"),
         F.count_if(required_missing).alias("req_missing"),
         F.count_if(F.col("batch_id").isNull()).alias("batch_null"),
         F.count_if(F.col("user_id").isNull()).alias("user_null"),
         F.count_if(~F.col("country_code").isin(*valid_countries)).alias("bad_country"),
-        F.count_if(F.col("event_date") > ref_date).alias(
-            "future"
-        ),
+        F.count_if(future).alias("future"),
         F.count_if(F.col("event_date") < F.to_date("event_timestamp")).alias("late"),
     )
     s = per_id.groupBy("scope").agg(
@@ -111,13 +117,12 @@ def raw_validation(
     expected_rows: int = STANDARD_BATCH_ROWS,
     valid_countries: list[str] = SEED_COUNTRY_CODES,
     duplicate_event_ids: int = 2 * ANOMALY_PROFILE["duplicate_pairs"],
+    dates: DataFrame | None = None,
+    as_of=None,
 ) -> DataFrame:
-    """Raw-load suite for every scope of ``raw`` (12 checks in batch scope,
-    11 in run scope, then the overall verdict), from one stats pass."""
-    s = raw_check_stats(
-        raw, scope=scope, expected_rows=expected_rows, valid_countries=valid_countries,
-        duplicate_event_ids=duplicate_event_ids,
-    )
+    """Raw-load suite for every scope of ``raw`` (12 checks in batch scope, 11 in run scope, then the overall verdict:
+    in batch mode without the five anomaly checks, in run mode over all), from one stats pass."""
+    s = raw_check_stats(raw, scope=scope, valid_countries=valid_countries, dates=dates, as_of=as_of)
     dup_groups_expected = duplicate_event_ids // 2
     rows = F.col("rows")
     checks = [

@@ -115,32 +115,6 @@ def q_quarantine_batch(spark, d):
     )
 
 
-@query(
-    "rerun_idempotency",
-    with_core(
-        """SELECT (SELECT count(*) FROM fact) AS fact_rows, (SELECT count(*) FROM fact) AS mart_total,
-             (SELECT count(*) FROM rejected) AS rejected_rows, true AS unchanged"""
-    ),
-)
-def q_rerun_idempotency(spark, d):
-    """Counts from two independent builds of the same inputs must agree."""
-
-    def counts(p):
-        return (
-            p.fact.agg(F.count(F.lit(1)).alias("fact_rows")).withColumn("k", F.lit(1))
-            .join(p.mart.agg(F.sum("event_count").cast("bigint").alias("mart_total")).withColumn("k", F.lit(1)), "k")
-            .join(p.rejected.agg(F.count(F.lit(1)).alias("rejected_rows")).withColumn("k", F.lit(1)), "k")
-        )
-
-    a = counts(Pipeline(spark, d, materialize=True)).alias("a")
-    b = counts(Pipeline(spark, d, materialize=True)).alias("b")
-    return a.join(b, "k").select(
-        "a.fact_rows", "a.mart_total", "a.rejected_rows",
-        ((F.col("a.fact_rows") == F.col("b.fact_rows")) & (F.col("a.mart_total") == F.col("b.mart_total"))
-         & (F.col("a.rejected_rows") == F.col("b.rejected_rows"))).alias("unchanged"),
-    )
-
-
 @query(
     "audit_upsert",
     w(O_RUNS)

@@ -193,14 +193,6 @@ def q_perf_reconciliation(spark, d):
     return r.join(f, "event_date", "full_outer").na.fill(0, ["raw_rows", "fact_rows"])
 
 
-@query(
-    "perf_fact_scan",
-    with_core("SELECT event_name, country_code, count(*) AS events FROM fact GROUP BY 1, 2"),
-)
-def q_perf_fact_scan(spark, d):
-    return Pipeline(spark, d).fact.groupBy("event_name", "country_code").agg(F.count(F.lit(1)).alias("events"))
-
-
 @query(
     "perf_mart_rollup",
     with_core(

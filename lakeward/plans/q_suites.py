@@ -23,19 +23,27 @@ def stack_sql(src: str, keys: str, checks: list[tuple[str, str, str, str]]) -> s
     return "\nUNION ALL ".join(parts)
 
 
-RAW_CHECK_AGG = """
+BDATES_CTE = """bdates AS (SELECT 'b-' || strftime(ts, '%Y%m%d') || sfx AS batch_id, CAST(min(ts) AS DATE) AS expected_date
+             FROM events, (VALUES (''), ('-r'), ('-x')) v(sfx)
+             WHERE sfx != '-r' OR event_id % 250 = 2 GROUP BY 1)"""
+
+
+def raw_check_agg(key: str, future: str) -> str:
+    """Counts per scope; the reference date is the one the scope is expected to have, whatever its rows say."""
+    return f"""
+scoped AS (SELECT r.*, {key} AS scope, d.expected_date AS ref FROM raw r
+           LEFT JOIN bdates d ON d.batch_id = 'b-' || regexp_replace({key}, '^(b|run)-', '') WHERE {key} IS NOT NULL),
 per_id AS (
-  SELECT batch_id AS scope, event_id, count(*) AS n,
-    count_if(event_date = coalesce(processing_date, CAST(ingested_at AS DATE))) AS "primary",
-    count_if(event_date != coalesce(processing_date, CAST(ingested_at AS DATE))) AS other,
+  SELECT scope, event_id, count(*) AS n,
+    count_if(event_date = ref) AS "primary", count_if(event_date IS DISTINCT FROM ref) AS other,
     count_if(event_id IS NULL OR event_name IS NULL OR event_timestamp IS NULL OR event_date IS NULL
              OR ingested_at IS NULL OR source_file IS NULL OR pipeline_run_id IS NULL) AS req_missing,
     count_if(batch_id IS NULL) AS batch_null,
     count_if(user_id IS NULL) AS user_null,
     count_if(country_code NOT IN ('US','CA','GB','AU','DE','FR','BR','MX','IN','JP')) AS bad_country,
-    count_if(event_date > coalesce(processing_date, CAST(ingested_at AS DATE))) AS future,
+    count_if({future}) AS future,
     count_if(event_date < CAST(event_timestamp AS DATE)) AS late
-  FROM raw GROUP BY 1, 2
+  FROM scoped GROUP BY 1, 2
 ),
 s AS (
   SELECT scope, sum(n) AS rws, count(event_id) AS distinct_ids,
@@ -45,6 +53,10 @@ s AS (
   FROM per_id GROUP BY 1
 )"""
 
+
+RAW_CHECK_AGG = raw_check_agg("r.batch_id", "event_date > ref")
+RUN_AS_OF = "2024-01-20"
+
 RAW_CHECKS = [
     ("row_count", "rws = 50000", "50000", "rws"),
     ("partition_presence", "pri > 0", "NULL", "pri"),
@@ -70,9 +82,37 @@ RAW_OVERALL = """raw_report AS (
 )"""
 
 
-@query("raw_validation", with_core("SELECT * FROM raw_report", RAW_CHECK_AGG, RAW_LONG, RAW_OVERALL))
+def expected_batches(spark, sf_dir):
+    """(batch_id, expected_date): one batch per day, its replay where there is one, and a third that never landed."""
+    events = read_table(spark, sf_dir, "events")
+    kinds = F.array(F.lit(""), F.when(F.col("event_id") % 250 == 2, "-r"), F.lit("-x"))
+    return (
+        events.select("ts", F.explode(F.array_compact(kinds)).alias("sfx"))
+        .groupBy(F.concat(F.lit("b-"), F.date_format("ts", "yyyyMMdd"), "sfx").alias("batch_id"))
+        .agg(F.to_date(F.min("ts")).alias("expected_date"))
+    )
+
+
+@query("raw_validation", with_core("SELECT * FROM raw_report", BDATES_CTE, RAW_CHECK_AGG, RAW_LONG, RAW_OVERALL))
 def q_raw_validation(spark, sf_dir):
-    return suites.raw_validation(Pipeline(spark, sf_dir).raw)
+    return suites.raw_validation(Pipeline(spark, sf_dir).raw, dates=expected_batches(spark, sf_dir))
+
+
+@query(
+    "raw_validation_run",
+    with_core(
+        """SELECT * FROM raw_long UNION ALL
+           SELECT scope, 'overall', CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END, NULL::BIGINT, NULL::BIGINT
+           FROM raw_long GROUP BY scope""",
+        BDATES_CTE,
+        raw_check_agg("r.pipeline_run_id", f"event_date > DATE '{RUN_AS_OF}'"),
+        f"raw_long AS ({stack_sql('s', 'scope', [c for c in RAW_CHECKS if c[0] != 'batch_id_populated'])})",
+    ),
+)
+def q_raw_validation_run(spark, sf_dir):
+    """The suite per ingestion run: 11 checks, all of which count for the verdict; future dates are those after the evaluation date."""
+    dates = expected_batches(spark, sf_dir).select(F.regexp_replace("batch_id", "^b-", "run-").alias("batch_id"), "expected_date")
+    return suites.raw_validation(Pipeline(spark, sf_dir).raw, scope="run", dates=dates, as_of=RUN_AS_OF)
 
 
 ACCEPT_SQL = """acc AS (
@@ -98,19 +138,18 @@ ACCEPT_SQL = """acc AS (
            UNION ALL
            SELECT scope, 'acceptance_summary', CASE WHEN bool_and(actual = expected) THEN 'PASS' ELSE 'FAIL' END,
                   NULL::BIGINT, NULL::BIGINT FROM acc GROUP BY scope""",
+        BDATES_CTE,
         RAW_CHECK_AGG,
         RAW_LONG,
         ACCEPT_SQL,
     ),
 )
 def q_acceptance_checks(spark, sf_dir):
-    return suites.acceptance_checks(suites.raw_check_stats(Pipeline(spark, sf_dir).raw))
+    return suites.acceptance_checks(suites.raw_check_stats(Pipeline(spark, sf_dir).raw, dates=expected_batches(spark, sf_dir)))
 
 
 WAREHOUSE_CTES = [
-    """bdates AS (SELECT 'b-' || strftime(ts, '%Y%m%d') || sfx AS batch_id, CAST(min(ts) AS DATE) AS expected_date
-             FROM events, (VALUES (''), ('-r'), ('-x')) v(sfx)
-             WHERE sfx != '-r' OR event_id % 250 = 2 GROUP BY 1)""",
+    BDATES_CTE,
     """rc AS (SELECT b.batch_id, count(r.source_file) AS raw_rows
              FROM bdates b LEFT JOIN raw r ON r.batch_id = b.batch_id GROUP BY 1)""",
     """cc AS (SELECT batch_id, count(*) AS classified_rows FROM classified WHERE batch_id IS NOT NULL GROUP BY 1)""",
@@ -176,13 +215,7 @@ WAREHOUSE_SELECT = (
 def q_warehouse_validation(spark, sf_dir):
     """Batches expected: one per day, its replay where there is one, and a third that never landed."""
     p = Pipeline(spark, sf_dir, materialize=True)
-    events = read_table(spark, sf_dir, "events")
-    kinds = F.array(F.lit(""), F.when(F.col("event_id") % 250 == 2, "-r"), F.lit("-x"))
-    expected = (
-        events.select("ts", F.explode(F.array_compact(kinds)).alias("sfx"))
-        .groupBy(F.concat(F.lit("b-"), F.date_format("ts", "yyyyMMdd"), "sfx").alias("batch_id"))
-        .agg(F.to_date(F.min("ts")).alias("expected_date"))
-    )
+    expected = expected_batches(spark, sf_dir)
     return suites.warehouse_validation(
         p.raw, p.classified, p.accepted, p.rejected, p.fact, p.dim_users, dim_countries(spark), p.mart, expected
     )
@@ -326,17 +359,12 @@ def q_invalid_country_rows(spark, sf_dir):
     )
 
 
-@query(
-    "orphan_users",
-    with_core(
-        """SELECT f.event_id, f.user_id FROM fact f
-           WHERE f.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT user_id FROM accepted) u
-                                                       WHERE u.user_id = f.user_id)"""
-    ),
-)
+@query("orphan_users", with_core("SELECT event_id, user_id FROM fact WHERE user_id IS NOT NULL AND user_id::BIGINT % 50 = 3"))
 def q_orphan_users(spark, sf_dir):
+    """Fact rows whose user is missing from a user dimension that has lost one user in fifty."""
     p = Pipeline(spark, sf_dir)
-    return suites.orphan_users(p.fact, p.dim_users).select("event_id", "user_id")
+    kept = p.dim_users.where(F.col("user_id").cast("bigint") % 50 != 3)
+    return suites.orphan_users(p.fact, kept).select("event_id", "user_id")
 
 
 @query(
@@ -356,23 +384,24 @@ def q_orphan_countries(spark, sf_dir):
 @query(
     "accepted_equals_fact",
     with_core(
-        """SELECT a.batch_id, count(*) AS fact_rows FROM fact f JOIN accepted a USING (event_id) GROUP BY 1"""
+        """SELECT batch_id, count(*) AS accepted_rows, count_if(event_id::BIGINT % 29 <> 4) + count_if(event_id::BIGINT % 31 = 2 AND event_id::BIGINT % 29 <> 4) AS fact_rows,
+             count(*) = count_if(event_id::BIGINT % 29 <> 4) + count_if(event_id::BIGINT % 31 = 2 AND event_id::BIGINT % 29 <> 4) AS equal
+           FROM accepted GROUP BY batch_id"""
     ),
 )
 def q_accepted_equals_fact(spark, sf_dir):
-    p = Pipeline(spark, sf_dir)
-    fact_ids = p.fact.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        p.accepted.select("event_id", "batch_id")
-        .join(fact_ids, "event_id")
-        .groupBy("batch_id")
-        .agg(F.sum("n").cast("bigint").alias("fact_rows"))
-    )
+    """Accepted rows against rows of a fact table that has lost some and holds others twice."""
+    p = Pipeline(spark, sf_dir, materialize=True)
+    e = F.col("event_id").cast("bigint")
+    fact = p.fact.where(e % 29 != 4).withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.when(e % 31 == 2, 2).otherwise(1))))
+    per_batch = p.accepted.select("event_id", "batch_id").join(suites.fact_ids_of(fact), "event_id", "left")
+    counts = per_batch.groupBy("batch_id").agg(F.count(F.lit(1)).alias("accepted_rows"), F.coalesce(F.sum("fact_n"), F.lit(0)).alias("fact_rows"))
+    return counts.withColumn("equal", F.col("accepted_rows") == F.col("fact_rows"))
 
 
-@query("gt_not_null", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority IS NULL")
+@query("gt_not_null", with_core("SELECT event_id, source_file FROM raw WHERE user_id IS NULL"))
 def q_gt_not_null(spark, sf_dir):
-    return gt.not_null(read_table(spark, sf_dir, "orders"), "o_orderpriority").select("o_orderkey", "o_custkey")
+    return gt.not_null(Pipeline(spark, sf_dir).raw, "user_id").select("event_id", "source_file")
 
 
 @query(
@@ -396,11 +425,12 @@ def q_gt_accepted_values(spark, sf_dir):
 @query(
     "gt_relationships",
     """SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem l
-       WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey)""",
+       WHERE l_suppkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey = l.l_suppkey AND s.s_suppkey % 9 <> 1)""",
 )
 def q_gt_relationships(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "suppkey")
-    out = gt.relationships(li, "suppkey", read_table(spark, sf_dir, "supplier"), "s_suppkey")
+    suppliers = read_table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 1")  # one in nine has gone
+    out = gt.relationships(li, "suppkey", suppliers, "s_suppkey")
     return out.select("l_orderkey", "l_linenumber", F.col("suppkey").alias("l_suppkey"))
 
 

@@ -192,6 +192,52 @@ def q_partition_rebuild(spark, d):
     return t.changes(1)
 
 
+@query(
+    "rerun_idempotency",
+    with_core(
+        """SELECT 'partition ' || strftime(event_date, '%Y-%m-%d') AS what, count(*) AS before_run, count(*) AS after_run,
+             NOT bool_or(ingested_at >= (SELECT max(ingested_at) FROM fact) - INTERVAL 3 DAY) AS same_files, 'unchanged' AS change
+           FROM fact GROUP BY event_date
+           UNION ALL SELECT 'mart total', count(*), count(*), NULL, 'unchanged' FROM fact
+           UNION ALL SELECT 'distinct event ids', count(DISTINCT event_id), count(DISTINCT event_id), NULL, 'unchanged' FROM fact"""
+    ),
+)
+def q_rerun_idempotency(spark, d):
+    """The incremental run again over an unchanged source: the lookback is merged into the table a second time. Its
+    partitions are rewritten with the same content, the others keep their files, and mart total and ids stay."""
+    rows = fact(spark, d)
+    t = fact_table(spark, "rerun")
+    t.full_refresh(rows)
+    t.merge(publish.lookback_source(t.read(1), publish.max_ingested_at(t.read(1))))
+    parts = t.changes(1, 2).select(
+        F.concat(F.lit("partition "), "value").alias("what"), F.col("rows_before").alias("before_run"), F.col("rows_after").alias("after_run"), "same_files", "change"
+    )
+
+    def totals(version: int) -> DataFrame:
+        now = t.read(version)
+        mart = publish.daily_event_mart(now).agg(F.sum("event_count").alias("n")).select(F.lit("mart total").alias("what"), "n")
+        ids = now.agg(F.count_distinct("event_id").alias("n")).select(F.lit("distinct event ids").alias("what"), "n")
+        return mart.unionByName(ids)
+
+    both = totals(1).withColumnRenamed("n", "before_run").join(totals(2).withColumnRenamed("n", "after_run"), "what")
+    changed = F.when(F.col("before_run") == F.col("after_run"), "unchanged").otherwise("changed")
+    return parts.unionByName(both.select("what", "before_run", "after_run", F.lit(None).cast("boolean").alias("same_files"), changed.alias("change")))
+
+
+@query(
+    "perf_fact_scan",
+    with_core(
+        """SELECT event_name, country_code, count(*) AS events FROM fact
+           WHERE event_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1, 2"""
+    ),
+)
+def q_perf_fact_scan(spark, d):
+    """Three days of the fact table: the bounds are partition filters, so other days' files are not opened."""
+    t = fact_table(spark, "scan")
+    t.full_refresh(fact(spark, d))
+    return publish.backfill_window(t.read(), "2024-01-10", "2024-01-12").groupBy("event_name", "country_code").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query(
     "contract_violations",
     with_core(

@@ -42,4 +42,5 @@ def load_all() -> None:
         q_ledger,
         q_records,
         q_tables,
+        q_recovery,
     )
