@@ -7,13 +7,14 @@ opens an incident that closes ``gap`` after the last breach).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def metric_points_from_events(events: DataFrame) -> DataFrame:
-    """Driver events -> gauge points: one series per event type."""
+def metric_points_from_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Driver events -> gauge points: one series per event type; ``keep`` columns come along."""
     return events.select(
+        *keep,
         F.col("event_type").alias("series"),
         F.col("ts").alias("ts"),
         F.col("value").alias("value"),
@@ -106,24 +107,24 @@ def label_cardinality(points: DataFrame, budget: int = 120) -> DataFrame:
 
 
 def metric_contract(points: DataFrame, catalog: dict[str, dict[str, list[str]]]) -> DataFrame:
-    """Violations of a descriptor catalog {series: {label: allowed values}}:
-    unknown series, extra label, missing label, value outside the set."""
-    spark = points.sparkSession
-    rows = [(s, k, v) for s, labels in catalog.items() for k, vals in labels.items() for v in vals]
-    allowed = spark.createDataFrame(rows, "series string, label string, value string")
-    known_series = spark.createDataFrame([(s,) for s in catalog], "series string")
-    known_labels = allowed.select("series", "label").distinct()
-    ent = points.select("series", "ts", F.explode("labels").alias("label", "value"))
-    unknown = points.join(F.broadcast(known_series), "series", "left_anti").select(
-        "series", "ts", F.lit(None).cast("string").alias("label"), F.lit("unknown_metric_type").alias("violation")
-    )
-    extra = ent.join(F.broadcast(known_series), "series", "left_semi").join(
-        F.broadcast(known_labels), ["series", "label"], "left_anti"
-    ).select("series", "ts", "label", F.lit("unexpected_label").alias("violation"))
-    outside = ent.join(F.broadcast(known_labels), ["series", "label"], "left_semi").join(
-        F.broadcast(allowed), ["series", "label", "value"], "left_anti"
-    ).select("series", "ts", "label", F.lit("value_outside_set").alias("violation"))
-    need = points.select("series", "ts", "labels").join(F.broadcast(known_labels), "series").filter(
-        ~F.array_contains(F.map_keys("labels"), F.col("label"))
-    ).select("series", "ts", "label", F.lit("missing_label").alias("violation"))
-    return unknown.unionByName(extra).unionByName(outside).unionByName(need)
+    """Violations of a descriptor catalog {series: {label: allowed values}}: unknown series, extra label, missing label,
+    value outside the set. One pass over the points: each carries its own violations, nothing is joined or shuffled."""
+    labels, known = F.coalesce(F.col("labels"), F.create_map().cast("map<string,string>")), list(catalog)
+
+    def violation(kind: str, label) -> Column:
+        return F.struct((label if isinstance(label, Column) else F.lit(label).cast("string")).alias("label"), F.lit(kind).alias("violation"))
+
+    none = F.array().cast("array<struct<label:string,violation:string>>")
+    found = F.when(F.col("series").isNull() | ~F.col("series").isin(known), F.array(violation("unknown_metric_type", None)))
+    for series, declared in catalog.items():
+        names = list(declared)
+        extra = F.array_except(F.map_keys(labels), F.array(*[F.lit(n) for n in names])) if names else F.map_keys(labels)
+        own = F.transform(extra, lambda k: violation("unexpected_label", k))
+        each = []
+        for name, values in declared.items():
+            given = F.map_contains_key(labels, F.lit(name))
+            inside = F.coalesce(labels[name].isin(values), F.lit(False))
+            each.append(F.when(~given, violation("missing_label", name)).when(~inside, violation("value_outside_set", name)))
+        checked = F.array_compact(F.array(*each)) if each else none
+        found = F.when(F.col("series") == series, F.concat(own, checked)).otherwise(found)
+    return points.select("series", "ts", F.explode(F.coalesce(found, none)).alias("v")).select("series", "ts", "v.label", "v.violation")

@@ -6,7 +6,7 @@ sort); expected-vs-seen comparisons are explode + anti joins (no cross join).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ["SUCCESS", "FAILED", "SKIPPED", "UPSTREAM_FAILED"]
@@ -14,8 +14,16 @@ TERMINAL = ["SUCCESS", "FAILED", "SKIPPED", "UPSTREAM_FAILED"]
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Newest row per key group under a total order (``order`` then nothing
-    else: callers end ``order`` with a unique id)."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_l")).select(*keys, "_l.*")
+    else: callers end ``order`` with a unique id).
+
+    Two passes instead of a sort of all rows: the greatest first order column per group is a hash aggregate over two or
+    three columns, and only the rows that have it are compared in full."""
+    top = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.max(order[0]).alias("_top"))
+    same = F.col(order[0]).eqNullSafe(F.col("_top"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    newest = df.join(top, same, "left_semi")
+    return newest.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_l")).select(*keys, "_l.*")
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -40,8 +48,12 @@ def run_outcomes(runs: DataFrame) -> DataFrame:
 
 
 def task_event_trace(task_events: DataFrame, runs: DataFrame | None = None) -> DataFrame:
-    """Task events in deterministic diagnostic order (run, task, attempt, type)."""
-    return task_events.orderBy("pipeline_run_id", "task_id", "attempt", "event_type")
+    """Task events of ``runs`` (all without them) with ``step``, their place within the run in diagnostic order (task,
+    attempt, type, time). A run's events meet in one task, the table as a whole is never sorted."""
+    if runs is not None:
+        task_events = task_events.join(runs.select("pipeline_run_id").distinct(), "pipeline_run_id", "left_semi")
+    order = Window.partitionBy("pipeline_run_id").orderBy("task_id", "attempt", "event_type", "event_time")
+    return task_events.withColumn("step", F.row_number().over(order))
 
 
 def lookup_first(df: DataFrame, keys: DataFrame, key: str, order: list[str]) -> DataFrame:

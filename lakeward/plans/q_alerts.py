@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lakeward.operators import alerts
 from lakeward.plans.registry import query
 from lakeward.sources.tables import read_table
@@ -88,11 +90,19 @@ def q_cardinality(spark, d):
 
 @query(
     "metric_contract",
-    """SELECT event_type AS series, ts, NULL::VARCHAR AS label, 'unknown_metric_type' AS violation FROM events
-         WHERE event_type NOT IN ('signup', 'purchase', 'view', 'click')
-       UNION ALL
-       SELECT event_type, ts, 'tier', 'value_outside_set' FROM events
-         WHERE event_type IN ('signup', 'purchase', 'view', 'click') AND CAST(user_id % 4 AS VARCHAR) NOT IN ('0', '1', '2')""",
+    """WITH p AS (SELECT *, if(event_id % 29 = 1, 'legacy', event_type) AS series FROM events)
+       SELECT series, ts, NULL::VARCHAR AS label, 'unknown_metric_type' AS violation FROM p
+         WHERE series NOT IN ('signup', 'purchase', 'view', 'click')
+       UNION ALL SELECT series, ts, 'zone', 'unexpected_label' FROM p
+         WHERE series IN ('signup', 'purchase', 'view', 'click') AND user_id % 17 = 3
+       UNION ALL SELECT series, ts, 'tier', if(user_id % 13 = 5, 'missing_label', 'value_outside_set') FROM p
+         WHERE series IN ('signup', 'purchase', 'view', 'click') AND (user_id % 13 = 5 OR user_id % 4 = 3)""",
 )
 def q_contract(spark, d):
-    return alerts.metric_contract(points(spark, d), CATALOG)
+    """Event gauges against the catalog; some come under an unknown name, without their tier, or with a label too many."""
+    events = read_table(spark, d, "events")
+    e, u = F.col("event_id"), F.col("user_id")
+    named = alerts.metric_points_from_events(events.withColumn("event_type", F.when(e % 29 == 1, "legacy").otherwise(F.col("event_type"))), keep=("user_id",))
+    labels = F.map_filter("labels", lambda k, _: ~((k == "tier") & (u % 13 == 5)))
+    labels = F.when(u % 17 == 3, F.map_concat(labels, F.create_map(F.lit("zone"), F.lit("z")))).otherwise(labels)
+    return alerts.metric_contract(named.withColumn("labels", labels), CATALOG)

@@ -53,9 +53,15 @@ def q_run_outcomes(spark, d):
     return ops.run_outcomes(runs(spark, d))
 
 
-@query("task_event_trace", w(O_TASKS) + "SELECT * FROM task_events ORDER BY pipeline_run_id, task_id, attempt, event_type")
+@query(
+    "task_event_trace",
+    w(O_RUNS, O_TASKS)
+    + """SELECT *, row_number() OVER (PARTITION BY pipeline_run_id ORDER BY task_id, attempt, event_type, event_time)::INT AS step
+         FROM task_events WHERE pipeline_run_id IN (SELECT pipeline_run_id FROM runs WHERE status = 'FAILED')""",
+)
 def q_task_event_trace(spark, d):
-    return ops.task_event_trace(task_events(spark, d))
+    """The task events of failed runs, numbered in diagnostic order."""
+    return ops.task_event_trace(task_events(spark, d), runs(spark, d).where("status = 'FAILED'"))
 
 
 @query(

@@ -71,3 +71,34 @@ def test_the_window_reaches_the_scan(spark, name):
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters" in plan and ("GreaterThanOrEqual(o_orderdate" in plan or "GreaterThanOrEqual(l_shipdate" in plan)
+
+
+def test_metric_contract_in_one_pass(spark):
+    from lakeward.operators import alerts
+
+    catalog = {"a": {"x": ["1", "2"], "y": ["1"]}, "bare": {}}
+    rows = [
+        (1, "a", {"x": "1", "y": "1"}), (2, "a", {"x": "3", "z": "1"}), (3, "b", {"x": "1"}), (4, None, {}), (5, "bare", {"q": "1"}),
+        (6, "bare", {}), (7, "a", {"x": None, "y": "1"}), (8, "a", None),
+    ]
+    points = spark.createDataFrame(rows, "ts int, series string, labels map<string,string>")
+    found = alerts.metric_contract(points, catalog)
+    assert {(r.ts, r.label, r.violation) for r in found.collect()} == {
+        (2, "x", "value_outside_set"), (2, "y", "missing_label"), (2, "z", "unexpected_label"), (3, None, "unknown_metric_type"),
+        (4, None, "unknown_metric_type"), (5, "q", "unexpected_label"), (7, "x", "value_outside_set"),
+        (8, "x", "missing_label"), (8, "y", "missing_label"),
+    }
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_latest_rows_need_no_sort_of_the_input(spark):
+    from lakeward.operators import ops
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", t, "r1", 1), ("a", t, "r2", 2), ("a", t - dt.timedelta(1), "r9", 3), (None, t, "r3", 4), ("n", None, "r4", 5), ("n", None, "r5", 6)]
+    df = spark.createDataFrame(rows, "k string, at timestamp_ntz, id string, v int")
+    got = ops.latest_by(df, ["k"], ["at", "id"], ["id", "v"])
+    assert {tuple(r) for r in got.collect()} == {("a", "r2", 2), (None, "r3", 4), ("n", "r5", 6)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "functions=[partial_max(at" in plan and "HashAggregate" in plan and plan.index("Join") < plan.index("partial_max(at")

@@ -85,7 +85,7 @@ def test_modes_judge_by_different_checks(spark):
     exact = {"expected_rows": n, "duplicate_event_ids": 2 * (n - ids)}
     batch = {r.check_name: r.status for r in suites.raw_validation(raw, **exact).collect()}
     run = {r.check_name: r.status for r in suites.raw_validation(raw, scope="run", as_of="2024-01-06", **exact).collect()}
-    assert batch["null_user_ids"] == run["null_user_ids"] == "FAIL"
+    assert batch["invalid_country_codes"] == run["invalid_country_codes"] == "FAIL"
     assert batch["overall"] == "PASS" and run["overall"] == "FAIL"  # anomalies count in run mode only
     assert len(batch) == 13 and len(run) == 12 and "batch_id_populated" not in run
 
