@@ -8,6 +8,11 @@ most ``LABELLED`` of them, by hash of the page, are counted, and kinds never see
 there keep the prior. Of the region, blocks under menus, headers, footers,
 sidebars, notices, adverts, forms and comments (by element, role or class) go.
 
+A class name made of such words alone (``site-header``, ``comment-list``) says what
+a block is. One that has other words beside them (``has-sidebar``, ``notice-board``,
+``share-enabled``) may as well describe the layout around an article: such a block
+only goes if it holds neither an article element nor most of the page's words.
+
 White space in a block becomes one space, ``<br>`` is white space, blocks are
 joined by one newline, character references are decoded. Null or empty html, and
 pages without a positive word, give the empty text. Unclosed elements end where
@@ -49,6 +54,13 @@ FURNITURE = frozenset(
     "recommendations comment comments reply replies respond disqus discussion search searchbox pagination pager widget toolbar "
     "complementary contentinfo copyright".split()
 )
+# Words that say where or how large, not what: beside them a furniture word keeps its meaning.
+PLACE = frozenset(
+    "site page main primary secondary global top bottom left right upper lower inner outer sub first second third last "
+    "wrapper wrap container content box area section block list item items link links post posts article entry bar button "
+    "buttons btn form group row col column panel slot unit text title icon icons count id js mobile desktop inline story stories "
+    "news email user thread toggle large small medium leaderboard skyscraper".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -60,73 +72,137 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
 
-def _furniture(name: str, attributes: str) -> bool:
+def _furniture(name: str, attributes: str) -> int:
+    """2 if the element is page furniture, 1 if its marks leave that open, else 0."""
     if name in DROPPED:
-        return True
+        return 2
     if not attributes or name in HEADINGS or name in ("html", "body", "main", "article"):
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
-    return any(p.lower() in FURNITURE for m in _MARK.finditer(attributes) for p in _PART.findall(m.group(1)))
+        return 2
+    found = 0
+    for m in _MARK.finditer(attributes):
+        for mark in m.group(1).strip("\"'").split():
+            parts = [p.lower() for p in _PART.findall(mark)]
+            if not FURNITURE.isdisjoint(parts):
+                found = max(found, 2 if all(p in FURNITURE or p in PLACE for p in parts) else 1)
+    return found
+
 
+def _walk(page: str):
+    """``(tag or None, text, kind, in article, dropped, starts a block, doubtful block)`` for each tag and text, in order.
 
-def tokens(page: str):
-    """``(tag or None, text, kind, in article, dropped, starts a block)`` for each tag and text, in order."""
-    stack: list[tuple[str, bool]] = []  # name, furniture
+    Doubtful blocks are numbered, -1 stands for none; the last item holds the list of their parents.
+    Every lookup is of the innermost open element of some sort, so unclosed elements cost nothing further."""
+    stack: list[tuple[str, int]] = []  # name, furniture
+    places: dict[str, list[int]] = {}  # where each name is open
+    outer: list[int] = []  # where elements are open that are not inline
+    walls: list[int] = []  # where furniture is open that other end tags do not close
+    firm: list[int] = []  # where elements are open that neither are inline nor end by themselves
+    doubts: list[int] = []
+    parents: list[int] = []
     inside = dropped = links = 0
     block = True
 
-    def pop():
+    def push(name: str, out: int) -> None:
+        nonlocal inside, dropped, links
+        at = len(stack)
+        stack.append((name, out))
+        places.setdefault(name, []).append(at)
+        if name not in INLINE:
+            outer.append(at)
+            if name not in IMPLIED_END:
+                firm.append(at)
+        if out == 2 and name not in IMPLIED_END:
+            walls.append(at)
+        inside += name == "article"
+        links += name == "a"
+        dropped += out == 2
+        if out == 1:
+            parents.append(doubts[-1] if doubts else -1)
+            doubts.append(len(parents) - 1)
+
+    def pop() -> str:
         nonlocal inside, dropped, links
         name, out = stack.pop()
+        at = len(stack)
+        places[name].pop()
+        for held in (outer, firm, walls):
+            if held and held[-1] == at:
+                held.pop()
         inside -= name == "article"
         links -= name == "a"
-        dropped -= out
+        dropped -= out == 2
+        if out == 1:
+            doubts.pop()
+        return name
+
+    def at_last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
 
     for m in _TOKEN.finditer(page):
         text = m.group(5)
+        doubt = doubts[-1] if doubts else -1
         if text is not None:
-            here = next((n for n, _ in reversed(stack) if n not in INLINE), "")
-            yield None, text, f"{here}/a" if links else here, inside > 0, dropped > 0, block
+            here = stack[outer[-1]][0] if outer else ""
+            yield None, text, f"{here}/a" if links else here, inside > 0, dropped > 0, block, doubt
             block = False
             continue
         name = (m.group(3) or m.group(1) or "").lower()
         if not name or m.group(1):
             if name:
-                yield name, "", name, inside > 0, True, False
+                yield name, "", name, inside > 0, True, False, doubt
             continue
         closing, attributes = m.group(2), m.group(4) or ""
         if name not in INLINE:
             block = True
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            wall = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][1] and stack[i][0] not in IMPLIED_END), -1)
-            if at >= 0 and (at >= wall or name in ("body", "html", "article", "main")):
+            at = at_last(name)
+            if at >= 0 and (at >= (walls[-1] if walls else -1) or name in ("body", "html", "article", "main")):
                 while len(stack) > at:
                     pop()
         else:
             if name not in INLINE:
                 # an unclosed p or li ends where a block starts; li and cells only at their like
-                while stack and (stack[-1][0] in INLINE and any(n == "p" for n, _ in stack) or stack[-1][0] == "p"):
-                    ended = stack[-1][0] == "p"
-                    pop()
-                    if ended:
+                while stack and (stack[-1][0] in INLINE and places.get("p") or stack[-1][0] == "p"):
+                    if pop() == "p":
                         break
-                if name in IMPLIED_END and any(n == name for n, _ in stack):
-                    last = max(i for i, (n, _) in enumerate(stack) if n == name)
-                    if all(n in INLINE or n in IMPLIED_END for n, _ in stack[last:]):
-                        while len(stack) > last:
-                            pop()
+                last = at_last(name)
+                if name in IMPLIED_END and last >= 0 and (not firm or firm[-1] < last):
+                    while len(stack) > last:
+                        pop()
             if name not in VOID and not attributes.rstrip().endswith("/"):
-                out = _furniture(name, attributes)
-                stack.append((name, out))
-                inside += name == "article"
-                links += name == "a"
-                dropped += out
-        if name == "br":
-            yield name, " ", name, inside > 0, dropped > 0, False
-        else:
-            yield name, "", name, inside > 0, dropped > 0, False
+                push(name, _furniture(name, attributes))
+        doubt = doubts[-1] if doubts else -1
+        yield name, " " if name == "br" else "", name, inside > 0, dropped > 0, False, doubt
+    yield None, parents, "", False, False, False, -2
+
+
+def tokens(page: str) -> list[tuple]:
+    """``(tag or None, text, kind, in article, dropped, starts a block)`` for each tag and text, in order; doubtful blocks decided."""
+    seen = list(_walk(page))
+    parents = seen.pop()[1]
+    if not parents:
+        return [t[:6] for t in seen]
+    words, holds, total = [0] * len(parents), [False] * len(parents), 0
+    for tag, text, kind, _, dropped, _, doubt in seen:
+        if dropped:
+            continue
+        if tag is None and not kind.endswith("/a"):
+            n = len(text.split())
+            total += n
+            if doubt >= 0:
+                words[doubt] += n
+        elif tag in ("article", "main") and doubt >= 0:
+            holds[doubt] = True
+    for k in range(len(parents) - 1, -1, -1):  # children come after their parents
+        if parents[k] >= 0:
+            words[parents[k]] += words[k]
+            holds[parents[k]] |= holds[k]
+    gone = []
+    for k, parent in enumerate(parents):
+        gone.append(parent >= 0 and gone[parent] or not holds[k] and 2 * words[k] <= total)
+    return [(tag, text, kind, inside, dropped or doubt >= 0 and gone[doubt], new) for tag, text, kind, inside, dropped, new, doubt in seen]
 
 
 def count_kinds(page: str) -> Counter:
@@ -156,7 +232,7 @@ class Weights:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    seen = list(tokens(page))
+    seen = tokens(page)
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, (tag, text, kind, _, dropped, _) in enumerate(seen):
         total += -0.05 if dropped else weights.of(tag, kind, len(text.split()))

@@ -1,9 +1,10 @@
 """Secret scans over a trigram inverted index.
 
 From each rule's regex a Boolean trigram query is derived: what every match must
-contain. Per batch of documents, postings (one bitmap per trigram, made when
-first asked for) are intersected and united as the query says, and only the
-candidates are verified by the regex on the whole text. Rules from which no
+contain. Per batch of documents one pass over all positions builds the postings
+(the documents of each trigram that some rule asks for); they are intersected and
+united as the query says, and only the candidates are verified by the regex on
+the whole text. Rules from which no
 trigram follows scan every document. The index holds lower-case ASCII, so it
 serves rules in any case and never loses a match.
 
@@ -49,7 +50,8 @@ FURTHER = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
+    # a match starts where its run starts: one try per run, not one per place in it
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+"),
     Rule("url_login", r"(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s/:@]+:[^\s/@]+@"),
 )
 RULES = BASE + FURTHER
@@ -110,31 +112,68 @@ def trigram_query(pattern: str) -> Query:
     return tuple(conjuncts)
 
 
-class Postings:
-    """Bitmaps of the documents of one batch that hold a trigram."""
+def _code(gram: str) -> int:
+    a, b, c = gram.encode()
+    return a << 16 | b << 8 | c
+
 
-    def __init__(self, texts: pa.Array):
-        self.texts, self.held = pc.ascii_lower(texts), {}
+class Postings:
+    """An inverted index over one batch: for each asked trigram the sorted numbers of the documents that hold it."""
+
+    #: Bytes of text indexed at a time.
+    SLICE = 4 << 20
+
+    def __init__(self, texts: pa.Array, grams: frozenset[str]):
+        self.size = len(texts)
+        codes = np.array(sorted(_code(g) for g in grams), np.int32)
+        asked = np.zeros(1 << 24, bool)
+        asked[codes] = True
+        self.rows: dict[int, np.ndarray] = {}
+        pairs = []
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+        at = 0
+        while at < self.size and len(codes):
+            done = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + self.SLICE, side="right")))
+            pairs.append(self._pairs(pc.ascii_lower(texts.slice(at, upto - at)), asked, at))
+            at = upto
+        if pairs:
+            both = np.unique(np.concatenate(pairs))  # trigram, then document
+            gram, row = (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int64)
+            cut = np.searchsorted(gram, codes), np.searchsorted(gram, codes, side="right")
+            self.rows = {int(c): row[i:j] for c, i, j in zip(codes, *cut, strict=True)}
+
+    @staticmethod
+    def _pairs(low: pa.Array, asked: np.ndarray, first: int) -> np.ndarray:
+        """(trigram << 32 | document) of every place where an asked trigram stands within a document."""
+        length = np.asarray(pc.fill_null(pc.binary_length(low), 0), np.int64)
+        data = np.frombuffer(b"".join(x.as_buffer() for x in low if x.is_valid), np.uint8).astype(np.int32)
+        if len(data) < 3:
+            return np.zeros(0, np.int64)
+        code = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+        place = np.flatnonzero(asked[code])
+        ends = np.cumsum(length)
+        row = np.searchsorted(ends, place, side="right")
+        whole = place + 3 <= ends[row]
+        return np.unique(code[place[whole]].astype(np.int64) << 32 | (row[whole] + first))
 
     def of(self, gram: str) -> np.ndarray:
-        if gram not in self.held:
-            found = pc.match_substring(self.texts, gram)
-            self.held[gram] = found.to_numpy(zero_copy_only=False).astype(bool)
-        return self.held[gram]
+        return self.rows.get(_code(gram), np.zeros(0, np.int64))
 
     def candidates(self, query: Query) -> np.ndarray:
-        hit = np.ones(len(self.texts), bool)
+        """The documents that a rule's query leaves; all of them if it asks for nothing."""
+        hit = None
         for any_of in query:
-            some = np.zeros(len(hit), bool)
+            some = []
             for grams in any_of:
-                every = hit.copy()
-                for g in sorted(grams):
-                    if not every.any():
-                        break
-                    every &= self.of(g)
-                some |= every
-            hit &= some
-        return np.flatnonzero(hit)
+                lists = sorted((self.of(g) for g in grams), key=len)
+                every = lists[0]
+                for more in lists[1:]:
+                    every = np.intersect1d(every, more, assume_unique=True)
+                some.append(every)
+            union = np.unique(np.concatenate(some))
+            hit = union if hit is None else np.intersect1d(hit, union, assume_unique=True)
+        return np.arange(self.size) if hit is None else hit
 
 
 def matches(rule: Rule, compiled: re.Pattern, text: str):
@@ -149,9 +188,10 @@ _SPANS = "_id bigint, _key bigint, spans array<struct<kind:string,start:int,end:
 def _scan(rules: tuple[Rule, ...]):
     def run(batches):
         ready = [(r, re.compile(r.pattern, re.ASCII), trigram_query(r.pattern)) for r in rules]
+        grams = frozenset(g for _, _, query in ready for any_of in query for each in any_of for g in each)
         for batch in batches:
             texts = batch.column("text")
-            index = Postings(texts)
+            index = Postings(texts, grams)
             found: list[list[tuple[int, int, str, int]]] = [[] for _ in range(len(texts))]
             for rank, (rule, compiled, query) in enumerate(ready):
                 for i in index.candidates(query).tolist():
