@@ -45,7 +45,7 @@ SHARDS = 4
 INSIDE_PERCENT = 100
 TOP = 2000
 #: Bytes of text after which a task closes a chunk.
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 #: One bit for so many words of the corpus; at most ``MOST_BITS`` (64 MB).
 WORDS_A_BIT, LEAST_BITS, MOST_BITS = 8, 1 << 16, 1 << 29
 #: Words of the corpus that one task of the last scan adds up, and phrases that it holds meanwhile.
@@ -194,6 +194,7 @@ def _chunks_of(batches):
         for i in range(batch.num_rows):
             codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
             yield batch.column("lang")[i].as_py(), batch.column("words")[i].values, codes
+            pa.default_memory_pool().release_unused()
 
 
 def _phrases(coded: DataFrame, found, longest: int, tasks: int) -> DataFrame:
