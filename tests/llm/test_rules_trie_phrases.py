@@ -245,3 +245,33 @@ def test_one_class_or_none(spark, y, score):
     ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5]
     labels = spark.createDataFrame([(i, q, 0) for i, q in zip(ids, y, strict=False)], "doc_id long, quality int, toxic int")
     assert {round(r.score, 6) for r in rule_ensemble.classify(docs, labels).collect()} == {score}
+
+
+# toxicity, beside its held-out accuracy
+
+
+def test_toxicity_scores_against_plain_loops(spark):
+    import zstandard
+
+    from lakeward.llm import toxicity
+
+    docs, labels = (read_table(spark, SF, t) for t in ("documents", "labels"))
+    sample = sorted(toxicity.sample(docs, labels))
+    model = toxicity.train(sample)
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        c = zstandard.ZstdCompressor(dict_data=d, level=12, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(c.compress(window))
+
+    got = {r["_id"]: r.score for r in toxicity.score(docs, model).collect()}
+    for r in docs.where("length(text) < 1500").limit(25).collect():
+        raw = (r.text or "").lower().encode()
+        cuts = [raw[i : i + 64] for i in range(0, max(len(raw) - 32, 1), 32)] if len(raw) > 64 else [raw]
+        gain = [size(model.ordinary, w) - size(model.toxic, w) for w in cuts]
+        x = [sum(gain) / len(gain), min(gain), float(np.percentile(gain, 90)), max(gain)]
+        for margin in (1, 2, 3, 4, 6):
+            n = sum(g >= margin for g in gain)
+            x += [np.log1p(n), n / len(gain)]
+        z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights[:-1], x, model.mean, model.scale, strict=True)) + model.weights[-1]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9), r.doc_id
