@@ -95,14 +95,28 @@ def incidents(points: DataFrame, threshold: float, gap_seconds: int = 1800) -> D
     )
 
 
+# Labels that would give a series per run, batch, deployment or message.
+FORBIDDEN_LABELS = [
+    "pipeline_run_id",
+    "batch_id",
+    "deployment_id",
+    "error_message",
+    "airflow_run_id",
+]
+
+
 def label_cardinality(points: DataFrame, budget: int = 120) -> DataFrame:
-    """Distinct label sets per series vs the budget."""
+    """Distinct label sets per series and, as the row of no series, over all of them, against the budget for all; and the
+    forbidden labels in use."""
     key = F.to_json(F.array_sort(F.map_entries("labels")))
+    sets = points.select("series", key.alias("key"), F.map_keys("labels").alias("names")).groupBy("series", "key").agg(F.first("names").alias("names"))
+    bad = F.array_sort(F.array_intersect(F.array_distinct(F.flatten(F.collect_set("names"))), F.array(*[F.lit(x) for x in FORBIDDEN_LABELS])))
+    each = sets.groupBy("series").agg(F.count(F.lit(1)).alias("label_sets"), F.array_join(bad, ",").alias("forbidden_labels"))
+    whole = sets.agg(F.count(F.lit(1)).alias("label_sets"), F.array_join(bad, ",").alias("forbidden_labels")).withColumn("series", F.lit(None).cast("string"))
     return (
-        points.groupBy("series")
-        .agg(F.countDistinct(key).alias("label_sets"))
+        each.unionByName(whole)
         .withColumn("budget", F.lit(budget))
-        .withColumn("within_budget", F.col("label_sets") <= F.col("budget"))
+        .withColumn("within_budget", (F.col("label_sets") <= F.col("budget")) & (F.col("forbidden_labels") == ""))
     )
 
 

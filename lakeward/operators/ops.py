@@ -6,6 +6,8 @@ sort); expected-vs-seen comparisons are explode + anti joins (no cross join).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,11 +109,27 @@ def task_timing(task_events: DataFrame, as_of) -> DataFrame:
     )
 
 
-def backfill_calendar(loaded_dates: DataFrame, start: str, end: str, date_col: str = "event_date") -> DataFrame:
-    """Calendar days in [start, end] with no loaded data (anti join to the
-    distinct loaded dates)."""
-    if end < start:
+# Fixed value: days that a backfill may cover without an override.
+MAX_BACKFILL_DAYS = 7
+
+
+def backfill_days(start: str, end: str, max_days: int = MAX_BACKFILL_DAYS, override: bool = False) -> int:
+    """Days of a backfill window, which may pass ``max_days`` only with an explicit override."""
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    if last < first:
         raise ValueError("end date precedes start date")
+    days = (last - first).days + 1
+    if days > max_days and override is not True:
+        raise ValueError(f"a backfill of {days} days is above the limit of {max_days} and needs an override")
+    return days
+
+
+def backfill_calendar(
+    loaded_dates: DataFrame, start: str, end: str, date_col: str = "event_date", max_days: int = MAX_BACKFILL_DAYS, override: bool = False
+) -> DataFrame:
+    """Calendar days in [start, end] with no loaded data (anti join to the
+    distinct loaded dates). Windows above ``max_days`` need an override."""
+    backfill_days(start, end, max_days, override)
     spark = loaded_dates.sparkSession
     cal = spark.range(1).select(
         F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("missing_date")

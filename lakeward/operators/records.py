@@ -14,26 +14,170 @@ from pyspark.sql.types import NumericType
 from lakeward.operators.text import redact
 
 # Fields of each event version, the log contract's fields, vocabularies, check categories.
-EVENT_FIELDS_V1 = (
-    "batch_id country_code device_type event_id event_timestamp event_type payload_size_bytes processing_date session_id user_id"
-).split()
-EVENT_FIELDS = {1: EVENT_FIELDS_V1, 2: sorted([*EVENT_FIELDS_V1, "schema_version", "client_app_version"])}
-LOG_INT_FIELDS = (
-    "attempt_number duration_ms rows_generated rows_loaded rows_accepted rows_rejected fact_rows mart_event_count"
-).split()
-LOG_FIELDS = LOG_INT_FIELDS + (
-    "timestamp severity event_type component environment git_sha dag_id processing_date status check_name check_category "
-    "observed_value threshold expected_value error_type error_message correlation_id message details deployment_id "
-    "airflow_run_id pipeline_run_id batch_id task_id"
-).split()
-SEVERITIES = "DEBUG INFO WARNING ERROR CRITICAL".split()
-TASK_EVENT_TYPES = "STARTED RETRY SUCCESS FAILED SKIPPED UPSTREAM_FAILED".split()
-RECOVERY_ACTIONS = (
-    "RETRY_TASK RERUN_BATCH REPAIR_PARTIAL_LOAD QUARANTINE_BATCH BACKFILL RESTORE_RELEASE FORWARD_MIGRATION RESTORE_IAM "
-    "REBUILD_PARTITION PAUSE_SCHEDULE RESUME_SCHEDULE RECONSTRUCT_AUDIT RESET_MONITOR MANUAL_CONTAINMENT"
-).split()
-RECOVERY_STATUSES = "RUNNING SUCCESS FAILED PARTIAL ABORTED".split()
-VERIFICATION_STATUSES = "PENDING VERIFIED FAILED SKIPPED".split()
+EVENT_FIELDS_V1 = [
+    "event_id",
+    "event_type",
+    "event_timestamp",
+    "user_id",
+    "country_code",
+    "device_type",
+    "session_id",
+    "payload_size_bytes",
+    "batch_id",
+    "processing_date",
+]
+EVENT_FIELDS_V2_ONLY = [
+    "schema_version",
+    "client_app_version",
+]
+EVENT_FIELDS = {1: EVENT_FIELDS_V1, 2: EVENT_FIELDS_V1 + EVENT_FIELDS_V2_ONLY}
+CORRELATION_FIELDS = [
+    "deployment_id",
+    "airflow_run_id",
+    "pipeline_run_id",
+    "batch_id",
+    "task_id",
+    "attempt_number",
+]
+LOG_FIELDS = [
+    "timestamp",
+    "severity",
+    "event_type",
+    "component",
+    "environment",
+    "git_sha",
+    "dag_id",
+    "processing_date",
+    "status",
+    "duration_ms",
+    "rows_generated",
+    "rows_loaded",
+    "rows_accepted",
+    "rows_rejected",
+    "fact_rows",
+    "mart_event_count",
+    "check_name",
+    "check_category",
+    "observed_value",
+    "threshold",
+    "expected_value",
+    "error_type",
+    "error_message",
+    "correlation_id",
+    "message",
+    "details",
+    *CORRELATION_FIELDS,
+]
+LOG_INT_FIELDS = [
+    "attempt_number",
+    "duration_ms",
+    "rows_generated",
+    "rows_loaded",
+    "rows_accepted",
+    "rows_rejected",
+    "fact_rows",
+    "mart_event_count",
+]
+SEVERITIES = [
+    "DEBUG",
+    "INFO",
+    "WARNING",
+    "ERROR",
+    "CRITICAL",
+]
+RUN_STATUSES = [
+    "RUNNING",
+    "SUCCESS",
+    "FAILED",
+    "PARTIAL",
+]
+TASK_EVENT_TYPES = [
+    "STARTED",
+    "RETRY",
+    "SUCCESS",
+    "FAILED",
+    "SKIPPED",
+    "UPSTREAM_FAILED",
+]
+DEPLOYMENT_STATUSES = [
+    "RUNNING",
+    "SUCCESS",
+    "FAILED",
+    "ROLLING_BACK",
+    "ROLLED_BACK",
+    "ROLLBACK_FAILED",
+]
+DEPLOYMENT_TYPES = [
+    "deploy",
+    "rollback",
+]
+RECOVERY_ACTIONS = [
+    "RETRY_TASK",
+    "RERUN_BATCH",
+    "REPAIR_PARTIAL_LOAD",
+    "QUARANTINE_BATCH",
+    "BACKFILL",
+    "RESTORE_RELEASE",
+    "FORWARD_MIGRATION",
+    "RESTORE_IAM",
+    "REBUILD_PARTITION",
+    "PAUSE_SCHEDULE",
+    "RESUME_SCHEDULE",
+    "RECONSTRUCT_AUDIT",
+    "RESET_MONITOR",
+    "MANUAL_CONTAINMENT",
+]
+RECOVERY_STATUSES = [
+    "RUNNING",
+    "SUCCESS",
+    "FAILED",
+    "PARTIAL",
+    "ABORTED",
+]
+VERIFICATION_STATUSES = [
+    "PENDING",
+    "VERIFIED",
+    "FAILED",
+    "SKIPPED",
+]
+CATEGORIES = [
+    "FRESHNESS",
+    "COMPLETENESS",
+    "UNIQUENESS",
+    "REFERENTIAL_INTEGRITY",
+    "SCHEMA",
+    "VOLUME",
+    "REJECTION_RATE",
+    "RECONCILIATION",
+]
+QUALITY_STATUSES = [
+    "PASS",
+    "WARN",
+    "FAIL",
+    "NO_DATA",
+]
+EVALUATION_STATUSES = [
+    "PASS",
+    "WARN",
+    "FAIL",
+    "NO_DATA",
+    "DISABLED",
+]
+QUALITY_SEVERITIES = [
+    "INFO",
+    "WARNING",
+    "CRITICAL",
+]
+COST_COMPONENTS = [
+    "pipeline",
+    "monitor",
+    "deployment",
+    "validation",
+    "audit",
+    "migration",
+    "ingestion",
+    "adhoc",
+]
 CHECK_CATEGORIES = {
     "batch_nonempty": "COMPLETENESS",
     "raw_equals_classification": "RECONCILIATION",
@@ -91,7 +235,7 @@ def normalize_event_versions(lines: DataFrame, line: str = "line") -> DataFrame:
         .when(~F.col("_version").isin(*EVENT_FIELDS), "version_unsupported")
         .when(F.size("_unknown") > 0, "unknown_fields")
     )
-    current = [f for f in EVENT_FIELDS[max(EVENT_FIELDS)] if f != "schema_version"]
+    current = sorted(f for f in EVENT_FIELDS[max(EVENT_FIELDS)] if f != "schema_version")
     kept = [F.col(f"`{c}`") for c in lines.columns]
     return parsed.withColumn("reason", reason).select(
         *kept,
@@ -157,6 +301,30 @@ def vocab_violations(rows: DataFrame, ids: list[str], rules: dict[str, Column])
     return rows.select(*ids, F.explode(broken).alias("violation"))
 
 
+def run_rules() -> dict[str, Column]:
+    return {"status": F.col("status").isin(*RUN_STATUSES)}
+
+
+def deployment_rules() -> dict[str, Column]:
+    return {"status": F.col("status").isin(*DEPLOYMENT_STATUSES), "deployment_type": F.col("deployment_type").isin(*DEPLOYMENT_TYPES)}
+
+
+def quality_rules() -> dict[str, Column]:
+    return {
+        "check_category": F.col("check_category").isin(*CATEGORIES),
+        "status": F.col("status").isin(*QUALITY_STATUSES),
+        "severity": F.col("severity").isin(*QUALITY_SEVERITIES),
+    }
+
+
+def evaluation_rules() -> dict[str, Column]:
+    return {"status": F.col("status").isin(*EVALUATION_STATUSES), "severity": F.col("severity").isin(*QUALITY_SEVERITIES)}
+
+
+def cost_label_rules() -> dict[str, Column]:
+    return {"component": F.col("component").isin(*COST_COMPONENTS)}
+
+
 def task_event_rules() -> dict[str, Column]:
     return {"event_type": F.col("event_type").isin(*TASK_EVENT_TYPES), "attempt": F.col("attempt") >= 1}
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lakeward.schemas import ANOMALY_PROFILE, SEED_COUNTRY_CODES, STANDARD_BATCH_ROWS
 
-# Checks that report an injected anomaly: detecting it is FAIL, and the batch
+# Fixed values (as are the names of all checks and tests in this module): checks that
+# report an injected anomaly: detecting it is FAIL, and the batch
 # (orchestrated) mode leaves them out of the overall verdict.
 ANOMALY_CHECKS = [
     "duplicates",

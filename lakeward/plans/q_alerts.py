@@ -81,11 +81,18 @@ def q_incidents(spark, d):
 
 @query(
     "metric_cardinality",
-    """SELECT event_type AS series, count(DISTINCT user_id % 4) AS label_sets, 120 AS budget,
-          count(DISTINCT user_id % 4) <= 120 AS within_budget FROM events GROUP BY 1""",
+    """WITH p AS (SELECT event_type AS series, user_id % 4 AS tier, CASE WHEN event_type = 'view' AND event_id % 50 = 0 THEN event_id % 7 END AS batch FROM events),
+       sets AS (SELECT DISTINCT series, tier, batch FROM p),
+       counted AS (SELECT series, count(*) AS label_sets, bool_or(batch IS NOT NULL) AS bad FROM sets GROUP BY series
+                   UNION ALL SELECT NULL, count(*), bool_or(batch IS NOT NULL) FROM sets)
+       SELECT series, label_sets, if(bad, 'batch_id', '') AS forbidden_labels, 30 AS budget, label_sets <= 30 AND NOT bad AS within_budget FROM counted""",
 )
 def q_cardinality(spark, d):
-    return alerts.label_cardinality(points(spark, d), 120)
+    """Label sets against a budget of 30; some points of one series carry their batch as a label, which none may."""
+    named = alerts.metric_points_from_events(read_table(spark, d, "events"), keep=("event_id",))
+    batch = F.create_map(F.lit("batch_id"), (F.col("event_id") % 7).cast("string"))
+    labels = F.when((F.col("series") == "view") & (F.col("event_id") % 50 == 0), F.map_concat("labels", batch)).otherwise(F.col("labels"))
+    return alerts.label_cardinality(named.withColumn("labels", labels), 30)
 
 
 @query(

@@ -133,14 +133,16 @@ def q_quarantine_batch(spark, d):
       CASE WHEN s.pipeline_run_id IS NOT NULL THEN s.rows_loaded ELSE t.rows_loaded END AS rows_loaded,
       CASE WHEN s.pipeline_run_id IS NOT NULL THEN s.rows_accepted ELSE t.rows_accepted END AS rows_accepted,
       CASE WHEN s.pipeline_run_id IS NOT NULL THEN s.rows_rejected ELSE t.rows_rejected END AS rows_rejected,
-      CASE WHEN s.pipeline_run_id IS NOT NULL THEN s.environment ELSE t.environment END AS environment
+      CASE WHEN s.pipeline_run_id IS NOT NULL THEN s.environment ELSE t.environment END AS environment,
+      CASE WHEN t.pipeline_run_id IS NULL THEN TIMESTAMP '2001-09-01 00:00:00' ELSE TIMESTAMP '2000-01-01 00:00:00' END AS created_at,
+      CASE WHEN s.pipeline_run_id IS NULL THEN TIMESTAMP '2000-01-02 00:00:00' ELSE TIMESTAMP '2001-09-01 00:00:00' END AS updated_at
     FROM tgt t FULL JOIN src s ON t.pipeline_run_id = s.pipeline_run_id""",
 )
 def q_audit_upsert(spark, d):
     """pipeline_runs upsert: runs started before 2000 are the table; a later
     batch of records re-reports runs from mid-1999 on (status and attempt
     advance, started_at re-sent one hour later) plus new runs. Matches keep
-    the original started_at."""
+    started_at and created_at and are updated now; rows not sent again stay as they were."""
     r = runs(spark, d)
     target = r.filter(F.col("started_at") < F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz"))
     source = r.filter(F.col("started_at") >= F.lit(dt.datetime(1999, 7, 1)).cast("timestamp_ntz")).select(
@@ -150,4 +152,6 @@ def q_audit_upsert(spark, d):
         (F.col("attempt_number") + 1).alias("attempt_number"), "rows_loaded", "rows_accepted", "rows_rejected",
         "environment",
     )
-    return ingest.keyed_upsert(target, source, ["pipeline_run_id"], keep_on_match=("started_at",))
+    at = lambda *day: F.lit(dt.datetime(*day)).cast("timestamp_ntz")
+    target = target.withColumns({"created_at": at(2000, 1, 1), "updated_at": at(2000, 1, 2)})
+    return ingest.keyed_upsert(target, source, ["pipeline_run_id"], keep_on_match=("started_at",), now=dt.datetime(2001, 9, 1))

@@ -130,7 +130,7 @@ def q_task_timing(spark, d):
 )
 def q_backfill_calendar(spark, d):
     ev = read_table(spark, d, "events").select(F.to_date("ts").alias("event_date"))
-    return ops.backfill_calendar(ev, "2024-01-01", "2024-02-10")
+    return ops.backfill_calendar(ev, "2024-01-01", "2024-02-10", override=True)
 
 
 # ---------------------------------------------------------- batch metrics D18

@@ -7,6 +7,9 @@ the oracles say from those rules what must come out, without reading JSON.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeward.operators import ops, records
@@ -116,6 +119,52 @@ def q_vocab_violations(spark, d):
     return records.vocab_violations(actions, ["recovery_id"], records.recovery_rules())
 
 
+@query(
+    "vocab_violations_all",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS st FROM orders), l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS r FROM lineitem)
+       SELECT 'runs' AS rows_of, 'run-' || k AS id, 'status' AS violation FROM o WHERE k % 31 = 5
+       UNION ALL SELECT 'deployments', 'dep-' || k, 'deployment_type' FROM o WHERE k % 5 <> 0
+       UNION ALL SELECT 'deployments', 'dep-' || k, 'status' FROM o WHERE k % 37 = 2
+       UNION ALL SELECT 'task_events', 'run-' || k || '/task_' || n, 'event_type' FROM l WHERE k % 41 = 3
+       UNION ALL SELECT 'task_events', 'run-' || k || '/task_' || n, 'attempt' FROM l WHERE n = 7
+       UNION ALL SELECT 'quality_results', 'run-' || k || '/check_' || n, 'check_category' FROM l WHERE n % 3 = 1
+       UNION ALL SELECT 'quality_results', 'run-' || k || '/check_' || n, 'severity' FROM l WHERE r = 'R' AND n % 2 = 0
+       UNION ALL SELECT 'quality_results', 'run-' || k || '/check_' || n, 'status' FROM l WHERE k % 43 = 1
+       UNION ALL SELECT 'evaluations', 'run-' || k || '/check_' || n, 'status' FROM l WHERE k % 43 = 1
+       UNION ALL SELECT 'evaluations', 'run-' || k || '/check_' || n, 'severity' FROM l WHERE r = 'R' AND n % 2 = 0
+       UNION ALL SELECT 'jobs', 'job-' || k || '-' || n, 'component' FROM l WHERE k % 47 = 4 OR n = 6""",
+)
+def q_vocab_violations_all(spark, d):
+    """Audit rows of six kinds against their vocabularies, with words outside of them planted in each."""
+    k, n = F.col("_k"), F.col("_n")
+    orders = read_table(spark, d, "orders").withColumn("_k", F.col("o_orderkey"))
+    lines = read_table(spark, d, "lineitem").withColumns({"_k": F.col("l_orderkey"), "_n": F.col("l_linenumber")})
+    state = F.when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "O", "SUCCESS").otherwise("RUNNING")
+    runs = orders.select(F.concat(F.lit("run-"), k.cast("string")).alias("id"), F.when(k % 31 == 5, "DONE").otherwise(state).alias("status"))
+    deployed = orders.select(
+        F.concat(F.lit("dep-"), k.cast("string")).alias("id"), F.when(k % 37 == 2, F.lit(None)).otherwise(state).alias("status"),
+        F.when(k % 5 == 0, "rollback").otherwise("release").alias("deployment_type"),
+    )
+    place = F.concat(F.lit("run-"), k.cast("string"), F.lit("/task_"), n.cast("string"))
+    tasks = lines.select(place.alias("id"), F.when(k % 41 == 3, "BEGUN").otherwise("STARTED").alias("event_type"), F.when(n == 7, 0).otherwise(n).alias("attempt"))
+    checks = lines.select(
+        F.concat(F.lit("run-"), k.cast("string"), F.lit("/check_"), n.cast("string")).alias("id"),
+        F.when(n % 3 == 1, "OTHER").otherwise("RECONCILIATION").alias("check_category"),
+        F.when(k % 43 == 1, "UNKNOWN").when(F.col("l_returnflag") == "R", "FAIL").otherwise("PASS").alias("status"),
+        F.when((F.col("l_returnflag") == "R") & (n % 2 == 0), "SEVERE").otherwise("INFO").alias("severity"),
+    )
+    jobs = lines.select(
+        F.concat(F.lit("job-"), k.cast("string"), F.lit("-"), n.cast("string")).alias("id"),
+        F.when(k % 47 == 4, "reporting").when(n == 6, F.lit(None)).otherwise("audit").alias("component"),
+    )
+    kinds = [
+        ("runs", runs, records.run_rules()), ("deployments", deployed, records.deployment_rules()), ("task_events", tasks, records.task_event_rules()),
+        ("quality_results", checks, records.quality_rules()), ("evaluations", checks, records.evaluation_rules()), ("jobs", jobs, records.cost_label_rules()),
+    ]
+    parts = [records.vocab_violations(rows, ["id"], rules).select(F.lit(name).alias("rows_of"), "id", "violation") for name, rows, rules in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "finalizer_reconcile",
     """WITH s AS (
@@ -150,13 +199,14 @@ def _quality_oracle() -> str:
     return f"""SELECT batch_id, check_name,
       CASE check_name {cases} ELSE 'RECONCILIATION' END AS check_category,
       CASE WHEN status = 'FAIL' THEN 'CRITICAL' ELSE 'INFO' END AS severity, status,
-      TRY_CAST(actual AS DOUBLE) AS observed_value, TRY_CAST(expected AS DOUBLE) AS expected_value
+      TRY_CAST(actual AS DOUBLE) AS observed_value, TRY_CAST(expected AS DOUBLE) AS expected_value,
+      '{{"actual":"' || actual || '"' || coalesce(',"expected":"' || expected || '"', '') || '}}' AS details_json
       FROM ({ORACLES["warehouse_validation"]}) WHERE check_name <> 'overall'"""
 
 
 @query("quality_results", _quality_oracle())
 def q_quality_results(spark, d):
-    return records.quality_results(q_warehouse_validation(spark, d)).drop("details_json")
+    return records.quality_results(q_warehouse_validation(spark, d))
 
 
 @query(

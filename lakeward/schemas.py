@@ -31,7 +31,7 @@ STANDARD_BATCH_ROWS = 50000
 LOOKBACK_DAYS = 3
 
 # ---------------------------------------------------------------------------
-# Schemas
+# Fixed values too: the tables' columns and types, in the order of their declarations.
 # ---------------------------------------------------------------------------
 EVENT_LINE = T.StructType(
     [

@@ -81,3 +81,32 @@ def test_snapshot_retention_and_ids(spark):
     one, two = records.batch_identity(runs.withColumn("processing_date", F.to_date("d"))).orderBy("given_batch_id").collect()
     assert (one.batch_id, one.pipeline_run_id, one.valid) == ("batch-20240102", "batch-run-20240102-a-b-c", True)
     assert not two.valid and two.pipeline_run_id.endswith("-" + "x" * 120)
+
+
+def test_every_vocabulary_is_held(spark):
+    row = spark.createDataFrame([("ABORTED", "PASS", "deploy", "INFO", "OTHER", None)], "status string, ok string, deployment_type string, severity string, check_category string, component string")
+    found = lambda rules: {r.violation for r in records.vocab_violations(row, [], rules).collect()}
+    assert found(records.run_rules()) == {"status"} and found(records.deployment_rules()) == {"status"}
+    assert found(records.quality_rules()) == {"check_category", "status"} and found(records.evaluation_rules()) == {"status"}
+    assert found(records.cost_label_rules()) == {"component"}
+
+
+def test_text_and_truth_values_are_no_numbers(spark):
+    rows = spark.createDataFrame([("12", True, 7, 1.5)], "t string, b boolean, n long, x double")
+    got = rows.select(*[records.as_number(rows, c).alias(c) for c in rows.columns]).first()
+    assert tuple(got) == (None, None, 7.0, 1.5)
+
+
+def test_long_backfills_need_an_override(spark):
+    import pytest
+
+    from lakeward.operators import ops
+
+    loaded = spark.createDataFrame([("2024-01-03",)], "d string").select(F.col("d").cast("date").alias("event_date"))
+    assert ops.backfill_calendar(loaded, "2024-01-01", "2024-01-07").count() == 6
+    for bad in ({}, {"override": "true"}, {"max_days": 6, "override": False}):
+        with pytest.raises(ValueError, match="needs an override"):
+            ops.backfill_calendar(loaded, "2024-01-01", "2024-01-08", **bad)
+    assert ops.backfill_calendar(loaded, "2024-01-01", "2024-01-08", override=True).count() == 7
+    with pytest.raises(ValueError, match="precedes"):
+        ops.backfill_calendar(loaded, "2024-01-02", "2024-01-01")
