@@ -72,3 +72,30 @@ def q_impact(spark, d):
                  F.lit("geo-dashboard").alias("consumer"))
     )
     return lineage.consumer_impact(key_graph(spark, d), changed, consumers)
+
+
+@query(
+    "lineage_from_sql",
+    """SELECT 'nation_' || c_nationkey AS src, 'customer_' || c_custkey AS dst FROM customer
+       UNION SELECT 'raw.orders', 'customer_' || c_custkey FROM customer WHERE c_custkey % 3 = 0
+       UNION SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey FROM supplier
+       UNION SELECT 'raw.region', 'nation_' || s_nationkey FROM supplier""",
+)
+def q_lineage_from_sql(spark, d):
+    """Edges read out of model SQL, one model per customer and per (supplier, nation): references in either quote, with
+    blanks, repeated, and a name that only ends like one."""
+    c, s = read_table(spark, d, "customer"), read_table(spark, d, "supplier")
+    text = lambda name: F.col(name).cast("string")
+    customers = c.select(
+        F.concat(F.lit("customer_"), text("c_custkey")).alias("model"),
+        F.concat(
+            F.lit("select * from {{ ref('nation_"), text("c_nationkey"), F.lit("') }} n\njoin {{ ref( \"nation_"), text("c_nationkey"),
+            F.lit("\" ) }} m using (k) where my_ref('nothing')"),
+            F.when(F.col("c_custkey") % 3 == 0, "\nunion all select * from {{ source('raw', \"orders\") }}").otherwise(""),
+        ).alias("sql"),
+    )
+    suppliers = s.select(
+        F.concat(F.lit("nation_"), text("s_nationkey")).alias("model"),
+        F.concat(F.lit("select * from {{ source('raw','region') }} join {{ ref('supplier_"), text("s_suppkey"), F.lit("') }}")).alias("sql"),
+    )
+    return lineage.edges_from_sql(customers.unionByName(suppliers))

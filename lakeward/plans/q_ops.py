@@ -332,6 +332,25 @@ def q_cost_daily(spark, d):
     return costs.cost_daily(jobs(spark, d))
 
 
+@query(
+    "cost_window",
+    w(O_JOBS)
+    + f"""SELECT * FROM (
+           SELECT 'day ' || CAST(creation_time AS DATE) AS what, count(*) AS jobs, CAST(sum(total_bytes_billed) AS BIGINT) AS bytes_billed FROM jobs
+             WHERE is_app AND statement_type != 'SCRIPT' AND creation_time >= {JA} - INTERVAL 30 DAY GROUP BY 1
+           UNION ALL SELECT 'component ' || list_filter(labels, lambda l: l.key = 'component')[1].value, count(*), CAST(sum(total_bytes_billed) AS BIGINT) FROM jobs
+             WHERE is_app AND statement_type != 'SCRIPT' AND creation_time >= {JA} - INTERVAL 7 DAY GROUP BY 1)""",
+)
+def q_cost_window(spark, d):
+    """Cost reports over trailing windows, a month by day and a week by component, each on a scan bounded by its window."""
+    ago = lambda n: jobs(spark, d, JOBS_AS_OF - dt.timedelta(days=n))
+    daily = costs.cost_daily(ago(30), JOBS_AS_OF, 30)
+    component = costs.cost_by_component(ago(7), JOBS_AS_OF, 7)
+    return daily.select(F.concat(F.lit("day "), F.col("usage_date").cast("string")).alias("what"), F.col("job_count").alias("jobs"), "bytes_billed").unionByName(
+        component.select(F.concat(F.lit("component "), "component").alias("what"), F.col("job_count").alias("jobs"), "bytes_billed")
+    )
+
+
 @query(
     "cost_slots_daily",
     w(O_JOBS)

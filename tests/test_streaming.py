@@ -44,3 +44,21 @@ def test_streaming_landing_appends_once(spark):
     assert out.count() == raw.count()
     assert out.filter(F.col("batch_id") == "b-20240105").count() == raw.count()
     assert required_field_violations(out).count() == 0
+
+
+def test_streaming_incidents_match_batch(spark):
+    tmp = tempfile.mkdtemp(prefix="lw-inc-")
+    src = os.path.join(tmp, "points")
+    pts = alerts.metric_points_from_events(read_table(spark, SF, "events")).drop("labels")
+    pts.coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(pts.schema).parquet(src)
+    columns = ["series", "opened_at", "closed_at", "breach_points", "peak_value"]
+    q = (
+        salerts.incident_sessions(stream, 60.0).select(*columns).writeStream.outputMode("complete").format("memory")
+        .queryName("incidents_t").option("checkpointLocation", os.path.join(tmp, "ck")).start()
+    )
+    q.processAllAvailable()
+    q.stop()
+    got = {tuple(r) for r in spark.table("incidents_t").collect()}
+    want = {tuple(r) for r in alerts.incidents(pts, 60.0).select(*columns).collect()}
+    assert got == want and len(want) > 0
