@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeward.llm.common import col, materialise, text_of
+from lakeward.operators.ingest import hadoop_path
 from lakeward.session import ensure_checkpoint_dir
 
 THRESHOLD = 100
@@ -72,7 +74,9 @@ def _code(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def chunks(docs: DataFrame, shards: int = SHARDS, chunk: int = CHUNK) -> DataFrame:
-    """``lang, words, codes, n, shard``: the coded corpus, a row per language and chunk, written once by shard."""
+    """``lang, words, hashes, codes, n, shard``: the coded corpus, a row per language and chunk, written once by shard.
+
+    ``hashes`` has the hash of each word in its language, so only the last scan reads the words themselves."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -83,9 +87,9 @@ def chunks(docs: DataFrame, shards: int = SHARDS, chunk: int = CHUNK) -> DataFra
             for lang, texts in sorted(held.items()):
                 words, codes = _code(pa.array(texts, pa.large_string()).cast(pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words), pa.array([codes.tobytes()], pa.binary()),
-                     pa.array([len(codes)], pa.int64()), pa.array([turn % shards], pa.int32())],
-                    ["lang", "words", "codes", "n", "shard"],
+                    [pa.array([lang]), pa.ListArray.from_arrays([0, len(words)], words), pa.array([_word_hashes(lang, words).tobytes()], pa.binary()),
+                     pa.array([codes.tobytes()], pa.binary()), pa.array([len(codes)], pa.int64()), pa.array([turn % shards], pa.int32())],
+                    ["lang", "words", "hashes", "codes", "n", "shard"],
                 )
 
         for batch in batches:
@@ -98,7 +102,7 @@ def chunks(docs: DataFrame, shards: int = SHARDS, chunk: int = CHUNK) -> DataFra
         yield from flush()
 
     rows = docs.select(F.coalesce(col("lang"), F.lit(UNKNOWN)).alias("lang"), text_of().alias("text"))
-    schema = "lang string, words array<string>, codes binary, n long, shard int"
+    schema = "lang string, words array<string>, hashes binary, codes binary, n long, shard int"
     spark = docs.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/phrases-chunks-{uuid.uuid4().hex}"
     # small row groups: a reader holds a few chunks at a time
@@ -128,11 +132,10 @@ def _distinct(codes: np.ndarray, at: np.ndarray, size: int, hashes: np.ndarray)
     return at[first], n
 
 
-def _hashed(lang: str, words: pa.Array, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, whether a word starts a piece, and the hash of every distinct word in its language."""
+def _word_hashes(lang: str, words: pa.Array) -> np.ndarray:
     word = pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
     own = pd.util.hash_array(np.array([f"language {lang}"], dtype=object), categorize=False)
-    return np.where(signed < 0, ~signed, signed), signed < 0, _mix(word, np.broadcast_to(own, word.shape))
+    return _mix(word, np.broadcast_to(own, word.shape))
 
 
 def _marked(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -155,7 +158,8 @@ def _count(chunk, reached: np.ndarray, before: np.ndarray | None, longest: int):
     same one cycle ago (None within the first cycle). A phrase whose parts were
     both in ``before`` has had its cycle.
     """
-    codes, starts, word = _hashed(*chunk)
+    word, signed = chunk
+    codes, starts = np.where(signed < 0, ~signed, signed), signed < 0
     words = _marked(word, 1)
     if before is None:
         n = np.bincount(codes, minlength=len(word))
@@ -186,14 +190,15 @@ def _scan(shard: DataFrame, reached, before, longest: int) -> DataFrame:
                     part = slice(k, k + 200_000)
                     yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(n[part].astype(np.int64))], ["hash", "n"])
 
-    return shard.select("lang", "words", "codes").mapInArrow(run, "hash long, n long")
+    return shard.select("hashes", "codes").mapInArrow(run, "hash long, n long")
 
 
-def _chunks_of(batches):
+def _chunks_of(batches, *names: str):
+    """The hashes and codes of each chunk, and further columns as they are."""
     for batch in batches:
         for i in range(batch.num_rows):
-            codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
-            yield batch.column("lang")[i].as_py(), batch.column("words")[i].values, codes
+            hashes, codes = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("hashes", np.uint64), ("codes", np.int32)))
+            yield hashes, codes, *(batch.column(c)[i] for c in names)
             pa.default_memory_pool().release_unused()
 
 
@@ -223,8 +228,8 @@ def _phrases(coded: DataFrame, found, longest: int, tasks: int) -> DataFrame:
                     )
             held.clear()
 
-        for lang, words, signed in _chunks_of(batches):
-            codes, starts, word = _hashed(lang, words, signed)
+        for word, signed, lang, words in _chunks_of(batches, "lang", "words"):
+            codes, starts, lang, words = np.where(signed < 0, ~signed, signed), signed < 0, lang.as_py(), words.values
             hit = _has(known, _marked(word, 1))
             n = np.bincount(codes, minlength=len(word))
             some = np.flatnonzero(hit & (n > 0))
@@ -242,7 +247,7 @@ def _phrases(coded: DataFrame, found, longest: int, tasks: int) -> DataFrame:
                 yield from out()
         yield from out()
 
-    rows = coded.select("lang", "words", "codes").repartition(tasks).mapInArrow(run, "lang string, phrase string, size int, n long")
+    rows = coded.select("lang", "words", "hashes", "codes").repartition(tasks).mapInArrow(run, "lang string, phrase string, size int, n long")
     return rows.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("n").alias("n"))
 
 
@@ -258,13 +263,22 @@ def _small_batches(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _set_bits(bitmap: np.ndarray, hashes: DataFrame) -> bool:
-    """Set the bits of ``hash``; they come 64 to a row, so at most a bitmap's size reaches the driver. Whether there were any."""
-    place = F.shiftrightunsigned("hash", 4).bitwiseAND(F.lit(len(bitmap) * 8 - 1))
+def _set_bits(table: DataFrame, **bitmaps) -> set[str]:
+    """Set the bits of ``hash`` in each bitmap where its condition holds; they come 64 to a row, so at most a bitmap's
+    size reaches the driver. The names of those that got any."""
+    size = len(next(iter(bitmaps.values()))[0]) * 8
+    place = F.shiftrightunsigned("hash", 4).bitwiseAND(F.lit(size - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    rows = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    bitmap.view(np.uint64)[np.asarray(rows["word"])] |= np.asarray(rows["bits"]).view(np.uint64)
-    return rows.num_rows > 0
+    any_of = reduce(lambda a, b: a | b, [c for _, c in bitmaps.values()])
+    bits = [F.bit_or(F.when(c, one).otherwise(F.lit(0).cast("long"))).alias(n) for n, (_, c) in bitmaps.items()]
+    rows = table.where(any_of).groupBy(F.shiftright(place, 6).alias("word")).agg(*bits).toArrow()
+    found = set()
+    for name, (bitmap, _) in bitmaps.items():
+        new = np.asarray(rows[name]).view(np.uint64)
+        bitmap.view(np.uint64)[np.asarray(rows["word"])] |= new
+        if new.any():
+            found.add(name)
+    return found
 
 
 def frequent(coded: DataFrame, threshold: int = THRESHOLD, longest: int = LONGEST, shards: int = SHARDS) -> DataFrame:
@@ -272,8 +286,9 @@ def frequent(coded: DataFrame, threshold: int = THRESHOLD, longest: int = LONGES
     spark = coded.sparkSession
     total = coded.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (total // WORDS_A_BIT).bit_length()))
-    reached, past = np.zeros(bits // 8, np.uint8), []
-    running, found, last_new, scan = None, [], 0, 0
+    reached, found, past = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), []
+    running, table, last_new, scan = None, None, 0, 0
+    often = F.col("n") >= threshold
     while scan < last_new + shards:
         past.append(spark.sparkContext.broadcast(reached.tobytes()))
         earlier = past[scan - shards] if scan >= shards else None
@@ -282,25 +297,24 @@ def frequent(coded: DataFrame, threshold: int = THRESHOLD, longest: int = LONGES
         if running is not None:
             counted = counted.union(running.select("hash", "n", F.col("n").alias("before"), "since"))
         counted = counted.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.min("since").alias("since"))
-        counted = materialise(counted, f"phrases-scan-{scan}")
+        counted, last = materialise(counted, f"phrases-scan-{scan}"), table
+        table = counted.inputFiles()[:1]
         # what was first met in scan k began in k at the latest, so its cycle is over after k + shards - 1
         over = F.col("since") <= scan - shards + 1
-        often = F.col("n") >= threshold
-        found.append(counted.where(over & often).select("hash"))
-        running = counted.where(~over)
-        if _set_bits(reached, counted.where(often & (F.col("before") < threshold) & (F.col("hash").bitwiseAND(F.lit(_SIZE)) < longest))):
+        new = often & (F.col("before") < threshold) & (F.col("hash").bitwiseAND(F.lit(_SIZE)) < longest)
+        if "reached" in _set_bits(counted, reached=(reached, new), found=(found, over & often)):
             last_new = scan + 1
+        running = counted.where(~over)
+        for file in last or []:  # the table before is not read any more
+            fs, path = hadoop_path(spark, file.rsplit("/", 1)[0])
+            fs.delete(path, True)
         if earlier is not None:
             earlier.unpersist()
         scan += 1
-    hashes = running.where(F.col("n") >= threshold).select("hash")
-    for f in found:
-        hashes = hashes.union(f)
-    bitmap = np.zeros(bits // 8, np.uint8)
-    _set_bits(bitmap, hashes)
+    _set_bits(running, found=(found, often))
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // WORDS_A_TASK))
-    exact = _phrases(coded, spark.sparkContext.broadcast(bitmap.tobytes()), longest, tasks)
-    return materialise(exact.where(F.col("n") >= threshold), "phrases-frequent")
+    exact = _phrases(coded, spark.sparkContext.broadcast(found.tobytes()), longest, tasks)
+    return materialise(exact.where(often), "phrases-frequent")
 
 
 def collocations(
