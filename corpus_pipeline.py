@@ -2,6 +2,11 @@
 
 Each stage takes what its predecessor kept, calls one operator of ``lakeward.llm``
 and returns the columns of ``documents`` (the last one returns packed pieces).
+
+For every stage: null texts count as empty, null ids and sources are values like any
+other, rows that repeat are documents of their own where the operator tells them apart
+by all columns and equal ones where it compares texts, ties go to the smaller id, an
+empty table gives an empty one, and further columns of any name come along untouched.
 """
 
 from __future__ import annotations
