@@ -285,3 +285,15 @@ def test_land_once(spark):
     assert ingest.land_once(raw, path, f"{tmp}/ledger2") == "reused"  # died before its entry: the files tell
     assert spark.read.parquet(f"{tmp}/ledger2").count() == 1
     assert os.listdir(f"{tmp}/landing") == ["batch_id=b-1"]
+
+
+def test_fact_scan_counts_every_day(spark):
+    folder = tempfile.mkdtemp(prefix="lw-scan-")
+    days = [dt.datetime(2024, 1, d, 9) for d in (1, 9, 10, 11, 12, 13, 31)] + [dt.datetime(2023, 12, 5, 9), None]
+    rows = [(1000 + 400 * i, t, 5, kind) for i, (t, kind) in enumerate((t, kind) for t in days for kind in ("view", "click"))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(table_path(folder, "events"))
+    want = q_tables.fact(spark, folder).groupBy("event_name", "country_code").count().collect()
+    got = QUERIES["perf_fact_scan"](spark, folder).collect()
+    assert as_sorted(got) == as_sorted(want)
+    assert sum(r.events for r in got) > sum(t is not None and 10 <= t.day <= 12 for t in days) * 2
+    assert any(r.event_date is None for r in q_tables.fact(spark, folder).collect())
