@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 TERMINAL = ["SUCCESS", "FAILED", "SKIPPED", "UPSTREAM_FAILED"]
 
+# Rows that one task of an aggregate over unique keys holds.
+ROWS_PER_TASK = 500_000
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Newest row per key group under a total order (``order`` then nothing
@@ -66,18 +69,30 @@ def lookup_first(df: DataFrame, keys: DataFrame, key: str, order: list[str]) ->
 
 def telemetry_gaps(runs: DataFrame, task_events: DataFrame, expected_tasks: list[str]) -> DataFrame:
     """Per terminal run: expected tasks without a terminal event, and started
-    tasks that never reached one."""
-    terminal = task_events.filter(F.col("event_type").isin(*TERMINAL)).select("pipeline_run_id", "task_id").distinct()
-    done = runs.filter(F.col("status").isin("SUCCESS", "FAILED")).select("pipeline_run_id")
-    expected = done.select("pipeline_run_id", F.explode(F.array(*[F.lit(t) for t in expected_tasks])).alias("task_id"))
-    missing = expected.join(terminal, ["pipeline_run_id", "task_id"], "left_anti").withColumn(
-        "gap_type", F.lit("missing_terminal")
+    tasks that never reached one.
+
+    Expected tasks and events meet in one aggregate per (run, task), dealt over as many partitions as the rows ask for,
+    so that what a task holds does not grow with the tables. A run or task that is NULL matches nothing."""
+    keys = ["pipeline_run_id", "task_id"]
+    started, ended = F.col("event_type") == "STARTED", F.col("event_type").isin(*TERMINAL)
+    events = task_events.filter(started | ended).select(*keys, started.alias("started"), ended.alias("ended"), F.lit(0).alias("expected"))
+    done = runs.filter(F.col("status").isin("SUCCESS", "FAILED"))
+    expected = done.select("pipeline_run_id", F.explode(F.array(*[F.lit(t) for t in expected_tasks])).alias("task_id")).select(
+        *keys, F.lit(False).alias("started"), F.lit(False).alias("ended"), F.lit(1).alias("expected")
+    )
+    n_rows = task_events.count() + len(expected_tasks) * runs.count()
+    seen = (
+        events.unionByName(expected)
+        .repartition(1 + n_rows // ROWS_PER_TASK, *keys)
+        .groupBy(*keys)
+        .agg(F.bool_or("started").alias("started"), F.bool_or("ended").alias("ended"), F.sum("expected").cast("int").alias("expected"))
     )
-    started = task_events.filter(F.col("event_type") == "STARTED").select("pipeline_run_id", "task_id").distinct()
-    dangling = started.join(terminal, ["pipeline_run_id", "task_id"], "left_anti").withColumn(
-        "gap_type", F.lit("started_not_terminal")
+    unmatched = ~F.col("ended") | F.col("pipeline_run_id").isNull() | F.col("task_id").isNull()
+    gaps = F.concat(
+        F.array_repeat(F.lit("missing_terminal"), F.col("expected")),
+        F.array_repeat(F.lit("started_not_terminal"), F.col("started").cast("int")),
     )
-    return missing.unionByName(dangling)
+    return seen.filter(unmatched).select(*keys, F.explode(gaps).alias("gap_type"))
 
 
 def upstream_failed_rows(runs: DataFrame, task_events: DataFrame, expected_tasks: list[str]) -> DataFrame:

@@ -92,3 +92,24 @@ def test_monitor_all_degrades_broken_check(spark):
     assert {x.check_name: x.status for x in out} == {"freshness": "PASS", "broken": "NO_DATA"}
     off = monitors.monitor_all({"freshness": lambda: monitors.freshness(r, now)}, enabled=False).collect()
     assert off[0].status == "DISABLED"
+
+
+def test_telemetry_gaps_in_tasks_of_bounded_rows(spark, monkeypatch):
+    from lakeward.operators import ops
+
+    kinds = ["STARTED", "SUCCESS", "RETRY", None, "SKIPPED"]
+    events = [(f"r{i % 97}" if i % 41 else None, f"t{i % 7}" if i % 43 else None, kinds[i % 5 if i % 3 else 0]) for i in range(3000)]
+    runs = [(f"r{i % 110}" if i % 50 else None, ["SUCCESS", "FAILED", "RUNNING", None][i % 4]) for i in range(230)]
+    tasks = ["t0", "t3", "t9"]
+    ended = {(r, t) for r, t, kind in events if kind in ops.TERMINAL and r is not None and t is not None}
+    want = [(r, t, "missing_terminal") for r, status in runs if status in ("SUCCESS", "FAILED") for t in tasks if (r, t) not in ended]
+    want += [(r, t, "started_not_terminal") for r, t in {(r, t) for r, t, kind in events if kind == "STARTED"} if (r, t) not in ended]
+
+    monkeypatch.setattr(ops, "ROWS_PER_TASK", 100, raising=False)
+    got = ops.telemetry_gaps(
+        spark.createDataFrame(runs, "pipeline_run_id string, status string"),
+        spark.createDataFrame(events, "pipeline_run_id string, task_id string, event_type string"),
+        tasks,
+    )
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got.rdd.getNumPartitions() >= (len(events) + len(tasks) * len(runs)) // 100
