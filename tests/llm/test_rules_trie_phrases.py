@@ -275,3 +275,31 @@ def test_toxicity_scores_against_plain_loops(spark):
             x += [np.log1p(n), n / len(gain)]
         z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights[:-1], x, model.mean, model.scale, strict=True)) + model.weights[-1]
         assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9), r.doc_id
+
+
+def test_toxicity_windows_in_groups(monkeypatch):
+    from lakeward.llm import toxicity
+
+    texts = ["", "a", "some plain words " * 9, "VILE words\nand more " * 40, "", "x" * 64, "y" * 65, "é" * 200]
+    none = np.zeros(0)
+    model = toxicity.Model(b"plain words and more of them " * 20 + b"vile", b"plain words and more of them " * 20 + b"kind", none, none, none)
+    both = model.compressors()
+    calls = []
+
+    def counted(parts):
+        calls.append(len(parts))
+        return both[0](parts)
+
+    for group in (1, 7, 65_536):
+        monkeypatch.setattr(toxicity, "GROUP", group, raising=False)
+        calls.clear()
+        got = toxicity.features(texts, counted, both[1])
+        cuts = [toxicity.windows(t.lower().encode()) for t in texts]
+        assert max(calls) <= group and len(calls) == -(-sum(map(len, cuts)) // group)
+        for row, own in zip(got, cuts, strict=True):
+            gain = np.array([both[0]([w])[0] - both[1]([w])[0] for w in own])
+            want = [gain.mean(), gain.min(), np.percentile(gain, 90), gain.max()]
+            for m in toxicity.MARGINS:
+                want += [np.log1p((gain >= m).sum()), (gain >= m).mean()]
+            assert row == pytest.approx(want, abs=1e-12)
+    assert toxicity.features([], *both).shape == (0, got.shape[1])
