@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 TERMINAL = ["SUCCESS", "FAILED", "SKIPPED", "UPSTREAM_FAILED"]
 
-# Rows that one task of an aggregate over unique keys holds.
-ROWS_PER_TASK = 500_000
+# Rows that one task of an aggregate over unique keys holds. Up to 200 partitions (spark.shuffle.sort.bypassMergeThreshold)
+# tasks write a shuffle without buffering their rows; so there are more only where tasks would hold over MOST_PER_TASK.
+ROWS_PER_TASK, MOST_PER_TASK, UNBUFFERED = 500_000, 2_000_000, 200
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -67,6 +68,10 @@ def lookup_first(df: DataFrame, keys: DataFrame, key: str, order: list[str]) ->
     return latest_by(hit, [key], order, [c for c in df.columns if c != key])
 
 
+def partitions_for(n_rows: int) -> int:
+    return max(1 + n_rows // MOST_PER_TASK, min(1 + n_rows // ROWS_PER_TASK, UNBUFFERED))
+
+
 def telemetry_gaps(runs: DataFrame, task_events: DataFrame, expected_tasks: list[str]) -> DataFrame:
     """Per terminal run: expected tasks without a terminal event, and started
     tasks that never reached one.
@@ -83,7 +88,7 @@ def telemetry_gaps(runs: DataFrame, task_events: DataFrame, expected_tasks: list
     n_rows = task_events.count() + len(expected_tasks) * runs.count()
     seen = (
         events.unionByName(expected)
-        .repartition(1 + n_rows // ROWS_PER_TASK, *keys)
+        .repartition(partitions_for(n_rows), *keys)
         .groupBy(*keys)
         .agg(F.bool_or("started").alias("started"), F.bool_or("ended").alias("ended"), F.sum("expected").cast("int").alias("expected"))
     )

@@ -113,3 +113,10 @@ def test_telemetry_gaps_in_tasks_of_bounded_rows(spark, monkeypatch):
     )
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert got.rdd.getNumPartitions() >= (len(events) + len(tasks) * len(runs)) // 100
+
+
+def test_partitions_follow_the_rows():
+    from lakeward.operators.ops import partitions_for
+
+    assert [partitions_for(n) for n in (0, 499_999, 500_000, 60_000_000, 130_000_000, 399_999_999)] == [1, 1, 2, 121, 200, 200]
+    assert partitions_for(2_000_000_000) == 1001
